@@ -75,6 +75,18 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 letters in lower case; no byte moves, so offsets stay."""
+    out = _LOWER[data]
+    if len(out) > 1:
+        tail = out[1:]
+        tail[(out[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 32
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
