@@ -26,6 +26,8 @@ TRAIN_DOCS = 4_000
 VOCABULARY = 1_024
 #: Tokens in one training sequence, bytes scored at once, steps of gradient ascent.
 WINDOW, BYTES_AT_ONCE, STEPS = 48, 4_000_000, 60
+#: Bound on the training sequences of either kind, those with a toxic word and those without.
+SEQUENCES = 3_000
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,12 @@ def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) ->
     inside = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     first = np.flatnonzero(inside % WINDOW == 0)
     length = np.diff(np.r_[first, len(token)])
+    some = np.add.reduceat(label, first) > 0
+    picked = np.concatenate([x[:: len(x) // SEQUENCES + 1] for x in (np.flatnonzero(some), np.flatnonzero(~some))])
+    first, length = first[picked], length[picked]
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    own = np.repeat(first, length) + inside
+    token, label, first = token[own], label[own], np.cumsum(length) - length
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     live = [int(np.searchsorted(-length, -t, "left")) for t in range(1, WINDOW + 1)]  # windows with more than t tokens come first
