@@ -119,7 +119,7 @@ def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) ->
     token, label, first = token[own], label[own], np.cumsum(length) - length
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(1, WINDOW + 1)]  # windows with more than t tokens come first
+    live = [int(np.searchsorted(-length, -t, "right")) for t in range(1, WINDOW + 1)]  # windows with t tokens or more come first
     at = [first[: live[t]] + t for t in range(WINDOW)]
     weight = [np.zeros((n, 2)), np.zeros((2, 2)), np.zeros(2)]
     seen = [np.zeros((n, 2)), np.zeros((2, 2)), np.zeros(2)]
