@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, media, toxicity
+from . import bpe, fingerprint, language, lines, media, mixing, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,28 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.stored_features(spark, table(spark, sf_dir, "documents"), tensors=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "spans")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_mixing"] = mixing.ORACLE
+
+
+@query
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_lines"] = lines.ORACLE
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, version = sharding.sharded(table(spark, sf_dir, "documents"))
+    return store.read(version)
+
+
+ORACLES["op6_sharding"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
