@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, lines, media, minhash, mixing, sharding, toxicity
+from . import bpe, fingerprint, language, lines, media, minhash, mixing, repeats, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ ORACLES["op6_sharding"] = "SELECT doc_id, text, lang, source, n_chars FROM docum
 @query
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
