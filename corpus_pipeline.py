@@ -1,23 +1,55 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents. run() writes every stage's result to the shared folder, so a lost executor never repeats an earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, queries
+from quarry.llm import bpe, lines, minhash, mixing, queries, toxicity
+from quarry.llm.common import DOCUMENT_COLUMNS, materialize, table
 
+#: Scores and random draws can't be said in SQL for the whole chain; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model doesn't predict toxic; fitted to the labelled part of docs."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs.select(*DOCUMENT_COLUMNS), model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.dedup(docs).select(*DOCUMENT_COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs).select(*DOCUMENT_COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in equal shares; a document that is drawn several times is several rows."""
+    return mixing.mix(docs).select(*DOCUMENT_COLUMNS)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, queries.tokenizer_path())
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("near-dedup", without_near_duplicates),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    for name, stage in STAGES:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -255,6 +255,21 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns, in one pass over whole texts; null and empty texts stay."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
+            for lo, hi in runs(sizes, BYTES_AT_ONCE):
+                part = batch.slice(lo, hi - lo)
+                found = _scored(part.select(["text", "text"]).rename_columns(["doc_id", "text"]), model, False)
+                keep = pc.or_(pc.equal(found.column("predicted"), 0), pc.equal(pc.fill_null(pc.binary_length(part.column("text")), 0), 0))
+                yield part.filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _scored(batch: pa.RecordBatch, model: Model, spans: bool) -> pa.RecordBatch:
     start, end, row, h, data, at = _tokens(batch.column("text"))
     sizes = np.bincount(row, minlength=batch.num_rows)
