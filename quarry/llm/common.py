@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,12 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases: their results are in written tables."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out_hash(column: str = "doc_id"):
     """crc32 of the id as text, unsigned, as the folds are defined."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -10,16 +10,15 @@ more than one way: the maximal repeats with all their occurrences.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, runs, utf8
+from .common import materialize, mix, powers, release, runs, utf8
 
 #: Bytes of the shortest repeat, and of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -233,12 +232,6 @@ def covered(rows: DataFrame) -> DataFrame:
     return rows.select("h", "g", "lead", "context").mapInArrow(run, "h long, g string, spans array<struct<s:int,e:int>>")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases: their results are in written tables."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans: one row for each row of docs.
 
@@ -254,14 +247,14 @@ def removed(docs: DataFrame) -> DataFrame:
     seen = anchored(rows).withColumns({"least": F.min("doc").over(one), "most": F.max("doc").over(one)}).where("least < most OR size(others) > 0")
     wanted = materialize(spark, seen.select("h", F.explode(F.concat(F.array("doc"), "others")).alias("doc")).groupBy("doc").agg(F.collect_set("h").alias("wanted")), "anchors")
     del seen
-    _release(spark)
+    release(spark)
     # 2. Their contexts; of equal contexts the least document.
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     met = materialize(spark, contexts(keyed.join(wanted, keyed["doc_id"] == wanted["doc"])), "contexts")
-    _release(spark)
+    release(spark)
     g = F.md5("context").alias("g")
     leads = materialize(spark, met.groupBy("h", g).agg(F.min("doc").alias("lead"), F.min("context").alias("context")), "leads")
-    _release(spark)
+    release(spark)
     # 3. Maximal repeats among different contexts of one anchor.
     hot = materialize(spark, leads.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("h"), "hot")
     parted = leads.join(hot, "h", "left_anti").repartition(tasks, "h").sortWithinPartitions("h", "g")
@@ -269,13 +262,13 @@ def removed(docs: DataFrame) -> DataFrame:
     owner = single.groupBy("string").agg(F.min("lead").alias("least"))
     split = single.join(owner, "string").where("least < lead").groupBy("h", "g").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + LENGTH).cast("int").alias("e"))).alias("spans"))
     parts = materialize(spark, covered(parted).unionByName(split), "spans")
-    _release(spark)
+    release(spark)
     # 4. What each document loses: contexts that a smaller document has too, and the spans of the others.
     places = met.select("h", g, "doc", "text_key", "start", F.length("context").alias("size")).join(leads.select("h", "g", "lead"), ["h", "g"])
     whole = places.where("doc > lead").select("doc", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     some = places.where("doc = lead").join(parts, ["h", "g"]).select("doc", "text_key", "start", F.explode("spans").alias("x")).select("doc", "text_key", (F.col("start") + F.col("x.s")).alias("s"), (F.col("start") + F.col("x.e")).alias("e"))
     lost = materialize(spark, whole.unionByName(some).groupBy("doc", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("lost")), "lost")
-    _release(spark)
+    release(spark)
     all_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     joined = all_rows.join(lost, (all_rows["doc_id"] == lost["doc"]) & (all_rows["text_key"] == lost["text_key"]), "left").select("doc_id", "text", "lost")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<s:long,e:long>>")
