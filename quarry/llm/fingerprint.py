@@ -104,10 +104,15 @@ def compared(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     ids, texts, following = (list(x) for x in zip(*pairs, strict=True))
     edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
     n = len(texts)
-    whole, held, prefix, at = sketches(texts + following + edited)
-    one, two, three = ((whole[k * n : (k + 1) * n], held[k * n : (k + 1) * n]) for k in range(3))
+    # Most following texts are texts themselves, and need no sketch of their own.
+    place = {id(t): k for k, t in enumerate(texts)}
+    other = [f for f in following if id(f) not in place]
+    place |= {id(f): 2 * n + k for k, f in enumerate(other)}
+    whole, held, prefix, at = sketches(texts + edited + other)
+    rows = np.arange(n)
+    one, two, three = ((whole[k], held[k]) for k in (rows, np.array([place[id(f)] for f in following]), rows + n))
     sizes = np.diff(at)
-    shared = prefix.extension(at[:n], at[2 * n : 3 * n], np.minimum(sizes[:n], sizes[2 * n :]))
+    shared = prefix.extension(at[:n], at[n : 2 * n], np.minimum(sizes[:n], sizes[n : 2 * n]))
     return pa.record_batch(
         [pa.array(ids, pa.int64()), pa.array(sizes[:n]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(_written(*one)), pa.array(_written(*three)), pa.array(likeness(one, three)), pa.array(likeness(one, two)), pa.array(shared)],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_prefix"],
