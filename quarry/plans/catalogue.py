@@ -590,7 +590,7 @@ def backoff_state(spark, d):
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events file as a stream: term, ts (a timestamp), content_hash."""
     schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet")
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return raw.select(F.col("event_type").alias("term"), F.col("ts").cast("timestamp").alias("ts"), F.md5(F.concat_ws("|", "user_id", "event_type").cast("binary")).alias("content_hash"))
 
 
@@ -604,7 +604,7 @@ def _run(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS term, count(*) AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS term, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def stream_window_counts(spark, d):
     """Windows that the watermark has closed."""
     return _run(spark, windows.term_counts(_stream(spark, d)), "counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
