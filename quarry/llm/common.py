@@ -34,7 +34,17 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no rerun."""
     path = f"{work_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables from materialize() that nothing lazy refers to any more, and finished shuffle files."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:

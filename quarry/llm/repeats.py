@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, release, runs, utf8
+from .common import discard, materialize, mix, powers, release, runs, utf8
 
 #: Bytes of the shortest repeat, and of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -211,7 +211,7 @@ def covered(rows: DataFrame) -> DataFrame:
         hit = np.flatnonzero(inside.any(1))
         spans = [[{"s": a, "e": b} for a, b in zip(np.flatnonzero(~x[:-1] & x[1:]).tolist(), np.flatnonzero(x[:-1] & ~x[1:]).tolist(), strict=True)] for x in inside[hit]]
         take = hit.tolist()
-        return pa.record_batch([pa.array([h[i] for i in take], pa.int64()), pa.array([g[i] for i in take], pa.string()), pa.array(spans, pa.list_(pa.struct({"s": pa.int32(), "e": pa.int32()})))], ["h", "g", "spans"])
+        return pa.record_batch([pa.array([h[i] for i in take], pa.int64()), pa.array([g[i] for i in take], pa.int64()), pa.array(spans, pa.list_(pa.struct({"s": pa.int32(), "e": pa.int32()})))], ["h", "g", "spans"])
 
     def run(batches):
         held, group = [], []
@@ -229,7 +229,7 @@ def covered(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.select("h", "g", "lead", "context").mapInArrow(run, "h long, g string, spans array<struct<s:int,e:int>>")
+    return rows.select("h", "g", "lead", "context").mapInArrow(run, "h long, g long, spans array<struct<s:int,e:int>>")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -251,24 +251,27 @@ def removed(docs: DataFrame) -> DataFrame:
     # 2. Their contexts; of equal contexts the least document.
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     met = materialize(spark, contexts(keyed.join(wanted, keyed["doc_id"] == wanted["doc"])), "contexts")
-    release(spark)
-    g = F.md5("context").alias("g")
+    discard(spark, wanted)
+    g = F.xxhash64("context").alias("g")
     leads = materialize(spark, met.groupBy("h", g).agg(F.min("doc").alias("lead"), F.min("context").alias("context")), "leads")
-    release(spark)
+    places = materialize(spark, met.select("h", g, "doc", "text_key", "start", F.length("context").alias("size")), "places")
+    discard(spark, met)
     # 3. Maximal repeats among different contexts of one anchor.
     hot = materialize(spark, leads.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("h"), "hot")
     parted = leads.join(hot, "h", "left_anti").repartition(tasks, "h").sortWithinPartitions("h", "g")
     single = leads.join(hot, "h").select("h", "g", "lead", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("context") - LENGTH + 1), lambda i: F.md5(F.substr("context", i, F.lit(LENGTH))))).alias("s", "string"))
     owner = single.groupBy("string").agg(F.min("lead").alias("least"))
     split = single.join(owner, "string").where("least < lead").groupBy("h", "g").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + LENGTH).cast("int").alias("e"))).alias("spans"))
-    parts = materialize(spark, covered(parted).unionByName(split), "spans")
-    release(spark)
+    parts = covered(parted).unionByName(split)
+    found = materialize(spark, leads.select("h", "g", "lead").join(parts, ["h", "g"], "left"), "spans")
+    discard(spark, leads, hot)
     # 4. What each document loses: contexts that a smaller document has too, and the spans of the others.
-    places = met.select("h", g, "doc", "text_key", "start", F.length("context").alias("size")).join(leads.select("h", "g", "lead"), ["h", "g"])
-    whole = places.where("doc > lead").select("doc", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    some = places.where("doc = lead").join(parts, ["h", "g"]).select("doc", "text_key", "start", F.explode("spans").alias("x")).select("doc", "text_key", (F.col("start") + F.col("x.s")).alias("s"), (F.col("start") + F.col("x.e")).alias("e"))
-    lost = materialize(spark, whole.unionByName(some).groupBy("doc", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("lost")), "lost")
-    release(spark)
+    start, size = F.col("start"), F.col("size")
+    whole = F.array(F.struct(start.alias("s"), (start + size).alias("e")))
+    some = F.transform("spans", lambda x: F.struct((start + x["s"]).alias("s"), (start + x["e"]).alias("e")))
+    each = places.join(found, ["h", "g"]).where("doc > lead OR spans IS NOT NULL").select("doc", "text_key", F.when(F.col("doc") > F.col("lead"), whole).otherwise(some).alias("x"))
+    lost = materialize(spark, each.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("x")).alias("lost")), "lost")
+    discard(spark, places, found)
     all_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     joined = all_rows.join(lost, (all_rows["doc_id"] == lost["doc"]) & (all_rows["text_key"] == lost["text_key"]), "left").select("doc_id", "text", "lost")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<s:long,e:long>>")
