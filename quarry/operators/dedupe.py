@@ -49,7 +49,8 @@ def signatures(items: DataFrame) -> DataFrame:
     seeds = [(pow(48271, 2 * k + 1, _PRIME), pow(16807, 2 * k + 2, _PRIME)) for k in range(PERMUTATIONS)]
     coefficients = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in seeds])
     small = F.transform("set", lambda h: F.pmod(h, F.lit(_PRIME)))
-    return sets.withColumn("small", small).select("id", "set", F.transform(coefficients, lambda c: F.array_min(F.transform("small", lambda h: (h * c["a"] + c["b"]) % _PRIME))).alias("sig"))
+    sig = t.let(small, lambda held: F.transform(coefficients, lambda c: F.array_min(F.transform(held, lambda h: (h * c["a"] + c["b"]) % _PRIME))))
+    return sets.select("id", "set", sig.alias("sig"))
 
 
 def lsh(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
