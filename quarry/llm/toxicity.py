@@ -2,7 +2,7 @@
 
 Documents carry one label each, so tokens are labelled from them first: a word is toxic where the toxic documents of
 the sample hold it far more often than the clean ones. The chain is fitted to those token labels by gradient ascent on
-its log-likelihood (forward-backward), and a logistic curve maps P(any toxic token) of a document to its label.
+its log-likelihood (forward-backward), and a logistic curve maps the marginals of a document's tagged words to its label.
 
 Scoring runs over whole texts. Words outside the model's vocabulary share one potential, so a stretch of m of them is the
 m-th power of one 2 x 2 matrix; the exact marginals come from the words of the vocabulary and those powers.
@@ -36,7 +36,7 @@ class Model:
     emit: np.ndarray  # (len(hashes) + 1, 2); the last row is every other word's
     move: np.ndarray  # (2, 2) transition scores
     start: np.ndarray  # (2,)
-    curve: tuple[float, float]  # slope and intercept from logit P(any toxic token) to the document's logit
+    curve: tuple[float, float]  # slope and intercept from a document's evidence to its logit
 
 
 def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def _fit(h: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Model:
     emit, move, start = _ascend(token, label, sizes, len(kept) + 1)
     model = Model(found[kept], emit, move, start, (1.0, 0.0))
     own = np.flatnonzero(token < len(kept))
-    x = _document_logit(*_chain(model, token[own], _place(sizes, own), row[own], sizes)[:2])
+    x = _evidence(_chain(model, token[own], _place(sizes, own), row[own], sizes)[2], token[own], row[own], len(sizes), len(kept))
     return Model(found[kept], emit, move, start, _logistic(x, toxic.astype(float)))
 
 
@@ -168,10 +168,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _document_logit(log_z: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """logit of 1 - P(every token is clean)."""
-    s = np.maximum(log_z - clean, 1e-12)
-    return np.clip(np.where(s > 30, s, np.log(np.expm1(np.minimum(s, 30)))), -20, 20)
+def _evidence(p: np.ndarray, token: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:
+    """Per row the sum over its distinct tagged words (P(toxic) of a half or more) of their highest marginal.
+
+    A word said again is no new evidence, and long texts gather none from words that aren't tagged.
+    """
+    tagged = np.flatnonzero(p >= 0.5)
+    key = row[tagged] * words + token[tagged]
+    order = np.lexsort((-p[tagged], key))
+    key, top = np.unique(key[order], return_index=True)
+    return np.bincount(key // words, p[tagged][order][top], n)
 
 
 def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,8 +282,9 @@ def _scored(batch: pa.RecordBatch, model: Model, spans: bool) -> pa.RecordBatch:
     i = np.searchsorted(model.hashes, h)
     i[i == len(model.hashes)] = 0
     own = np.flatnonzero(model.hashes[i] == h) if len(model.hashes) else np.zeros(0, np.int64)
-    log_z, clean, p = _chain(model, i[own], _place(sizes, own), row[own], sizes)
-    value = 1 / (1 + np.exp(-(model.curve[0] * _document_logit(log_z, clean) + model.curve[1])))
+    _, _, p = _chain(model, i[own], _place(sizes, own), row[own], sizes)
+    x = _evidence(p, i[own], row[own], batch.num_rows, max(1, len(model.hashes)))
+    value = 1 / (1 + np.exp(-(model.curve[0] * x + model.curve[1])))
     out = [batch.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
     if spans:
         bad = own[p >= 0.5]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import bpe, fingerprint, language, lines, media, minhash, mixing, queries, repeats, sharding, toxicity
+from quarry.llm.common import materialize
 
 DATA = "/root/testdata/sf0.001"
 LONG = "one two three four five six seven eight nine ten " * 3000
@@ -112,7 +113,7 @@ def test_components_agree(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
     df = spark.createDataFrame(pairs, "a long, b long")
-    hold = lambda x: x.cache()
+    hold = lambda x: materialize(spark, x, "test")
     one = {(r["node"], r["root"]) for r in minhash.components(df, hold).collect()}
     two = {(r["node"], r["root"]) for r in minhash.components(df, hold, local=0).collect()}
     assert one == two
