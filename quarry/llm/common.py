@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,9 +33,17 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no rerun."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no rerun.
+
+    The shuffle files of the write go as soon as the table is there.
+    """
     path = f"{work_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
