@@ -109,7 +109,9 @@ def search_page2(spark, d):
     own, by = items(spark, d), sources(spark, d)
     from dataclasses import replace
 
-    return search.search(own, by, replace(_LIKE, cursor=search.cursor(search.search(own, by, _LIKE), _LIKE)))
+    page = search.search(own, by, _LIKE)
+    behind = search.cursor(page, _LIKE)
+    return search.search(own, by, replace(_LIKE, cursor=behind)) if behind else page.limit(0)  # no second page
 
 
 _TERMS = ["the", "erin", "onth", "ment"]
