@@ -27,6 +27,10 @@ BROADCAST_IDS = 1_000_000
 LOCAL_LINKS = 1_000_000
 #: Bands whose buckets are compared first; the others then only across the classes found so far.
 FIRST_BANDS = 4
+#: Members of a bucket that one cell compares with each other; a larger bucket is cut into parts of about that size, and any two parts make a cell.
+CELL = 1_000
+#: Components compared at once in a cell.
+COMPARED = 8_000_000
 #: Share of agreeing components from which a candidate pair is verified: 6 standard errors below the threshold.
 LIKELY = 0.59
 
@@ -74,7 +78,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (MD5 of the text: equal texts are one), sig (null for a text without words), bands (hash of each band)."""
+    """doc_id, same (MD5 of the text: equal texts are one), sig (null for a text without words), bands (hash of each band), brief (a byte of each component)."""
 
     def run(batches):
         for batch in batches:
@@ -90,10 +94,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 band = mix(band + np.arange(SIZE // BAND, dtype=np.uint64))
                 none = pa.array(np.bincount(row, minlength=part.num_rows) == 0)
                 out = [pc.if_else(none, pa.scalar(None, pa.list_(kind)), pa.array(list(x), pa.list_(kind))) for x, kind in ((held, pa.int32()), (band.view(np.int64), pa.int64()))]
-                yield pa.record_batch([part.column("doc_id"), part.column("same"), *out], ["doc_id", "same", "sig", "bands"])
+                brief = pa.array([x.tobytes() for x in held.astype(np.uint8)], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("same"), *out, brief], ["doc_id", "same", "sig", "bands", "brief"])
 
     rows = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("same"))
-    return rows.select("doc_id", "text", "same").mapInArrow(run, "doc_id long, same string, sig array<int>, bands array<long>")
+    return rows.select("doc_id", "text", "same").mapInArrow(run, "doc_id long, same string, sig array<int>, bands array<long>, brief binary")
 
 
 def components(edges: DataFrame, materialized, local: int = LOCAL_LINKS) -> DataFrame:
@@ -155,23 +160,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keep = lambda df, label: materialize(spark, df, label)
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     every = signed(rows)
-    texts = keep(every.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "signatures")
+    texts = keep(every.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("brief").alias("brief")), "signatures")
     able = texts.where("sig IS NOT NULL")
     banded = able.select("id", F.posexplode("bands").alias("band", "h"))
     crowded = banded.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = keep(banded.join(crowded.select("h"), "h"), "buckets")
     words_of = rows.select(F.col("doc_id").alias("id"), "text")
-    links, tried, labels, turn = None, None, None, 0
+    links, tried, labels, turn, last = None, None, None, 0, False
     while True:
-        # Each bucket compares its members with one leader: first the least id, then others, and only across classes.
+        # Each bucket compares its members with one leader: first the least id, then others, and only across classes. When such a
+        # round links nothing, the last one compares all pairs of a bucket that are still of two classes.
         if labels is None:
             member = buckets.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("id"))
             lead = member.groupBy("h").agg(F.min("id").alias("leader"), F.min("id").alias("leader_root"))
         else:
             member = buckets.join(labels, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+        if labels is not None and not last:
             chosen = F.min(F.struct(F.xxhash64("id", "h", F.lit(turn)), F.col("id"), F.col("root")))
             lead = member.groupBy("h").agg(chosen.alias("x"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h", F.col("x.id").alias("leader"), F.col("x.root").alias("leader_root"))
-        pairs = member.join(lead, "h").where("id <> leader AND root <> leader_root").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        if last:
+            pairs = across(member, able.select("id", "brief"), threshold)
+        else:
+            pairs = member.join(lead, "h").where("id <> leader AND root <> leader_root").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if links is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         sig = lambda name: able.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
@@ -187,14 +197,61 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         elif labels is None:
             labels = spark.createDataFrame([], "node long, root long")
         turn += 1
-        if turn > 1 and not new:
+        if last:
             break
+        last = turn > 1 and not new
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     named = texts.select("same", "id", "copies").join(labels, F.col("id") == F.col("node"), "left").join(degree, "id", "left").select("same", F.coalesce("root", "id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     keys = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5(F.col("text").cast("binary"))).alias("same"))
     return keys.join(named, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def across(member: DataFrame, briefs: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of two classes that share a bucket and may agree in enough components. member: h, id, root; briefs: id, brief.
+
+    The leader of the round before met every other class of its bucket, so buckets of two have nothing left.
+    """
+    mixed = member.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1 AND n > 2").select("h", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    each = member.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = each.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "root").join(briefs, "id")
+    dealt = cells.select("h", "lo", "hi", "part", "id", "root", "brief").repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    least = LIKELY / THRESHOLD * threshold * SIZE
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            keys = [held.column(k).to_numpy() for k in ("h", "lo", "hi")]
+            begin = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if len(begin):
+                yield _compared(held.slice(0, begin[-1]), np.concatenate([[0], begin]), least)
+                held = held.slice(begin[-1])
+        if held is not None and held.num_rows:
+            yield _compared(held, np.array([0, held.num_rows]), least)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(rows: pa.Table, ends: np.ndarray, least: float) -> pa.RecordBatch:
+    """The distinct pairs (a, b) of two classes that agree in `least` components, of the cells that ends cuts the rows into."""
+    part, lo, hi, ids, root = (rows.column(k).to_numpy() for k in ("part", "lo", "hi", "id", "root"))
+    sig = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, SIZE)
+    found = [np.zeros((0, 2), np.int64)]
+    for first, end in zip(ends[:-1], ends[1:], strict=True):
+        at, one = np.arange(first, end), lo[first] == hi[first]
+        left, right = (at, at) if one else (at[part[at] == lo[first]], at[part[at] == hi[first]])
+        left = left[np.argsort(root[left], kind="stable")]
+        for own in np.split(left, np.flatnonzero(np.diff(root[left])) + 1) if len(left) else ():
+            rest = right[root[right] > root[own[0]]] if one else right[root[right] != root[own[0]]]
+            step = max(1, COMPARED // max(1, len(rest) * SIZE))
+            for k in range(0, len(own) if len(rest) else 0, step):
+                some = own[k : k + step]
+                x, y = np.nonzero(np.count_nonzero(sig[some][:, None] == sig[rest][None], axis=2) >= least)
+                found.append(np.stack([ids[some[x]], ids[rest[y]]], axis=1))
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold, by their shingles."""
 

@@ -109,6 +109,25 @@ def test_minhash_edges(edges, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def _family(seed, n=300, slots=80):
+    """Texts of one template with two words for each slot, pairwise at about 0.6; the last two differ in ten slots, 0.88."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    parts = [(" ".join(word() for _ in range(9)), word(), word()) for _ in range(slots)]
+    picks = [[rng.randrange(2) for _ in parts] for _ in range(n - 1)]
+    picks.append([x ^ (k % 8 == 0) for k, x in enumerate(picks[-1])])
+    return [(i + 1, " ".join(f"{p[0]} {p[1 + x]}" for p, x in zip(parts, pick, strict=True))) for i, pick in enumerate(picks)]
+
+
+def test_minhash_links_a_pair_in_a_family(spark, monkeypatch):
+    """The two lead no bucket that they share, and no others link."""
+    family = spark.createDataFrame(_family(1), "doc_id long, text string")
+    for cell in (minhash.CELL, 40):
+        monkeypatch.setattr(minhash, "CELL", cell)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(family).collect()}
+        assert got == {i: min(i, 299) for i in range(1, 301)}
+
+
 def test_components_agree(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
