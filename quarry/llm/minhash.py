@@ -4,7 +4,8 @@ Elements of a document are its distinct five-word shingles; the weight of one is
 element d arrive at the times of a Poisson process of rate weight(d), seeded by d alone, each arrival at a random
 component; a component keeps its first arrival. Arrivals later than the latest of these firsts cannot matter, so an
 element's process ends early. Two documents agree in a component with the probability Jaccard similarity of their weights,
-which for equal weights is the Jaccard similarity of the sets.
+which for equal weights is the Jaccard similarity of the sets. Texts that repeat a shingle also have a signature by equal
+weights; for other texts it is the same one, as only ratios of weights matter.
 """
 
 from __future__ import annotations
@@ -77,8 +78,20 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int)
     return kept.reshape(n, SIZE)
 
 
+def _held(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low half of each component, and the hash of each band."""
+    band = np.zeros((len(sig), SIZE // BAND), np.uint64)
+    for k in range(BAND):
+        band = mix(band + sig[:, k::BAND] + np.uint64(k + 1))
+    band = mix(band + np.arange(SIZE // BAND, dtype=np.uint64))
+    return (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), band.view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (MD5 of the text: equal texts are one), sig (null for a text without words), bands (hash of each band), brief (a byte of each component)."""
+    """doc_id, same (MD5 of the text: equal texts are one), sig (null for a text without words), bands (hash of each band), brief (a byte of each component).
+
+    All three hold the weighted signature, then the plain one where it is another.
+    """
 
     def run(batches):
         for batch in batches:
@@ -86,15 +99,17 @@ def signed(docs: DataFrame) -> DataFrame:
             for lo, hi in runs(sizes, BYTES_AT_ONCE):
                 part = batch.slice(lo, hi - lo)
                 row, code, weight = shingles(part.column("text"))
-                sig = signatures(row, code, weight, part.num_rows)
-                held = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                band = np.zeros((part.num_rows, SIZE // BAND), np.uint64)
-                for k in range(BAND):
-                    band = mix(band + sig[:, k::BAND] + np.uint64(k + 1))
-                band = mix(band + np.arange(SIZE // BAND, dtype=np.uint64))
-                none = pa.array(np.bincount(row, minlength=part.num_rows) == 0)
-                out = [pc.if_else(none, pa.scalar(None, pa.list_(kind)), pa.array(list(x), pa.list_(kind))) for x, kind in ((held, pa.int32()), (band.view(np.int64), pa.int64()))]
-                brief = pa.array([x.tobytes() for x in held.astype(np.uint8)], pa.binary())
+                n = part.num_rows
+                sig, count = signatures(row, code, weight, n), np.bincount(row, minlength=n)
+                uneven = np.zeros(n, bool)
+                uneven[row[weight != weight[np.searchsorted(row, row)]]] = True
+                sub, number = uneven[row], np.cumsum(uneven) - 1
+                plain = signatures(number[row[sub]], code[sub], np.ones(sub.sum()), uneven.sum())
+                one, two = _held(sig), _held(plain)
+                held, band = ([np.concatenate([x[i], y[number[i]]]) if uneven[i] else x[i] for i in range(n)] for x, y in zip(one, two, strict=True))
+                none = pa.array(count == 0)
+                out = [pc.if_else(none, pa.scalar(None, pa.list_(kind)), pa.array(x, pa.list_(kind))) for x, kind in ((held, pa.int32()), (band, pa.int64()))]
+                brief = pa.array([x.astype(np.uint8).tobytes() for x in held], pa.binary())
                 yield pa.record_batch([part.column("doc_id"), part.column("same"), *out, brief], ["doc_id", "same", "sig", "bands", "brief"])
 
     rows = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("same"))
@@ -162,7 +177,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     every = signed(rows)
     texts = keep(every.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("brief").alias("brief")), "signatures")
     able = texts.where("sig IS NOT NULL")
-    banded = able.select("id", F.posexplode("bands").alias("band", "h"))
+    banded = able.select("id", F.posexplode(F.array_distinct("bands")).alias("band", "h"))
     crowded = banded.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     buckets = keep(banded.join(crowded.select("h"), "h"), "buckets")
     words_of = rows.select(F.col("doc_id").alias("id"), "text")
@@ -185,7 +200,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if links is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         sig = lambda name: able.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
-        agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+        same = lambda at: F.size(F.filter(F.zip_with(F.slice("sig_a", at, SIZE), F.slice("sig_b", at, SIZE), lambda x, y: x == y), lambda x: x))
+        agree = F.when(F.greatest(F.size("sig_a"), F.size("sig_b")) > SIZE, F.greatest(same(1), same(-SIZE))).otherwise(same(1))
         likely = pairs.join(sig("a"), "a").join(sig("b"), "b").where(agree >= LIKELY / THRESHOLD * threshold * SIZE).select("a", "b")
         likely = keep(likely, "candidates")
         fresh = keep(verified(likely, words_of, threshold), "links")
@@ -235,7 +251,9 @@ def across(member: DataFrame, briefs: DataFrame, threshold: float) -> DataFrame:
 def _compared(rows: pa.Table, ends: np.ndarray, least: float) -> pa.RecordBatch:
     """The distinct pairs (a, b) of two classes that agree in `least` components, of the cells that ends cuts the rows into."""
     part, lo, hi, ids, root = (rows.column(k).to_numpy() for k in ("part", "lo", "hi", "id", "root"))
-    sig = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(-1, SIZE)
+    briefs = rows.column("brief").to_pylist()
+    sigs = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, SIZE) for x in ([y[:SIZE] for y in briefs], [y[-SIZE:] for y in briefs])]
+    two = np.array([len(y) > SIZE for y in briefs])
     found = [np.zeros((0, 2), np.int64)]
     for first, end in zip(ends[:-1], ends[1:], strict=True):
         at, one = np.arange(first, end), lo[first] == hi[first]
@@ -246,7 +264,10 @@ def _compared(rows: pa.Table, ends: np.ndarray, least: float) -> pa.RecordBatch:
             step = max(1, COMPARED // max(1, len(rest) * SIZE))
             for k in range(0, len(own) if len(rest) else 0, step):
                 some = own[k : k + step]
-                x, y = np.nonzero(np.count_nonzero(sig[some][:, None] == sig[rest][None], axis=2) >= least)
+                likely = np.count_nonzero(sigs[0][some][:, None] == sigs[0][rest][None], axis=2) >= least
+                if two[some].any() or two[rest].any():
+                    likely |= np.count_nonzero(sigs[1][some][:, None] == sigs[1][rest][None], axis=2) >= least
+                x, y = np.nonzero(likely)
                 found.append(np.stack([ids[some[x]], ids[rest[y]]], axis=1))
     pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
     return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

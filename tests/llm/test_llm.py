@@ -128,6 +128,14 @@ def test_minhash_links_a_pair_in_a_family(spark, monkeypatch):
         assert got == {i: min(i, 299) for i in range(1, 301)}
 
 
+def test_minhash_links_by_either_measure(spark):
+    """A passage said 100 times changes the weights but hardly the set of shingles."""
+    text = " ".join(f"word{i}" for i in range(304))
+    rows = [(1, text), (2, text + " and so it goes on forever" * 100), (3, " ".join(f"other{i}" for i in range(304)))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_agree(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
