@@ -1,13 +1,14 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-The edit bound is one word for lines of MIN_NEAR to MAX_NEAR words, and none for other lines of at least MIN_WORDS words. A line
+The edit bound is one word for lines of at least MIN_NEAR words, and none for other lines of at least MIN_WORDS words. A line
 emits the hash of itself and of itself without one of its words, for each such word; lines that share a variant at one
 place are within the bound, the earliest stays and the pair is verified word by word.
 
 Emitting all variants of all lines would be many times the input, so lossless filters come first. One edit leaves the first h
 or the last h words of a line alone (h at most half its words), so only lines that share such a half with another line
 go on; and of those it leaves alone all but one of BLOCKS blocks, so only variants within blocks whose surroundings
-two lines share are emitted. All steps are grouped minima and equality joins: no group is listed or paired within itself.
+two lines share are emitted. In lines of MAX_NEAR words or more such a block is cut into blocks again, down to one word, as
+each variant costs the whole line. All steps are grouped minima and equality joins: no group is listed or paired within itself.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, lid, half keys of each line that takes part; a line's id is the MD5 of its words."""
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.select("doc_id", "pos", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
-    near = (F.col("n") >= MIN_NEAR) & (F.col("n") <= MAX_NEAR)
+    near = F.col("n") >= MIN_NEAR
     sizes = F.array_distinct(F.array(_half(F.col("n")), _half(F.col("n") - 1)))
     keys = F.flatten(F.transform(sizes, lambda h: F.array(F.xxhash64(F.lit("first"), h, F.slice("words", 1, h)), F.xxhash64(F.lit("last"), h, F.slice("words", -h, h)))))
     return each.select("doc_id", "pos", F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))).alias("lid"), F.when(near, keys).alias("keys"))
@@ -65,19 +66,50 @@ def _able(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return materialize(spark, able.where(F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))) == F.col("lid")).dropDuplicates(["lid"]), "near-lines")
 
 
+def _roles(able: DataFrame) -> DataFrame:
+    """lid, first, words, role, m: each line as the one of m words (role 0) and as one with a word more (role 1)."""
+    n = F.size("words")
+    roles = F.explode(F.array(F.struct(F.lit(0).alias("role"), n.alias("m")), F.struct(F.lit(1).alias("role"), (n - 1).alias("m")))).alias("x")
+    return able.select("lid", "first", "words", roles).select("lid", "first", "words", "x.role", "x.m")
+
+
+def _around(begin: Column, end: Column) -> Column:
+    """Hash of the words of a line around a block, and of the place of the block in m words."""
+    n, m = F.size("words"), F.col("m")
+    return F.xxhash64(m, begin, end, F.slice("words", F.lit(1), begin), F.slice("words", n - (m - end) + 1, m - end))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key")
+
+
+def _narrowed(long: DataFrame) -> DataFrame:
+    """lid, role, begin, end of the blocks of one word whose surroundings another line shares, by blocks of blocks."""
+    spark = long.sparkSession
+    blocks = _roles(long).select("lid", "role", "m", F.lit(0).alias("begin"), F.col("m").alias("end"))
+    while True:
+        at = lambda j: (F.col("begin") + F.floor(j * (F.col("end") - F.col("begin")) / BLOCKS)).cast("int")
+        parts = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).select("lid", "role", "m", at(F.col("j")).alias("begin"), at(F.col("j") + 1).alias("end")).where("begin < end")
+        words = long.select("lid", "words")
+        keyed = materialize(spark, parts.join(words, "lid").select("lid", "role", "m", "begin", "end", _around(F.col("begin"), F.col("end")).alias("key")), "narrow-keys")
+        blocks = materialize(spark, keyed.join(_shared(keyed), "key", "left_semi").drop("key"), "narrow-blocks")
+        if not blocks.where("end - begin > 1").limit(1).count():
+            return blocks
+
+
 def _variants(able: DataFrame) -> DataFrame:
     """lid, first, role, i, v: hashes of lines without word i, in the blocks whose surroundings another line shares.
 
     A line takes part as the one of m words (role 0; i = -1 is the whole line) and as one with a word more (role 1).
     """
-    n, j, m = F.size("words"), F.col("j"), F.col("m")
-    roles = F.explode(F.array(F.struct(F.lit(0).alias("role"), n.alias("m")), F.struct(F.lit(1).alias("role"), (n - 1).alias("m")))).alias("x")
-    blocks = able.select("lid", "first", "words", roles).select("lid", "first", "words", "x.role", "x.m").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    begin, end = F.floor(j * m / BLOCKS).cast("int"), F.floor((j + 1) * m / BLOCKS).cast("int")
-    around = F.xxhash64("m", "j", F.slice("words", F.lit(1), begin), F.slice("words", n - (m - end) + 1, m - end))
-    keyed = blocks.select("lid", "first", "words", "role", begin.alias("begin"), end.alias("end"), around.alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key")
-    met = keyed.join(_few(materialize(able.sparkSession, shared, "block-keys"), BROADCAST_KEYS), "key", "left_semi")
+    begin, end = F.floor(F.col("j") * F.col("m") / BLOCKS).cast("int"), F.floor((F.col("j") + 1) * F.col("m") / BLOCKS).cast("int")
+    blocks = _roles(able.where(F.size("words") <= MAX_NEAR)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    keyed = blocks.select("lid", "first", "words", "role", begin.alias("begin"), end.alias("end"), _around(begin, end).alias("key"))
+    met = keyed.join(_few(materialize(able.sparkSession, _shared(keyed), "block-keys"), BROADCAST_KEYS), "key", "left_semi").drop("key")
+    # A line of MAX_NEAR words may be one from a shorter or a longer line, so it takes part in both.
+    long = able.where(F.size("words") >= MAX_NEAR)
+    if long.limit(1).count():
+        met = met.unionByName(_narrowed(long).join(long, "lid").select("lid", "first", "words", "role", "begin", "end"))
     inside = F.when(F.col("role") == 1, F.sequence("begin", "end")).when(F.col("end") > F.col("begin"), F.concat(F.array(F.lit(-1)), F.sequence(F.col("begin"), F.col("end") - 1))).otherwise(F.array(F.lit(-1)))
     each = F.explode(F.transform(inside, lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("words"), i)).alias("v")))).alias("x")
     return met.select("lid", "first", "role", each).select("lid", "first", "role", "x.i", "x.v").distinct()

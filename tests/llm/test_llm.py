@@ -221,6 +221,15 @@ def test_lines_within_the_bound(spark):
     assert got == {1: rows[0][1], 2: "", 3: "", 4: "", 5: rows[4][1], 6: "kept line of words here", 7: "a b c d", 8: "a b c e"}
 
 
+def test_long_lines_within_the_bound(spark):
+    """Beyond 1,000 words: a word replaced, added at the 1,000th, at either end; two words replaced stay."""
+    words = [f"w{i}" for i in range(3000)]
+    other = [f"x{i}" for i in range(1000)]
+    some = [words, words[:1500] + ["new"] + words[1501:], words[1:], words + ["end"], words[:700] + ["a", "b"] + words[702:], other, other[:400] + ["more"] + other[400:]]
+    got = lines.dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(some)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
+
+
 def test_lines_edges(edges, empty):
     out = lines.dedup(edges)
     rows = collections.defaultdict(list)
