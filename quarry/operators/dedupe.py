@@ -27,16 +27,21 @@ def distinct_texts(items: DataFrame) -> DataFrame:
     return rows.where("plain <> ''").groupBy("plain").agg(F.min("id").alias("id")).select("id", F.transform(t.shingles(F.col("plain")), lambda s: F.xxhash64(s)).alias("set"))
 
 
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n (shingles of the set), h: the rarest 1 - threshold of each set's shingles."""
+    rows = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
+    rare = rows.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = rows.join(rare, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("x")).select("id", "n", "x.h")
+
+
 def jaccard_pairs(items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """A, b, similarity of all pairs of different normalised texts at the threshold, exactly.
 
     Prefix filter: two sets this similar share one of the rarest 1 - threshold of either's shingles, so only those meet.
     """
     sets = distinct_texts(items)
-    rows = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
-    rare = rows.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = rows.join(rare, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("x")).select("id", "n", "x.h")
+    prefix = prefixes(sets, threshold)
     a, b = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = a.join(b, "h").where(f"a < b AND na >= nb * {threshold} AND nb >= na * {threshold}").select("a", "b").distinct()
     one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
@@ -54,17 +59,23 @@ def signatures(items: DataFrame) -> DataFrame:
 
 
 def lsh(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
-    """Id, duplicate_of: items that share a band with an earlier one, its least; verified by Jaccard unless told not to.
+    """Id, duplicate_of: items that share a band with earlier ones, the least of these; verified by Jaccard unless told not to.
 
-    A band's members meet its least id only, so a bucket of n gives n - 1 pairs.
+    Unverified, the least id of a band is the answer for all of it. Verified, any earlier member may be, so all that share one
+    of the rarest shingles of either (as in jaccard_pairs) meet within their band.
     """
     signed = signatures(items)
     bands = signed.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])).alias("band"))
     least = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = bands.join(least, "band").where("id > first").select("id", "first").distinct()
-    if verify:
-        one, two = signed.select("id", "set"), signed.select(F.col("id").alias("first"), F.col("set").alias("theirs"))
-        pairs = pairs.join(one, "id").join(two, "first").where(t.jaccard(F.col("set"), F.col("theirs")) >= threshold - 1e-9).select("id", "first")
+    met = bands.join(least, "band").persist()  # few rows, and the signatures are dear
+    if not verify:
+        return met.where("id > first").groupBy("id").agg(F.min("first").alias("duplicate_of"))
+    some = distinct_texts(items).join(met.select("id").distinct(), "id", "left_semi")
+    keyed = met.select("id", "band").join(prefixes(some, threshold), "id")
+    a, b = keyed.select("band", "h", F.col("id").alias("first"), F.col("n").alias("na")), keyed.select("band", "h", "id", F.col("n").alias("nb"))
+    pairs = a.join(b, ["band", "h"]).where(f"first < id AND na >= nb * {threshold} AND nb >= na * {threshold}").select("id", "first").distinct()
+    one, two = some, some.select(F.col("id").alias("first"), F.col("set").alias("theirs"))
+    pairs = pairs.join(one, "id").join(two, "first").where(t.jaccard(F.col("set"), F.col("theirs")) >= threshold - 1e-9).select("id", "first")
     return pairs.groupBy("id").agg(F.min("first").alias("duplicate_of"))
 
 

@@ -52,6 +52,19 @@ def test_lsh_agrees_with_jaccard(spark):
     assert dedupe.collision_probability(1.0) == 1.0
 
 
+def test_lsh_passes_a_false_leader(spark):
+    """In each of five groups 20 earlier items at 0.9 share the bands of two later ones at 0.98; the threshold is 0.95."""
+    rows = []
+    for group in range(5):
+        words = [f"g{group}w{i}" for i in range(120)]
+        some = [[f"x{k}y{i}" if i in (5 + 2 * k, 55 + 3 * k) else w for i, w in enumerate(words)] for k in range(20)]
+        rows += [(22 * group + k + 1, "t", " ".join(x)) for k, x in enumerate([*some, words, [*words[:-1], "end"]])]
+    items = spark.createDataFrame(rows, "id long, title string, text string")
+    want = {(22 * g + 22, 22 * g + 21) for g in range(5)}
+    assert {(r["b"], r["a"]) for r in dedupe.jaccard_pairs(items, 0.95).collect()} == want
+    assert {(r["id"], r["duplicate_of"]) for r in dedupe.lsh(items, 0.95).collect()} == want
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], "k string, n int, created int")
     new = spark.createDataFrame([("b", 5, 9), ("c", 6, 9)], "k string, n int, created int")
