@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Spark deletes the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL: dict[str, str | None] = {}  # the folder of a run on one machine
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,12 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one where it is unset and all runs on one machine, as in tests."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", held)
-        spark.sparkContext.setCheckpointDir(held)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        held = _LOCAL.setdefault("dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+        _LOCAL["dir"] = held
     return held.rstrip("/")
 
 
@@ -50,17 +52,10 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables from materialize() that nothing lazy refers to any more, and finished shuffle files."""
+    """Delete tables from materialize() that nothing lazy refers to any more."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases: their results are in written tables."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def held_out_hash(column: str = "doc_id"):

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, powers, release, runs, utf8
+from .common import discard, materialize, mix, powers, runs, utf8
 
 #: Bytes of the shortest repeat, and of an anchor.
 LENGTH, ANCHOR = 50, 20
@@ -247,7 +247,6 @@ def removed(docs: DataFrame) -> DataFrame:
     seen = anchored(rows).withColumns({"least": F.min("doc").over(one), "most": F.max("doc").over(one)}).where("least < most OR size(others) > 0")
     wanted = materialize(spark, seen.select("h", F.explode(F.concat(F.array("doc"), "others")).alias("doc")).groupBy("doc").agg(F.collect_set("h").alias("wanted")), "anchors")
     del seen
-    release(spark)
     # 2. Their contexts; of equal contexts the least document.
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     met = materialize(spark, contexts(keyed.join(wanted, keyed["doc_id"] == wanted["doc"])), "contexts")

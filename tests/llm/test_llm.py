@@ -136,14 +136,41 @@ def test_minhash_links_by_either_measure(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_components_agree(spark):
+def test_components(spark):
     rng = random.Random(3)
-    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
-    df = spark.createDataFrame(pairs, "a long, b long")
-    hold = lambda x: materialize(spark, x, "test")
-    one = {(r["node"], r["root"]) for r in minhash.components(df, hold).collect()}
-    two = {(r["node"], r["root"]) for r in minhash.components(df, hold, local=0).collect()}
-    assert one == two
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k + 1, k) for k in range(1000, 1400)]
+    parent = {x: x for p in pairs for x in p}
+    for _ in parent:
+        for x, y in pairs:
+            parent[x] = parent[y] = min(parent[x], parent[y])
+    rng.shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = {r["node"]: r["root"] for r in minhash.components(df, lambda x: materialize(spark, x, "test")).collect()}
+    assert got == {x: r for x, r in parent.items() if x != r}
+
+
+def test_minhash_recall(spark):
+    """All pairs of different texts at sf0.01 that reach the threshold with a text whose id is divisible by 100, by brute force, and a group of edited copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = texts(docs)
+    base = max((t for t in held.values() if len(t) < 8000), key=len).split()
+    rng = random.Random(5)
+    for k in range(150):
+        held[100_000 + k] = " ".join(w if rng.random() > 0.004 * (k % 9) else f"new{rng.random()}" for w in base)
+    want = _classes({k: t for k, t in held.items() if k % 100 == 0 or k >= 100_000})
+    df = spark.createDataFrame(list(held.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    linked = [(k, r) for k, r in want.items() if k != r]
+    assert len(linked) > 80 and all(got[k] == got[r] for k, r in linked)
+
+
+@pytest.mark.parametrize("clash", ["__same", "id", "same"])
+def test_minhash_keeps_rows(spark, clash):
+    """Of repeated ids only the rows in the class of their id stay; columns of any name stay."""
+    t = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, t, "a"), (2, t + " and", "b"), (3, "other words", "c"), (3, t, "d"), (None, t, "e"), (4, None, "f"), (5, "", "g"), (6, "", "h")]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, f"doc_id long, text string, {clash} string"))
+    assert kept.columns == ["doc_id", "text", clash] and sorted(r[clash] for r in kept.collect()) == ["a", "c", "e", "f", "g"]
 
 
 # 2
