@@ -257,6 +257,16 @@ def test_long_lines_within_the_bound(spark):
     assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
 
 
+def test_short_lines_and_clashing_columns(spark):
+    """Lines of one or two words take part in the exact join whatever their blanks; columns of any name stay."""
+    rows = [(1, "Les.\n\nun  mot\tici\n\n長い一行", 1, "a"), (2, " Les. \nun mot ici\nun mot\n長い一行\n", 2, "b")]
+    for name in ("n_chars", "gone", "id", "row", "lid"):
+        out = lines.dedup(spark.createDataFrame(rows, f"doc_id long, text string, {name} long, n_removed string"))
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert out.columns == ["doc_id", "text", name, "n_lines", "n_removed"] and got[1]["text"] == rows[0][1] and got[2]["text"] == "un mot\n" and got[2]["n_removed"] == 3
+        assert got[2][name] == (7 if name == "n_chars" else 2)
+
+
 def test_lines_edges(edges, empty):
     out = lines.dedup(edges)
     rows = collections.defaultdict(list)
