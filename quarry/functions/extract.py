@@ -7,10 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import count_contained, literals
+from .text import count_contained, let
 
 #: Tried in this order; "MM/dd" comes before "dd/MM".
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy")
+LENIENT_FORMATS = ("yyyy/M/d", "yyyyMMdd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM. d, yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSSXX", "yyyy-MM-dd HH:mm", "yyyy-MM")
 _DROP = r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>"
 
 
@@ -26,12 +27,43 @@ def plain(html: Column) -> Column:
     return squeezed(out)
 
 
-def page_text(html: Column, least: int = 100) -> Column:
-    """Of a page without scripts and frames, the first of article and main whose text is longer than `least`, else the body's."""
+#: Where a page's text is looked for, in this order: tag, then the class or id that it must have.
+SELECTORS = (("article", "", ""), ("main", "", ""), ("", "class", "content"), ("", "class", "post-content"), ("", "class", "article-body"), ("", "class", "story-body"), ("", "id", "content"))
+
+
+def selected(clean: Column, tag: str, attribute: str, value: str) -> Column:
+    """The first element of a tag, or with a class or id, up to its end tag. Elements of the same tag inside it end it, unless none of them has the class or id."""
+    if tag:
+        return plain(F.regexp_extract(clean, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+    held = rf"""[^"']*(?<![\w-]){value}(?![\w-])[^"']*""" if attribute == "class" else value
+    return plain(F.regexp_extract(clean, rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*\b{attribute}\s*=\s*["']{held}["'][^>]*>(.*?)</\1\s*>""", 2))
+
+
+def cascade(html: Column, least: int = 100) -> Column:
+    """Text, method and errors (why each earlier method was passed over) of a page without scripts and frames.
+
+    The methods are the selectors, then the body; the first text longer than `least` is taken, else the body's whatever its length
+    (of no more than `least`: no method), else the last of the selectors' that has any.
+    """
     clean = F.regexp_replace(F.coalesce(html, F.lit("")), _DROP, "")
-    parts = [plain(F.regexp_extract(clean, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)) for tag in ("article", "main")]
     body = plain(F.regexp_extract(clean, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1))
-    return F.coalesce(*[F.when(F.length(p) > least, p) for p in parts], F.nullif(body, F.lit("")), F.nullif(parts[0], F.lit("")))
+    names = [t or ("." if a == "class" else "#") + v for t, a, v in SELECTORS] + ["body"]
+    parts = F.array(*[F.struct(F.lit(n).alias("method"), p.alias("text")) for n, p in zip(names, [*[selected(clean, *x) for x in SELECTORS], body], strict=True)])
+
+    def pick(found: Column) -> Column:
+        long = F.filter(found, lambda x: F.length(x["text"]) > least)
+        some = F.filter(found, lambda x: x["text"] != "")
+        best = F.coalesce(F.get(long, F.lit(0)), F.try_element_at(some, F.lit(-1)))
+        before = F.when(F.size(long) > 0, F.array_position(F.transform(found, lambda x: x["method"]), F.get(long, F.lit(0))["method"]) - 1).otherwise(F.size(found))
+        errors = F.transform(F.slice(found, F.lit(1), before.cast("int")), lambda x: F.concat(x["method"], F.when(x["text"] == "", ": nothing found").otherwise(": too short")))
+        return F.struct(best["text"].alias("text"), F.get(long, F.lit(0))["method"].alias("method"), errors.alias("errors"))
+
+    return let(parts, pick)
+
+
+def page_text(html: Column, least: int = 100) -> Column:
+    """The text that cascade() takes."""
+    return cascade(html, least)["text"]
 
 
 def page_title(html: Column) -> Column:
@@ -41,14 +73,47 @@ def page_title(html: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """The first format that fits, else null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in DATE_FORMATS])
+    """The first format that fits, else, leniently, one of other common ones without the name of the day, else null."""
+    raw = F.trim(text)
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\s+", ""), r"\s+", " ")
+    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in DATE_FORMATS], *[F.try_to_timestamp(bare, F.lit(f)) for f in (*DATE_FORMATS, *LENIENT_FORMATS)])
+
+
+#: Function words by language: a text is of the language whose words it holds most; ties go to the first.
+FUNCTION_WORDS = (("en", ("the", "and", "of", "to", "in", "is", "that", "was")), ("fr", ("le", "la", "les", "et", "des", "une", "est", "dans")), ("de", ("der", "die", "das", "und", "ein", "nicht", "mit", "ist")), ("es", ("el", "los", "las", "que", "una", "por", "con", "del")))
+
+
+def _told(text: Column, words: Iterable[str]) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])"))
+
+
+def _votes(text: Column, words) -> Column:
+    return F.array(*[F.struct(_told(text, held).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, held) in enumerate(words)])
+
+
+def language(text: Column, words=FUNCTION_WORDS, default: str = "en") -> Column:
+    """The language whose function words the text holds most; the default without any."""
+    return let(F.array_max(_votes(text, words)), lambda x: F.when(x["n"] > 0, x["name"]).otherwise(default))
+
+
+def language_share(text: Column, words=FUNCTION_WORDS) -> Column:
+    """The share of the best language's function words in those of all; null without any."""
+    return let(_votes(text, words), lambda v: F.try_divide(F.array_max(v)["n"], F.aggregate(v, F.lit(0), lambda a, x: a + x["n"])))
+
+
+def decoded(content: Column, charset: Column) -> Column:
+    """X11: bytes as text in a declared charset, UTF-8 without one; charsets that Spark doesn't have count as ISO-8859-1."""
+    name = F.upper(F.coalesce(charset, F.lit("UTF-8")))
+    out = F.when(name.isin("UTF-8", "UTF8"), F.try_validate_utf8(content.cast("string")))
+    for known in ("US-ASCII", "UTF-16BE", "UTF-16LE", "UTF-16"):
+        out = out.when(name == known, F.decode(content, known))
+    return F.coalesce(out, F.decode(content, "ISO-8859-1"))
 
 
 def keyword_tags(text: Column, keywords: Iterable[str]) -> Column:
     """The keywords that are substrings of the lower-cased text, sorted."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_sort(F.array_distinct(F.filter(literals(keywords), lambda k: F.contains(low, k))))
+    return F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in sorted(set(keywords))]))
 
 
 def content_type(title: Column, text: Column, classes: Iterable[tuple[str, Iterable[str]]]) -> Column:

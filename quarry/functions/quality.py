@@ -76,7 +76,8 @@ def relevance(title: Column, text: Column, keywords: Column, kind: Column, lexic
     low = F.lower(F.concat_ws(" ", title, text))
     score = F.least(F.lit(0.4), F.coalesce(F.size(keywords), F.lit(0)) * 0.1)
     for weight, patterns in lexicon.tiers:
-        found = sum((F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({p})(?![\p{{L}}\p{{N}}_])")) for p in patterns), F.lit(0))
+        count = lambda p: F.when(low.contains(p), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({p})(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+        found = sum((count(p) for p in patterns), F.lit(0))
         score = score + F.least(F.lit(0.3), found * weight)
     bonus = F.lit(0.0)
     for name, value in lexicon.bonus:

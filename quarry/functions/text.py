@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -24,14 +25,23 @@ def let(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """White-space tokens of a text; none for null, empty and blank ones."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
+
+
+def word_count(text: Column) -> Column:
+    """How many words() has, without making them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+
+
+def _any_of(values: Iterable[str]) -> str:
+    return "|".join(re.escape(v) for v in values)
 
 
 def normalized(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """D3: lower case, marks to spaces, stopwords and words of two characters or fewer dropped."""
-    stop = literals(stopwords)
-    kept = F.filter(words(F.regexp_replace(F.lower(text), _NOT_WORD, " ")), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
-    return F.array_join(kept, " ")
+    plain = F.regexp_replace(F.lower(text), _NOT_WORD, " ")
+    kept = F.regexp_replace(plain, rf"(?<!\S)(?:\S{{1,2}}|{_any_of(stopwords)})(?!\S)", "")
+    return F.trim(F.regexp_replace(F.coalesce(kept, F.lit("")), r"\s+", " "))
 
 
 def content_hash(title: Column, text: Column) -> Column:
@@ -56,20 +66,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def normalized_term(term: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
     """Lower case, marks to spaces, squeezed; null where shorter than three characters or a stopword."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(term), _NOT_WORD, " "), r"\s+", " "))
-    return F.when((F.length(plain) >= 3) & ~F.array_contains(literals(stopwords), plain), plain)
+    return F.when((F.length(plain) >= 3) & ~plain.isin(*stopwords), plain)
 
 
 def phrases(text: Column, indicators: Iterable[str], stopwords: Iterable[str] = STOPWORDS) -> Column:
     """T4: each occurrence of a significant two- or three-word phrase of lower-cased text."""
-    stop, signs = literals(stopwords), list(indicators)
+    said = F.transform(words(F.lower(text)), lambda w: F.when(~w.rlike(f"^(?:{_any_of(stopwords)})$"), w))  # stop words are null, and so is any phrase with one
+    pairs = lambda p, q: F.zip_with(p, q, lambda a, b: F.concat(a, F.lit(" "), b))
 
-    def grams(parts: Column, k: int) -> Column:
-        n = F.size(parts)
-        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda i: F.slice(parts, i, k)), lambda g: ~F.arrays_overlap(g, stop))
+    def grams(parts: Column) -> Column:
+        two = pairs(parts, F.slice(parts, 2, 1 << 30))
+        return F.concat(two, pairs(two, F.slice(parts, 3, 1 << 30)))
 
-    joined = F.transform(let(words(F.lower(text)), lambda parts: F.concat(grams(parts, 2), grams(parts, 3))), lambda g: F.array_join(g, " "))
-    return F.filter(joined, lambda p: (F.length(p) >= 6) & any_contained(p, signs))
+    return F.filter(let(said, grams), lambda p: (F.length(p) >= 6) & p.rlike(_any_of(indicators)))
 
 
 def any_contained(text: Column, parts: Iterable[str]) -> Column:

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
+from quarry.sources.working import written
 
-#: Components, and bands by rows, which suit a threshold of .8.
-PERMUTATIONS, BANDS, ROWS = 128, 9, 13
+#: Components, and bands by rows: two sets at .8 share a band with probability .998.
+PERMUTATIONS, BANDS, ROWS = 128, 21, 6
 _PRIME = (1 << 31) - 1
 
 
 def exact(items: DataFrame, key: str = "content_hash") -> DataFrame:
     """Of rows with one key the first by id; id, key, is_duplicate, duplicate_of."""
-    first = items.groupBy(key).agg(F.min("id").alias("first"))
-    return items.select("id", key).join(first, key).select("id", key, (F.col("id") > F.col("first")).alias("is_duplicate"), F.when(F.col("id") > F.col("first"), F.col("first")).alias("duplicate_of"))
+    rows = written(items.select("id", key), "keys")  # read by both sides
+    first = rows.groupBy(key).agg(F.min("id").alias("first"))
+    return rows.join(first, key).select("id", key, (F.col("id") > F.col("first")).alias("is_duplicate"), F.when(F.col("id") > F.col("first"), F.col("first")).alias("duplicate_of"))
 
 
 def distinct_texts(items: DataFrame) -> DataFrame:
@@ -48,35 +50,59 @@ def jaccard_pairs(items: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.join(one, "a").join(two, "b").select("a", "b", t.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
-def signatures(items: DataFrame) -> DataFrame:
-    """Id, set, sig: PERMUTATIONS minima of affine maps of the shingles' hashes."""
-    sets = distinct_texts(items)
+def signatures(sets: DataFrame) -> DataFrame:
+    """Id, sig: PERMUTATIONS minima of affine maps of the hashes in each set. sets: id, set."""
     seeds = [(pow(48271, 2 * k + 1, _PRIME), pow(16807, 2 * k + 2, _PRIME)) for k in range(PERMUTATIONS)]
-    coefficients = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in seeds])
-    small = F.transform("set", lambda h: F.pmod(h, F.lit(_PRIME)))
-    sig = t.let(small, lambda held: F.transform(coefficients, lambda c: F.array_min(F.transform(held, lambda h: (h * c["a"] + c["b"]) % _PRIME))))
-    return sets.select("id", "set", sig.alias("sig"))
+    rows = sets.select("id", F.explode("set").alias("h")).select("id", F.pmod("h", F.lit(_PRIME)).alias("h"))
+    least = rows.groupBy("id").agg(*[F.min((F.col("h") * a + b) % _PRIME).alias(f"m{k}") for k, (a, b) in enumerate(seeds)])
+    return least.select("id", F.array(*[f"m{k}" for k in range(PERMUTATIONS)]).alias("sig"))
 
 
 def lsh(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
-    """Id, duplicate_of: items that share a band with earlier ones, the least of these; verified by Jaccard unless told not to.
+    """Id, duplicate_of: items that share a band with earlier ones, the least of these; verified by Jaccard unless told not to."""
+    return matches(items, threshold, verify).groupBy("id").agg(F.min("first").alias("duplicate_of"))
+
+
+def matches(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
+    """Id, first: each item with the earlier ones that share a band with it and, unless told not to, reach the threshold.
 
     Unverified, the least id of a band is the answer for all of it. Verified, any earlier member may be, so all that share one
     of the rarest shingles of either (as in jaccard_pairs) meet within their band.
     """
-    signed = signatures(items)
+    sets = written(distinct_texts(items), "sets")
+    signed = signatures(sets)
     bands = signed.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])).alias("band"))
     least = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = bands.join(least, "band").persist()  # few rows, and the signatures are dear
+    met = written(bands.join(least, "band"), "bands")
     if not verify:
-        return met.where("id > first").groupBy("id").agg(F.min("first").alias("duplicate_of"))
-    some = distinct_texts(items).join(met.select("id").distinct(), "id", "left_semi")
+        return met.where("id > first").select("id", "first").distinct()
+    some = sets.join(met.select("id").distinct(), "id", "left_semi")
     keyed = met.select("id", "band").join(prefixes(some, threshold), "id")
     a, b = keyed.select("band", "h", F.col("id").alias("first"), F.col("n").alias("na")), keyed.select("band", "h", "id", F.col("n").alias("nb"))
     pairs = a.join(b, ["band", "h"]).where(f"first < id AND na >= nb * {threshold} AND nb >= na * {threshold}").select("id", "first").distinct()
     one, two = some, some.select(F.col("id").alias("first"), F.col("set").alias("theirs"))
-    pairs = pairs.join(one, "id").join(two, "first").where(t.jaccard(F.col("set"), F.col("theirs")) >= threshold - 1e-9).select("id", "first")
-    return pairs.groupBy("id").agg(F.min("first").alias("duplicate_of"))
+    return pairs.join(one, "id").join(two, "first").where(t.jaccard(F.col("set"), F.col("theirs")) >= threshold - 1e-9).select("id", "first")
+
+
+def admitted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Id, is_duplicate, duplicate_of (the admitted earlier items it matches, sorted), admitting in the order of the ids.
+
+    An item is a duplicate if it matches an admitted earlier one. pairs: id, first (an earlier match). Each round decides the items all
+    of whose earlier matches are decided or one of which is admitted, so rounds are as many as the longest chain of such decisions.
+    """
+    pairs = written(pairs.select("id", "first"), "pairs")
+    undecided = written(ids.select("id").distinct().join(pairs.groupBy("id").agg(F.collect_list("first").alias("before")), "id", "left").select("id", F.coalesce("before", F.array().cast("array<long>")).alias("before")), "undecided")
+    kept = undecided.where(F.size("before") == 0).select("id")
+    undecided = undecided.where(F.size("before") > 0)
+    while undecided.limit(1).count():
+        each = undecided.select("id", F.explode("before").alias("first"))
+        hit = each.join(kept.select(F.col("id").alias("first"), F.lit(True).alias("in")), "first", "left")
+        hit = hit.join(undecided.select(F.col("id").alias("first"), F.lit(True).alias("open")), "first", "left")
+        state = written(hit.groupBy("id").agg(F.bool_or(F.coalesce("in", F.lit(False))).alias("in"), F.bool_or(F.coalesce("open", F.lit(False))).alias("open")), "decided")
+        kept = written(kept.unionByName(state.where("NOT in AND NOT open").select("id")), "admitted")
+        undecided = written(undecided.join(state.where("NOT in AND open").select("id"), "id", "left_semi"), "undecided")
+    found = pairs.join(kept.select(F.col("id").alias("first")), "first").groupBy("id").agg(F.array_sort(F.collect_set("first")).alias("duplicate_of"))
+    return ids.select("id").distinct().join(found, "id", "left").select("id", F.col("duplicate_of").isNotNull().alias("is_duplicate"), F.coalesce("duplicate_of", F.array().cast("array<long>")).alias("duplicate_of"))
 
 
 def collision_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:

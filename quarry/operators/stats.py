@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +95,70 @@ def heartbeat(beats: DataFrame, as_of: Column, ttl_seconds: int = 300) -> DataFr
 def backoff(responses: DataFrame, start: float = 1.0, cap: float = 300.0) -> DataFrame:
     """Responses: host, seq, status. Delay of each host after all its responses: 429 doubles it (from `start`), success halves it and clears it at 1, others leave it.
 
-    An ordered fold over each host's own responses.
+    An ordered fold: rows arrive sorted within tasks, and only the host at hand and its delay are held.
     """
-    ordered = responses.where((F.col("status") == 429) | (F.col("status") < 400)).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("log"))
-    step = lambda d, x: F.when(x["status"] == 429, F.least(F.lit(cap), F.when(d == 0, start).otherwise(d) * 2)).when(d * 0.5 <= 1, 0.0).otherwise(d * 0.5)
-    return ordered.select("host", F.aggregate("log", F.lit(0.0), step).alias("delay"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, delay, seen = None, 0.0, False
+        for pdf in batches:
+            out = []
+            for h, status in zip(pdf["host"], pdf["status"], strict=True):
+                if not seen or h != host:
+                    if seen:
+                        out.append((host, delay))
+                    host, delay, seen = h, 0.0, True
+                if status == 429:
+                    delay = min(cap, (delay or start) * 2)
+                else:
+                    delay = 0.0 if delay * 0.5 <= 1 else delay * 0.5
+            yield pd.DataFrame(out, columns=["host", "delay"])
+        if seen:
+            yield pd.DataFrame([(host, delay)], columns=["host", "delay"])
+
+    told = responses.where((F.col("status") == 429) | (F.col("status") < 400)).select("host", "seq", "status")
+    return told.repartition("host").sortWithinPartitions("host", "seq").mapInPandas(fold, "host string, delay double")
 
 
 def admitted(requests: DataFrame, window_seconds: float, most: int) -> DataFrame:
-    """Requests: user, ts (seconds). A request passes if fewer than `most` passed ones lie strictly within the window before it."""
-    ordered = requests.groupBy("user").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
-    start = F.struct(F.array().cast("array<double>").alias("live"), F.array().cast("array<double>").alias("passed"))
+    """Requests: user, ts (seconds). Each request and whether it passes: fewer than `most` passed ones lie strictly within the window before it.
+
+    An ordered fold that holds the user's last `most` passed requests.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, live = None, deque(maxlen=most)
+        for pdf in batches:
+            ok = []
+            for u, ts in zip(pdf["user"], pdf["ts"], strict=True):
+                if u != user:
+                    user, live = u, deque(maxlen=most)
+                passes = most > 0 and (len(live) < most or live[0] <= ts - window_seconds)
+                if passes:
+                    live.append(ts)
+                ok.append(passes)
+            yield pdf.assign(passed=ok)
+
+    return requests.select("user", "ts").repartition("user").sortWithinPartitions("user", "ts").mapInPandas(fold, "user string, ts double, passed boolean")
+
+
+def summary_stats(requests: DataFrame) -> DataFrame:
+    """Requests: hit, millis (null for a hit). Requests, hits, share of hits, summaries made and their mean time."""
+    n, hits = F.count("*"), F.count_if("hit")
+    return requests.agg(n.alias("requests"), hits.alias("cache_hits"), F.round(F.coalesce(F.try_divide(hits, n), F.lit(0.0)), 6).alias("cache_hit_rate"), F.count_if(~F.col("hit")).alias("generated"), F.round(F.coalesce(F.avg(F.when(~F.col("hit"), F.col("millis"))), F.lit(0.0)), 6).alias("mean_millis"))
+
+
+def golden_report(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """Results: url, success, quality; expected: url, category. Per expected category: totals, success rate and mean quality of successes; results of unknown urls don't count."""
+    ok = F.col("success")
+    joined = results.join(expected.select("url", "category"), "url")
+    return joined.groupBy("category").agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.round(F.avg(ok.cast("double")), 6).alias("success_rate"), F.round(F.coalesce(F.avg(F.when(ok, F.col("quality"))), F.lit(0.0)), 6).alias("avg_quality"))
+
+
+def report(df: DataFrame, path: str) -> None:
+    """SK11: rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
 
-    def step(acc: Column, t: Column) -> Column:
-        live = F.filter(acc["live"], lambda x: x > t - window_seconds)
-        ok = F.size(live) < most
-        add = lambda held: F.when(ok, F.concat(held, F.array(t))).otherwise(held)
-        return F.struct(add(live).alias("live"), add(acc["passed"]).alias("passed"))
 
-    return ordered.select("user", F.aggregate("ts", start, step, lambda acc: acc["passed"]).alias("passed"), F.size("ts").alias("requests"))
+def worker_pause(errors: Column) -> Column:
+    """Seconds that a worker waits after so many errors."""
+    return F.least(F.lit(60.0), F.pow(F.lit(2.0), F.least(errors, F.lit(6))))

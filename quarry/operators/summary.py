@@ -48,16 +48,19 @@ def citation_relevance(summary: Column, title: Column, text: Column, quality: Co
 def excerpt(summary: Column, text: Column, most: int = 150) -> Column:
     """The first of the sentences of 20 characters or more that share most words with the summary; cut at `most`, else the text's beginning."""
     told = F.filter(t.sentences(text), lambda s: F.length(s) >= 20)
-    scored = t.let(F.array_distinct(t.words(F.lower(summary))), lambda w: F.transform(told, lambda s, i: F.struct(F.size(F.array_intersect(w, t.words(F.lower(s)))).alias("n"), (-i).alias("p"), s.alias("s"))))
+    scored = t.let(F.array_distinct(t.words(F.lower(summary))), lambda w: F.transform(told, lambda s, i: F.struct(F.size(F.array_intersect(w, F.split(F.lower(s), r"\s+"))).alias("n"), (-i).alias("p"), s.alias("s"))))
     best = F.array_max(F.filter(scored, lambda x: x["n"] > 0))["s"]
     short = F.when(F.length(best) > most, F.concat(F.substring(best, 1, most), F.lit("..."))).otherwise(best)
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.coalesce(short, F.concat(F.substring(text, 1, most), F.lit("..."))))
 
 
-def citations(items: DataFrame, summary: Column) -> DataFrame:
-    """Id, title, source, relevance, excerpt, most relevant first."""
+def citations(items: DataFrame, summary: Column, most: int | None = None) -> DataFrame:
+    """Id, title, source, relevance, excerpt of every item; with `most` of the most relevant ones alone, for which excerpts are then made."""
     rel = citation_relevance(summary, F.col("title"), F.col("text"), F.col("quality_score"))
-    return items.select("id", "title", "source", F.round(rel, 6).alias("relevance"), excerpt(summary, F.col("text")).alias("excerpt")).orderBy(F.col("relevance").desc(), "id")
+    scored = items.select("id", "title", "source", "text", F.round(rel, 6).alias("relevance"))
+    if most is not None:
+        scored = scored.orderBy(F.col("relevance").desc(), "id").limit(most)
+    return scored.select("id", "title", "source", "relevance", excerpt(summary, F.col("text")).alias("excerpt"))
 
 
 def confidence(cited: DataFrame, summary: Column) -> DataFrame:
@@ -96,11 +99,12 @@ def template(items: DataFrame, kind: str = "brief", titles: int = 3) -> DataFram
     return n.crossJoin(F.broadcast(top)).select(F.format_string(text, "n", "sources", "titles").alias("summary"))
 
 
-def prompt(items: DataFrame, focus: str = "", most: int = 2000) -> DataFrame:
-    """Z3: the items' blocks in order of quality, texts cut to `most` characters. For the bounded list of one summary."""
+def prompt(items: DataFrame, focus: str = "", most: int = 2000, at_most: int = 20) -> DataFrame:
+    """Z3: the blocks of the `at_most` best items in order of quality, texts cut to `most` characters: one summary is of a short list."""
     block = F.concat(F.lit("Title: "), F.col("title"), F.lit("\nSource: "), F.coalesce("source", F.lit("Unknown")), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, most))
+    best = items.orderBy(F.col("quality_score").desc(), "id").limit(at_most)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("quality_score")).alias("q"), "id", block.alias("b"))))
-    return items.agg(F.concat(F.lit(f"Focus: {focus}\n\n" if focus else ""), F.array_join(F.transform(ordered, lambda x: x["b"]), "\n---\n")).alias("prompt"))
+    return best.agg(F.concat(F.lit(f"Focus: {focus}\n\n" if focus else ""), F.array_join(F.transform(ordered, lambda x: x["b"]), "\n---\n")).alias("prompt"))
 
 
 def completed(prompts: DataFrame, complete, most_words: int = 200) -> DataFrame:

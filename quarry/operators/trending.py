@@ -84,12 +84,17 @@ def queued(queries: DataFrame, ts: str, config: Trending, n: int) -> DataFrame:
     return last.orderBy(F.col("priority").desc(), "query").limit(n)
 
 
-def related_terms(seen: DataFrame, k: int = 2) -> DataFrame:
-    """Terms that share most documents with each term (an addition: nothing else produces them). seen: term, id, distinct.
-
-    Pairs are counted within a document; a document's distinct terms are what bounds them.
-    """
-    a, b = seen.select("id", "term"), seen.select("id", F.col("term").alias("other"))
-    both = a.join(b, "id").where("term <> other").groupBy("term", "other").agg(F.count("*").alias("n"))
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.col("n").desc(), "other"))).where(F.col("r") <= k)
-    return ranked.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("related"))
+def ingested(items: DataFrame, lexicon: Lexicon, as_of: Column) -> DataFrame:
+    """Counts per term of the items' own terms (documents, not occurrences), with the term's type."""
+    seen = terms(items, lexicon)
+    kind = seen.groupBy("term").agg(F.min("type").alias("type"))
+    return counts(seen.select("term", "id", F.col("published_at").alias("ts")), as_of).join(kind, "term")
+
+
+def statistics(scored_terms: DataFrame, cooling: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
+    """How many terms are active, trending, cooling, how many queries were made, and the best trending terms."""
+    top = detect(scored_terms, Trending(at_most=most)).agg(F.array_sort(F.collect_list(F.struct((-F.col("trend_score")).alias("score"), "term"))).alias("x")).select(F.transform("x", lambda x: x["term"]).alias("current"))  # at most `most` terms
+    one = scored_terms.agg(F.count("*").alias("active"), F.count_if("is_trending").alias("detected"))
+    for name, rows in (("cooling", cooling), ("generated", queries)):
+        one = one.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))  # one row each
+    return one.crossJoin(F.broadcast(top))

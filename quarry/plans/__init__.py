@@ -1 +1,3 @@
 """The query catalogue and its oracle SQL."""
+
+from . import catalogue, service  # noqa: F401  service adds its queries to the catalogue

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import AS_OF, STOPWORDS, Lexicon, Quality, Trending
 from quarry.functions import extract, quality as q, text as t, urls
-from quarry.operators import dedupe, prefs, search, stats, summary, trending
+from quarry.operators import dedupe, prefs, rows, search, stats, summary, trending
+from quarry.sources import content
 from quarry.sources.content import KINDS, items, sources, table
+from quarry.sources.working import folder, stored_once
 from quarry.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +26,16 @@ def now():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    """The stored index and items of the collection, made once for the files it is read from."""
+    return stored_once(table(spark, d, "documents"), "index", lambda path: search.write_index(items(spark, d), path))
+
+
+def stored_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items without their text."""
+    return spark.read.parquet(f"{_index(spark, d)}/items")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -84,31 +98,29 @@ _LIKE_SQL = f"{_TEXT} AND quality_score >= 0.3::DOUBLE AND published_at >= TIMES
 
 @query(_search(_LIKE_SQL, _SCORE, _BY_SCORE, 20))
 def search_like(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(items(spark, d), sources(spark, d), _LIKE)
+    return search.search(stored_items(spark, d), sources(spark, d), _LIKE)
 
 
 @query(_search("len(list_filter(keywords, lambda k: contains(k, 'ung') OR contains(k, 'eau'))) > 0 AND domain IN ('src1.example.com', 'src2.example.com', 'src5.example.com') AND content_type IN ('recap', 'analysis', 'general') AND quality_score >= 0.0::DOUBLE", "quality_score", "quality_score DESC, published_at DESC, id", 50))
 def search_filters(spark, d):
-    return search.search(items(spark, d), sources(spark, d), search.SearchQuery(sports=("ung", "eau"), domains=("src1.example.com", "src2.example.com", "src5.example.com"), content_types=("recap", "analysis", "general"), quality=0.0, sort="quality", limit=50))
+    return search.search(stored_items(spark, d), sources(spark, d), search.SearchQuery(sports=("ung", "eau"), domains=("src1.example.com", "src2.example.com", "src5.example.com"), content_types=("recap", "analysis", "general"), quality=0.0, sort="quality", limit=50))
 
 
 @query(_search("list_has_any(keywords, ['ment', 'ci'])", "quality_score", "published_at DESC, quality_score DESC, id", 30))
 def search_member(spark, d):
-    return search.search(items(spark, d), sources(spark, d), search.SearchQuery(sports=("ment", "ci"), member=True, sort="date", limit=30))
+    return search.search(stored_items(spark, d), sources(spark, d), search.SearchQuery(sports=("ment", "ci"), member=True, sort="date", limit=30))
 
 
 @query(f"{BASE} SELECT count(*) AS total FROM items i JOIN sources USING (source) WHERE {VISIBLE} AND {_LIKE_SQL}")
 def search_count(spark, d):
-    return search.count(items(spark, d), sources(spark, d), _LIKE)
+    return search.count(stored_items(spark, d), sources(spark, d), _LIKE)
 
 
 @query(f"""{BASE}, found AS (SELECT i.*, domain, {_SCORE} AS score FROM items i JOIN sources USING (source) WHERE {VISIBLE} AND {_LIKE_SQL})
 SELECT id, title, summary, domain, published_at, quality_score, content_type, keywords, word_count, language, score, CAST(row_number() OVER (ORDER BY {_BY_SCORE}) - 20 AS INTEGER) AS rank
 FROM found ORDER BY {_BY_SCORE} LIMIT 20 OFFSET 20""")
 def search_page2(spark, d):
-    own, by = items(spark, d), sources(spark, d)
-    from dataclasses import replace
-
+    own, by = stored_items(spark, d), sources(spark, d)
     page = search.search(own, by, _LIKE)
     behind = search.cursor(page, _LIKE)
     return search.search(own, by, replace(_LIKE, cursor=behind)) if behind else page.limit(0)  # no second page
@@ -118,15 +130,55 @@ _TERMS = ["the", "erin", "onth", "ment"]
 _FIELDS = {"title": "title", "text": "text", "keywords": "array_to_string(keywords, ' ')"}
 
 
-@query(f"""WITH {ITEMS}, fields AS (
+def _bm25(words: str) -> str:
+    """CTEs up to scores (id, score); words: SQL for the rows `term` that are looked for, from vocabulary."""
+    return f"""fields AS (
   {' UNION ALL '.join(f"SELECT id, '{f}' AS field, {search.FIELDS[f]}::DOUBLE AS w, " + _words(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')") + " AS terms FROM items" for f, x in _FIELDS.items())}),
 lengths AS (SELECT field, avg(len(terms)) AS avgdl, count(*) AS n FROM fields GROUP BY 1),
-hits AS (SELECT id, field, w, len(terms) AS dl, term, len(list_filter(terms, lambda x: x = term)) AS tf FROM fields, (SELECT unnest({_list(_TERMS)}) AS term) WHERE list_contains(terms, term)),
+vocabulary AS (SELECT DISTINCT unnest(terms) AS term FROM fields),
+hits AS (SELECT id, field, w, dl, term, count(*) AS tf FROM (SELECT id, field, w, len(terms) AS dl, unnest(terms) AS term FROM fields) WHERE term IN (SELECT term FROM ({words})) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM hits GROUP BY ALL),
-scored AS (SELECT id, field, sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * any_value(w) AS s FROM hits JOIN df USING (field, term) JOIN lengths USING (field) GROUP BY ALL)
-SELECT id, round(max(s), 6) AS score FROM scored GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+parts AS (SELECT id, field, sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * any_value(w) AS s FROM hits JOIN df USING (field, term) JOIN lengths USING (field) GROUP BY ALL),
+scores AS (SELECT id, round(max(s), 6) AS score FROM parts GROUP BY 1)"""
+
+
+@query(f"WITH {ITEMS}, {_bm25(f'SELECT unnest({_list(_TERMS)}) AS term')} SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 20")
 def search_bm25(spark, d):
-    return search.bm25(items(spark, d), _TERMS)
+    return search.bm25(spark, _index(spark, d), " ".join(_TERMS))
+
+
+_RANKED = search.SearchQuery(q="The erin, of onth!", quality=0.3, content_types=("recap", "analysis", "general"), since="2024-01-05 00:00:00", limit=15)
+_FUZZY = search.SearchQuery(q="erintion onths", sort="date", limit=25)
+
+
+def _ranked(words: str, where: str, order: str, limit: int, offset: int = 0) -> str:
+    return f"""{BASE}, {_bm25(words)}, found AS (SELECT i.*, domain, score FROM items i JOIN sources USING (source) JOIN scores USING (id) WHERE {VISIBLE} AND {where})
+SELECT id, title, summary, domain, published_at, quality_score, content_type, keywords, word_count, language, score, CAST(row_number() OVER (ORDER BY {order}) - {offset} AS INTEGER) AS rank FROM found ORDER BY {order} LIMIT {limit} OFFSET {offset}"""
+
+
+_RANKED_WORDS, _RANKED_WHERE = "SELECT unnest(['erin', 'onth']) AS term", "quality_score >= 0.3::DOUBLE AND content_type IN ('recap', 'analysis', 'general') AND published_at >= TIMESTAMP '2024-01-05 00:00:00'"
+_NEAR = "SELECT term FROM vocabulary WHERE levenshtein(term, 'erintion') <= 2 OR levenshtein(term, 'onths') <= 1"
+
+
+@query(_ranked(_RANKED_WORDS, _RANKED_WHERE, _BY_SCORE, 15))
+def search_ranked(spark, d):
+    """Full text by a stored index, without stop words, under the filters of ordinary search."""
+    path = _index(spark, d)
+    return search.search(stored_items(spark, d), sources(spark, d), _RANKED, search.ranked(spark, path, _RANKED.q))
+
+
+@query(_ranked(_RANKED_WORDS, _RANKED_WHERE, _BY_SCORE, 15, 15))
+def search_ranked_page2(spark, d):
+    own, by, scores = stored_items(spark, d), sources(spark, d), search.ranked(spark, _index(spark, d), _RANKED.q)
+    page = search.search(own, by, _RANKED, scores)
+    behind = search.cursor(page, _RANKED)
+    return search.search(own, by, replace(_RANKED, cursor=behind), scores) if behind else page.limit(0)  # no second page
+
+
+@query(_ranked(_NEAR, "true", "published_at DESC, quality_score DESC, id", 25))
+def search_ranked_fuzzy(spark, d):
+    """Each term stands for the vocabulary within its edit bound; ordered by date."""
+    return search.search(stored_items(spark, d), sources(spark, d), _FUZZY, search.ranked(spark, _index(spark, d), _FUZZY.q, fuzzy=True))
 
 
 @query(f"""WITH {ITEMS}, v AS (SELECT id, unnest(list_distinct({_words("regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')")})) AS term FROM items)
@@ -137,17 +189,17 @@ def search_fuzzy(spark, d):
 
 @query(f"WITH {ITEMS} SELECT DISTINCT k AS keyword FROM (SELECT unnest(keywords) AS k FROM items) WHERE contains(k, 'un') ORDER BY 1 LIMIT 5")
 def suggest_terms(spark, d):
-    return search.suggest(items(spark, d), "un")
+    return search.suggest(stored_items(spark, d), "un")
 
 
 @query(_search("true", "quality_score", "published_at DESC, quality_score DESC, id", 20))
 def feed_latest(spark, d):
-    return search.search(items(spark, d), sources(spark, d), search.FEEDS["latest"])
+    return search.search(stored_items(spark, d), sources(spark, d), search.FEEDS["latest"])
 
 
 @query(_search("content_type = 'breaking'", "quality_score", "published_at DESC, quality_score DESC, id", 10))
 def feed_breaking(spark, d):
-    return search.search(items(spark, d), sources(spark, d), search.FEEDS["breaking"])
+    return search.search(stored_items(spark, d), sources(spark, d), search.FEEDS["breaking"])
 
 
 @query(f"{BASE} SELECT id, title, domain, content_type, word_count FROM items JOIN sources USING (source) WHERE is_active AND id IN (3, 5, 17, 70)")
@@ -274,7 +326,10 @@ def _matches(p: str) -> str:
 
 
 _RELEVANCE = "least(1.0::DOUBLE, least(0.4::DOUBLE, len(keywords) * 0.1::DOUBLE)" + "".join(f" + least(0.3::DOUBLE, ({' + '.join(map(_matches, ps))}) * {w}::DOUBLE)" for w, ps in LEXICON.tiers) + " + CASE content_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in LEXICON.bonus) + " ELSE 0.0::DOUBLE END)"
-_LANGUAGE = f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE * CASE WHEN length(text) < 50 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN {_any('text', ['�', 'â€™', 'â€œ'])} THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN word_count > 10 AND len(list_distinct({_words('text')})) / word_count::DOUBLE < 0.3::DOUBLE THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END END"
+_BARE = "regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]', ' ', 'g'), '\\s+')"
+_VOTES = "[" + ", ".join(f"{{'n': len(list_filter({_BARE}, lambda w: w IN ({', '.join(chr(39) + x + chr(39) for x in held)}))), 'first': -{i}, 'name': '{name}'}}" for i, (name, held) in enumerate(extract.FUNCTION_WORDS)) + "]"
+_TOLD = f"told AS (SELECT id, list_sort(votes)[-1].name AS best, list_sort(votes)[-1].n AS n, list_sum(list_transform(votes, lambda v: v.n)) AS total FROM (SELECT id, {_VOTES} AS votes FROM items))"
+_LANGUAGE = f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE CASE WHEN total = 0 THEN 0.7::DOUBLE WHEN best = language THEN told.n / total::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN length(text) < 50 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN {_any('text', ['�', 'â€™', 'â€œ'])} THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN word_count > 10 AND len(list_distinct({_words('text')})) / word_count::DOUBLE < 0.3::DOUBLE THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END END"
 
 
 def scored_items(spark: SparkSession, d: str) -> DataFrame:
@@ -286,14 +341,15 @@ def scored_items(spark: SparkSession, d: str) -> DataFrame:
         "content_depth": q.depth(c("title"), c("text"), c("word_count")),
         "title_quality": q.title_quality(c("title"), LEXICON.clickbait),
         "relevance": q.relevance(c("title"), c("text"), c("keywords"), c("content_type"), LEXICON),
-        "language_quality": q.language_quality(c("text"), c("language"), F.lit(None).cast("string"), F.lit(None).cast("double")),
+        "language_quality": q.language_quality(c("text"), c("language"), F.when(c("share").isNotNull(), c("detected")), c("share")),
     }
-    rows = items(spark, d).drop("quality_score").join(sources(spark, d), "source")
-    return rows.withColumns(signals).withColumn("quality_score", q.total({n: c(n) for n in signals}, QUALITY))
+    told = {"detected": extract.language(c("text")), "share": extract.language_share(c("text"))}
+    own = items(spark, d).drop("quality_score").withColumns(told).join(sources(spark, d), "source")
+    return own.withColumns(signals).withColumn("quality_score", q.total({n: c(n) for n in signals}, QUALITY))
 
 
 _SIGNALS = {"source_reputation": _REPUTATION, "freshness": _FRESH, "content_depth": _DEPTH, "title_quality": _TITLE, "relevance": _RELEVANCE, "language_quality": _LANGUAGE}
-_SCORED = f"""{BASE}, parts AS (SELECT id, source, {', '.join(f'{x} AS {n}' for n, x in _SIGNALS.items())} FROM items JOIN sources USING (source)),
+_SCORED = f"""{BASE}, {_TOLD}, parts AS (SELECT id, source, {', '.join(f'{x} AS {n}' for n, x in _SIGNALS.items())} FROM items JOIN sources USING (source) JOIN told USING (id)),
 scored AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {' + '.join(f'{n} * {w}::DOUBLE' for n, w in QUALITY.weights.items())})) AS quality_score FROM parts)"""
 
 
@@ -320,8 +376,8 @@ def quality_total(spark, d):
 def quality_signals_long(spark, d):
     names = list(QUALITY.weights)
     weight = F.create_map(*[F.lit(x) for pair in QUALITY.weights.items() for x in pair])
-    rows = scored_items(spark, d).unpivot("id", names, "signal", "value")
-    return rows.select("id", "signal", F.round("value", 6).alias("value"), weight[F.col("signal")].alias("weight"))
+    long = scored_items(spark, d).unpivot("id", names, "signal", "value")
+    return long.select("id", "signal", F.round("value", 6).alias("value"), weight[F.col("signal")].alias("weight"))
 
 
 @query(f"""{BASE}, o AS (SELECT source, avg(quality::DOUBLE) AS a, avg(toxic::DOUBLE) AS e, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT s.source, n, e, a * 0.95::DOUBLE - least(0.3::DOUBLE, e * 0.5::DOUBLE) AS raw FROM sources s LEFT JOIN o USING (source))
@@ -366,8 +422,8 @@ terms AS (SELECT id, published_at, {_term('term')} AS term, type FROM raw WHERE
 
 @query(f"{_TERM_ROWS} SELECT term, type, count(*) AS occurrences, count(DISTINCT id) AS documents FROM terms GROUP BY ALL HAVING count(*) > 1")
 def trend_terms(spark, d):
-    rows = trending.terms(items(spark, d), LEXICON)
-    return rows.groupBy("term", "type").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("documents")).where("occurrences > 1")
+    found = trending.terms(items(spark, d), LEXICON)
+    return found.groupBy("term", "type").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("documents")).where("occurrences > 1")
 
 
 def _occurrences(spark, d):
@@ -414,10 +470,10 @@ def trend_lifecycle(spark, d):
 
 
 def _discovery(spark, d):
-    rows = trending.scored(trending.counts(_occurrences(spark, d), now()), _EASY).where("is_trending")
+    hot = trending.scored(trending.counts(_occurrences(spark, d), now()), _EASY).where("is_trending")
     kind = F.when(F.col("term").startswith("view"), "teams").otherwise("phrase")
     related = F.when(F.col("term").startswith("click"), F.array(F.lit("page"), F.lit("user"), F.lit("more"))).otherwise(F.array().cast("array<string>"))
-    return trending.discovery_queries(rows.select("term", kind.alias("type"), F.when(F.col("term").startswith("view"), "web").alias("context"), related.alias("related"), "trend_score", "burst_ratio", F.col("hours").alias("hours_since_peak")))
+    return trending.discovery_queries(hot.select("term", kind.alias("type"), F.when(F.col("term").startswith("view"), "web").alias("context"), related.alias("related"), "trend_score", "burst_ratio", F.col("hours").alias("hours_since_peak")))
 
 
 _DISCOVERY = f"""{_TREND}, base AS (SELECT *, term || CASE WHEN starts_with(term, 'view') THEN ' web' ELSE '' END AS q,
@@ -486,7 +542,7 @@ def prefs_invalid_ids(spark, d):
 SELECT coalesce(n.term, c.term) AS term, coalesce(n.n, c.n) AS n, coalesce(c.created_at, n.created_at) AS created_at FROM c FULL JOIN n USING (term)""")
 def upsert_terms(spark, d):
     e = table(spark, d, "events")
-    half = lambda rows: rows.groupBy(F.col("event_type").alias("term")).agg(F.count("*").alias("n"), F.min("ts").alias("created_at"))
+    half = lambda part: part.groupBy(F.col("event_type").alias("term")).agg(F.count("*").alias("n"), F.min("ts").alias("created_at"))
     return prefs.upserted(half(e.where("ts < TIMESTAMP_NTZ '2024-01-15' AND event_type <> 'signup'")), half(e.where("ts >= TIMESTAMP_NTZ '2024-01-15' AND event_type <> 'error'")), "term", keep=("created_at",))
 
 
@@ -558,10 +614,10 @@ def citations(spark, d):
     return summary.citations(items(spark, d), F.lit(_SUMMARY))
 
 
-@query(f"WITH {ITEMS}, c AS (SELECT quality_score, {_CITED} AS r FROM items WHERE id < 4) SELECT round(least(1.0::DOUBLE, count(*) / 5.0::DOUBLE) * 0.3::DOUBLE + avg(quality_score) * 0.3::DOUBLE + avg(r) * 0.2::DOUBLE + 0.8::DOUBLE * 0.2::DOUBLE, 6) AS confidence FROM c")
+@query(f"WITH {ITEMS}, c AS (SELECT quality_score, {_CITED} AS r FROM items) SELECT round(least(1.0::DOUBLE, count(*) / 5.0::DOUBLE) * 0.3::DOUBLE + avg(quality_score) * 0.3::DOUBLE + avg(r) * 0.2::DOUBLE + 0.8::DOUBLE * 0.2::DOUBLE, 6) AS confidence FROM c")
 def confidence(spark, d):
     rel = summary.citation_relevance(F.lit(_SUMMARY), F.col("title"), F.col("text"), F.col("quality_score"))
-    return summary.confidence(items(spark, d).where("id < 4").select("quality_score", rel.alias("relevance")), F.lit(_SUMMARY))
+    return summary.confidence(items(spark, d).select("quality_score", rel.alias("relevance")), F.lit(_SUMMARY))
 
 
 _FIRST = "trim(regexp_split_to_array(text, '[.!?]+')[1])"
@@ -582,9 +638,10 @@ def activity_stats(spark, d):
     return stats.activity(table(spark, d, "events"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'host' || CAST(user_id % 20 AS VARCHAR) AS host, CASE WHEN event_type = 'error' THEN 429 ELSE 200 END AS status, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events WHERE event_type <> 'signup'),
+r AS (SELECT DISTINCT host, 0::BIGINT AS k, 0.0::DOUBLE AS delay FROM e UNION ALL SELECT e.host, e.k, CASE WHEN status = 429 THEN least(300.0::DOUBLE, CASE WHEN delay = 0 THEN 1.0::DOUBLE ELSE delay END * 2) WHEN delay * 0.5::DOUBLE <= 1 THEN 0.0::DOUBLE ELSE delay * 0.5::DOUBLE END FROM r JOIN e ON e.host = r.host AND e.k = r.k + 1)
+SELECT host, arg_max(delay, k) AS delay FROM r GROUP BY 1""")
 def backoff_state(spark, d):
-    """Rows only: an ordered fold."""
     status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 503).otherwise(200)
     return stats.backoff(table(spark, d, "events").select(F.concat(F.lit("host"), F.col("user_id") % 20).alias("host"), F.col("event_id").alias("seq"), status.alias("status")))
 
@@ -597,11 +654,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    out = f"{base.rstrip('/')}/quarry/stream-{label}-{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/stream-{label}-{uuid.uuid4().hex}"
     windows.drained(stream, f"{out}/rows", f"{out}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
@@ -618,7 +671,9 @@ def stream_dedupe(spark, d):
     return _run(spark, windows.first_seen(_stream(spark, d), within="60 days"), "dedupe").select("content_hash")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS term, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+r AS (SELECT DISTINCT term, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, false AS granted, TIMESTAMP '1900-01-01' AS last FROM e
+  UNION ALL SELECT e.term, e.ts, e.k, e.ts - r.last >= INTERVAL 6 HOUR, CASE WHEN e.ts - r.last >= INTERVAL 6 HOUR THEN e.ts ELSE r.last END FROM r JOIN e ON e.term = r.term AND e.k = r.k + 1)
+SELECT term, ts, granted FROM r WHERE k > 0""")
 def stream_cooldown(spark, d):
-    """Rows only: a stateful fold; tests compare stream and batch."""
-    return _run(spark, windows.cooldown(_stream(spark, d), hours=6.0), "cooldown")
+    return _run(spark, windows.cooldown(_stream(spark, d), hours=6.0), "cooldown").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

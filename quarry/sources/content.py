@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import AS_OF, Lexicon
 from quarry.functions import extract, text as t
+from quarry.sources.working import written
 
 KINDS = ("recap", "breaking", "analysis", "roster", "general")
 
@@ -21,7 +22,7 @@ def items(spark: SparkSession, sf_dir: str, lexicon: Lexicon = Lexicon()) -> Dat
     i = F.col("doc_id")
     return docs.select(
         i.alias("id"),
-        F.element_at(F.split("text", "\n"), 1).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.substring("text", 1, 200).alias("summary"),
         "text",
         F.coalesce("lang", F.lit("en")).alias("language"),
@@ -30,7 +31,7 @@ def items(spark: SparkSession, sf_dir: str, lexicon: Lexicon = Lexicon()) -> Dat
         ((i * 37 % 101) / 100.0).alias("quality_score"),
         F.element_at(F.array(*map(F.lit, KINDS)), (i % 5 + 1).cast("int")).alias("content_type"),
         extract.keyword_tags(F.col("text"), lexicon.keywords).alias("keywords"),
-        F.size(t.words(F.col("text"))).alias("word_count"),
+        t.word_count(F.col("text")).alias("word_count"),
         (i % 17 != 0).alias("is_active"),
         (i % 23 == 0).alias("is_duplicate"),
         (i % 29 == 0).alias("is_spam"),
@@ -50,16 +51,16 @@ def feed_links(feeds: DataFrame) -> DataFrame:
     return well.select("feed", F.posexplode(F.xpath("xml", F.lit("//item/link/text()"))).alias("pos", "url")).where("trim(url) <> ''")
 
 
-def sitemap_links(sitemaps: DataFrame, index: str, depth: int = 5) -> DataFrame:
-    """SC5: the page addresses below an index; sitemaps: url, xml. Each round joins one level of nested sitemaps, at most `depth`."""
-    level = sitemaps.where(F.col("url") == index)
-    found = None
-    for _ in range(depth):
-        pages = level.select(F.explode(F.xpath("xml", F.lit("/urlset/url/loc/text()"))).alias("url"))
-        found = pages if found is None else found.unionByName(pages)
-        below = level.select(F.explode(F.xpath("xml", F.lit("/sitemapindex/sitemap/loc/text()"))).alias("url")).distinct()
-        level = sitemaps.join(below, "url")
-    return found.distinct()
+def sitemap_links(sitemaps: DataFrame, index: str) -> DataFrame:
+    """SC5: the page addresses below an index; sitemaps: url, xml. Each round joins one level of nested sitemaps, until it has none that wasn't read before."""
+    pages = sitemaps.select(F.col("url").alias("map"), F.explode(F.xpath("xml", F.lit("/urlset/url/loc/text()"))).alias("url"))
+    below = sitemaps.select(F.col("url").alias("map"), F.explode(F.xpath("xml", F.lit("/sitemapindex/sitemap/loc/text()"))).alias("url"))
+    below = written(below, "sitemap-index")
+    level = read = sitemaps.sparkSession.createDataFrame([(index,)], "map string")
+    while level.limit(1).count():
+        level = written(below.join(level, "map").select(F.col("url").alias("map")).distinct().join(read, "map", "left_anti"), "sitemap-level")
+        read = read.unionByName(level)
+    return pages.join(read, "map", "left_semi").select("url").distinct()
 
 
 def discovered(links: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Quality
 from quarry.functions import extract, quality as q, text as t, urls
-from quarry.operators import prefs, stats, trending
+from quarry.operators import prefs, rows, stats, trending
 
 
 def one(spark, **columns):
@@ -80,4 +80,32 @@ def test_reputation_and_folds(spark):
     assert stats.backoff(log).first()["delay"] == 2.0
     assert stats.backoff(log.unionByName(spark.createDataFrame([("h", 5, 200)], log.schema))).first()["delay"] == 0.0
     asked = spark.createDataFrame([("u", float(x)) for x in (0, 1, 2, 3, 10)], "user string, ts double")
-    assert stats.admitted(asked, 10.0, 2).first()["passed"] == [0.0, 1.0, 10.0]
+    assert [r["ts"] for r in stats.admitted(asked, 10.0, 2).where("passed").orderBy("ts").collect()] == [0.0, 1.0, 10.0]
+    assert stats.admitted(asked, 10.0, 0).where("passed").count() == 0
+
+
+def test_selectors_and_cascade(spark):
+    long = "word " * 30
+    pages = [
+        f'<body>x<div class="post content wide"><p>{long}c</p></div></body>', f"<body><article>short</article><div id='content'>{long}i</div></body>",
+        f'<body><div class="contents">no</div>{long}b</body>', "<body>little</body>", None, "<article>only</article>", f'<nav>{long}</nav><main>{long}m</main>',
+    ]
+    got = [r["x"] for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").orderBy("i").select(extract.cascade(F.col("p")).alias("x")).collect()]
+    assert [x["method"] for x in got] == [".content", "#content", "body", None, None, None, "main"]
+    assert got[0]["text"].endswith(" c") and got[1]["errors"][0] == "article: too short" and got[3]["text"] == "little" and got[5]["text"] == "only" and got[4]["text"] is None
+
+
+def test_lenient_dates_and_bytes(spark):
+    texts = ["Tue, 02 Jan 2024 10:00:00 +0000", "2024/1/2", "2 January 2024", "2.1.2024", "01/02/2024", "yesterday", None]
+    got = [str(r["d"])[:10] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(extract.parsed_date(F.col("t")).alias("d")).collect()]
+    assert got == ["2024-01-02"] * 5 + ["None"] * 2
+    raw = [("é".encode("latin-1"), "iso-8859-1"), ("é".encode(), None), ("é".encode("utf-16-be"), "utf-16be"), (b"\xe9", "utf-8"), (None, "utf-8")]
+    got = [r["t"] for r in spark.createDataFrame([(i, *x) for i, x in enumerate(raw)], "i int, b binary, c string").orderBy("i").select(extract.decoded(F.col("b"), F.col("c")).alias("t")).collect()]
+    assert got == ["é"] * 4 + [None]
+
+
+def test_keywords_of_rows(spark):
+    raw = ['["a","b"]', "a, b", None, "", "[broken"]
+    got = [r["k"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string").orderBy("i").select(rows.keyword_list(F.col("t")).alias("k")).collect()]
+    assert got == [["a", "b"], ["a", "b"], [], [], ["[broken"]]
+    assert [stats_row["s"] for stats_row in spark.range(0, 9, 4).select(stats.worker_pause(F.col("id")).alias("s")).collect()] == [1.0, 16.0, 60.0]

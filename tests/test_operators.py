@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dedupe, prefs, search
+from quarry.operators import dedupe, prefs, search, summary
 from quarry.plans import catalogue
 from quarry.sources import content
 from quarry.streaming import windows
@@ -48,7 +48,7 @@ def test_lsh_agrees_with_jaccard(spark):
     rows = [(1, "t", base), (2, "t", base.replace("word59", "other")), (3, "t", " ".join(f"else{i}" for i in range(60))), (4, "t", base), (5, None, None)]
     items = spark.createDataFrame(rows, "id long, title string, text string")
     assert {(r["a"], r["b"]) for r in dedupe.jaccard_pairs(items).collect()} == {(1, 2)}
-    assert {r["id"] for r in dedupe.lsh(items).collect()} <= {2}
+    assert {r["id"] for r in dedupe.lsh(items).collect()} == {2}
     assert dedupe.collision_probability(1.0) == 1.0
 
 
@@ -65,6 +65,21 @@ def test_lsh_passes_a_false_leader(spark):
     assert {(r["id"], r["duplicate_of"]) for r in dedupe.lsh(items, 0.95).collect()} == want
 
 
+def test_lsh_recall(spark):
+    """At sf0.01 at least nine tenths of the items that have an earlier match by exact Jaccard, and no others."""
+    items = content.items(spark, "/root/testdata/sf0.01").select("id", "title", "text")
+    want = {r["b"] for r in dedupe.jaccard_pairs(items).select("b").collect()}
+    got = {r["id"] for r in dedupe.lsh(items).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 5
+
+
+def test_admit_rule(spark):
+    """5 matches 4, which is no longer there, and 6 matches one that is."""
+    pairs = spark.createDataFrame([(4, 1), (5, 4), (6, 4), (6, 5)], "id long, first long")
+    got = {r["id"]: r["duplicate_of"] for r in dedupe.admitted(spark.createDataFrame([(i,) for i in (1, 2, 4, 5, 6)], "id long"), pairs).collect()}
+    assert got == {1: [], 2: [], 4: [1], 5: [], 6: [5]}
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], "k string, n int, created int")
     new = spark.createDataFrame([("b", 5, 9), ("c", 6, 9)], "k string, n int, created int")
@@ -77,6 +92,8 @@ def test_upserts(spark):
 def test_feeds(spark):
     feeds = spark.createDataFrame([("f", "<rss><channel><item><link>http://a</link></item><item><link>http://b</link></item><item><title>x</title></item></channel></rss>"), ("bad", "not xml"), ("none", None)], "feed string, xml string")
     assert [r["url"] for r in content.feed_links(feeds).orderBy("pos").collect()] == ["http://a", "http://b"]
+    deep = [(f"d{k}", f"<sitemapindex><sitemap><loc>d{k + 1}</loc></sitemap><sitemap><loc>d0</loc></sitemap></sitemapindex>") for k in range(7)] + [("d7", "<urlset><url><loc>last</loc></url></urlset>")]
+    assert [r["url"] for r in content.sitemap_links(spark.createDataFrame(deep, "url string, xml string"), "d0").collect()] == ["last"]
     maps = spark.createDataFrame([("i", "<sitemapindex><sitemap><loc>m</loc></sitemap></sitemapindex>"), ("m", "<urlset><url><loc>p1</loc></url><url><loc>p2</loc></url></urlset>")], "url string, xml string")
     assert sorted(r["url"] for r in content.sitemap_links(maps, "i").collect()) == ["p1", "p2"]
 
@@ -88,6 +105,26 @@ def test_stream_is_batch(spark):
     assert batch == stream and any(x[2] for x in batch)
 
 
+def test_stream_over_batches(spark, tmp_path):
+    """Four files in four batches: state is carried over, and an event behind the watermark of the batch before is dropped."""
+    files = [[("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:10:00")], [("a", "2024-01-01 00:50:00"), ("a", "2024-01-01 03:00:00")], [("d", "2024-01-01 03:05:00")], [("a", "2024-01-01 00:20:00"), ("a", "2024-01-01 03:10:00"), ("c", "2024-01-01 08:00:00")]]
+    for k, held in enumerate(files):
+        spark.createDataFrame(held, "term string, ts string").selectExpr("term", "CAST(ts AS timestamp) AS ts").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    read = lambda: spark.readStream.schema("term string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    windows.drained(windows.term_counts(read()), str(tmp_path / "counts"), str(tmp_path / "s1"))
+    got = sorted((str(r["start"])[11:16], r["term"], r["n"]) for r in spark.read.parquet(str(tmp_path / "counts")).collect())
+    assert got[:2] == [("00:00", "a", 2), ("00:00", "b", 1)] and got[2] == ("03:00", "a", 2)
+    windows.drained(windows.cooldown(read(), hours=2.0), str(tmp_path / "cool"), str(tmp_path / "s2"))
+    granted = sorted((r["term"], str(r["ts"])[11:16]) for r in spark.read.parquet(str(tmp_path / "cool")).where("granted").collect())
+    assert granted == [("a", "00:05"), ("a", "03:00"), ("b", "00:10"), ("c", "08:00"), ("d", "03:05")]
+
+
+def test_completed(spark):
+    prompts = spark.createDataFrame([(1, "one two three"), (2, None)], "id long, prompt string")
+    got = {r["id"]: (r["summary"], r["error"] is None) for r in summary.completed(prompts, lambda p: p.upper(), 2).collect()}
+    assert got == {1: ("ONE TWO...", True), 2: (None, False)}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
