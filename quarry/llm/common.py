@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark deletes the shuffle files of a query when it ends.
@@ -58,6 +58,11 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: within a lambda an expression is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def held_out_hash(column: str = "doc_id"):
     """crc32 of the id as text, unsigned, as the folds are defined."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -272,7 +272,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                yield _identified(part.column("doc_id"), pc.fill_null(part.column("text"), "").to_pylist(), model)
+                text = pc.fill_null(part.column("text"), "")
+                text = pc.if_else(pc.match_substring_regex(text, r"\p{L}"), text, "")  # marks alone are no letters
+                yield _identified(part.column("doc_id"), text.to_pylist(), model)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, entropy double")
 

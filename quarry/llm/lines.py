@@ -14,12 +14,10 @@ at every size, and only the last one and that for the words of candidate lines m
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, let, materialize
 
 MIN_NEAR = 8
 #: Parts into which a line or block is cut, and words up to which a block is cut no more.
@@ -35,11 +33,6 @@ def _half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once a row: within a lambda an expression is computed anew for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, lid, half keys of each line that isn't blank; a line's id is the MD5 of its words, set off by one blank each."""
     odd = F.lit(False)
@@ -72,7 +65,7 @@ def _able(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = keyed.join(_shared(keyed), "key", "left_semi").select("lid", "first").distinct()
     owners = found.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.pos", "lid")).alias("found")).withColumnRenamed("doc_id", "owner")
     texts = docs.join(owners.hint("merge"), docs["doc_id"].eqNullSafe(owners["owner"]))
-    said = _let(F.split("text", "\n"), lambda lines: F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), x["lid"].alias("lid"), F.get(lines, x["pos"]).alias("line"))))
+    said = let(F.split("text", "\n"), lambda lines: F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), x["lid"].alias("lid"), F.get(lines, x["pos"]).alias("line"))))
     each = texts.select("doc_id", F.explode(said).alias("x")).select("x.lid", F.struct("doc_id", "x.pos").alias("first"), _words(F.col("x.line")).alias("words"))
     # Rows that repeat a doc_id with another text have other lines there: only the line itself counts.
     return each.where(F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))) == F.col("lid")).dropDuplicates(["lid"])
@@ -170,7 +163,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = base.join(drop.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
     parts, some = F.split("row.text", "\n"), F.col("gone").isNotNull()
     left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
-    kept = F.when(some, F.array_join(_let(parts, left), "\n")).otherwise(F.col("row.text"))
+    kept = F.when(some, F.array_join(let(parts, left), "\n")).otherwise(F.col("row.text"))
     out = joined.select("row", kept.alias("kept"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
     columns = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept").cast("long")) if "n_chars" in docs.columns else None}
     return out.select(*[columns[c].alias(c) if c in columns else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

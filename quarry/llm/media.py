@@ -46,7 +46,10 @@ def samples(media: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text as UTF-8, padded by bytes 0 to a positive multiple of 64. Null text counts as empty."""
+    """doc_id, n_bytes, media: every whole text as UTF-8, padded by bytes 0 to a positive multiple of 64. Null text counts as empty.
+
+    One row for each row, with null and repeated ids as they are; other columns are not read.
+    """
 
     def run(batches):
         for batch in batches:
@@ -119,7 +122,7 @@ def segments(energy: np.ndarray, clip: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def analysed(payloads: list[bytes]) -> tuple[np.ndarray, list[list[dict]], list[str]]:
-    """Of each payload its pooled log-mel tensor, its segments as time spans in seconds, and a digest of both."""
+    """Of each payload its pooled log-mel tensor (in whole 1/1000), its segments as time spans in seconds, and a digest that tells of both."""
     n, gap = len(payloads), TAPS * DOWN  # silence between clips is as long as the filter
     joined = b"".join(p + bytes([128]) * (gap + -len(p) % DOWN) for p in payloads)
     x = np.frombuffer(joined, np.uint8).astype(np.float64) - 128
@@ -148,10 +151,11 @@ def analysed(payloads: list[bytes]) -> tuple[np.ndarray, list[list[dict]], list[
     source = np.where(filled > 0, np.arange(n * STEPS), 0)
     source = np.maximum.accumulate(source.reshape(n, STEPS), axis=1).ravel()
     source = np.maximum(source, np.repeat(np.arange(n) * STEPS, STEPS))
-    tensor = (total / np.maximum(filled, 1)[:, None])[source].reshape(n, *SHAPE)
+    tensor = np.round((total / np.maximum(filled, 1)[:, None])[source].reshape(n, *SHAPE) * 1000) / 1000
     mean = np.stack([np.bincount(clip, mel[:, k], n) for k in range(MELS)], 1) / frames[:, None]
     heard = np.bincount(owner, end - start, n)
-    digest = [f"frames={f};segments={len(s)};active={h / f:.4f};mel=" + ",".join(f"{v:.3f}" for v in m) for f, s, h, m in zip(frames.tolist(), spans, heard.tolist(), mean, strict=True)]
+    whole = [hashlib.blake2b(t.astype("<f4").tobytes() + repr(s).encode(), digest_size=8).hexdigest() for t, s in zip(tensor, spans, strict=True)]
+    digest = [f"frames={f};segments={len(s)};active={h / f:.4f};mel=" + ",".join(f"{v:.3f}" for v in m) + f";tensor={w}" for f, s, h, m, w in zip(frames.tolist(), spans, heard.tolist(), mean, whole, strict=True)]
     return tensor, spans, digest
 
 
@@ -164,7 +168,9 @@ def as_tensor(column: pa.Array) -> pa.FixedShapeTensorArray:
 def features(media: DataFrame, tensors: bool = True) -> DataFrame:
     """Features of a table from store(): hashes of the bytes read back, spans in seconds, the pooled log-mel tensor, a digest.
 
-    One row for each row; a null clip fails, as store() never writes one. Equal texts have equal values.
+    One row for each row, repeated ones too; a null clip fails, as store() never writes one. Equal texts have equal values. Clips are
+    analysed about BYTES_AT_ONCE together; a longer one is analysed whole, at some tens of bytes of memory a byte. The tensor is SHAPE
+    flattened by rows, the storage of as_tensor().
     """
 
     def run(batches):

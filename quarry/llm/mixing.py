@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: A larger rate is drawn as a sum of independent draws of at most this mean, so that one inversion table stays short.
 STEP = 32.0
 #: Sources up to which their rates are broadcast; beyond that the join shuffles (and splits large sources).
@@ -65,7 +67,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("__rate.draws")),
         F.lit(0),
-        lambda n, d: n + F.size(F.filter(F.col("__rate.cdf"), lambda c: c < uniform(F.lit(seed), doc_id, d.cast("string")))),
+        lambda n, d: n + let(uniform(F.lit(seed), doc_id, d.cast("string")), lambda u: F.size(F.filter(F.col("__rate.cdf"), lambda c: c < u))),
     )
     counted = base.join(F.broadcast(rate) if few else rate, F.coalesce("source", F.lit("")) == F.col("__key")).withColumn("__times", drawn)
     copies = counted.where("__times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__rate", "__key")

@@ -48,8 +48,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.stored_features(spark, table(spark, sf_dir, "documents"), tensors=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "spans")
+    return media.stored_features(spark, table(spark, sf_dir, "documents"))
 
 
 @query

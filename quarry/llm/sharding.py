@@ -1,16 +1,19 @@
 """Sharding by size-tiered compaction, in DataFrame operations only.
 
-A store is a folder of immutable Parquet shards and of versioned manifests. append() writes arrivals as small shards; compact()
-merges runs of shards of similar size into files of the target size. Each commits the next manifest version by
-renaming a finished folder, which fails if another writer took that version: readers see a whole version or none.
+A store is a folder of immutable Parquet shards, of manifests (tables of shards) and of versions. append() writes arrivals as small
+shards; compact() merges runs of shards of similar size into files of the target size. Each writes its manifest aside
+and commits by creating the file of the next version, which names the manifest and which the file system creates for one writer
+only: readers see a whole version or none, and the writer that comes second gets a Conflict and starts again from the version of the first.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import time
 import uuid
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .common import work_dir
 #: Sizes in bytes: of a full shard, and the ratio between tiers; a tier is merged once it holds this many shards.
 TARGET, FANOUT, RUN = 128 << 20, 4, 4
 MANIFEST = "path string, rows long, bytes long, tier int"
+#: Times that a writer starts again after a conflict; seconds for which vacuum() leaves files and versions alone.
+RETRIES, GRACE = 20, 24 * 3600
 
 
 class Conflict(Exception):
@@ -31,22 +36,42 @@ class ShardStore:
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> dict[int, str]:
+        """The committed versions and their manifests. A version file that its writer hasn't filled yet doesn't count."""
+        return {k: path for k, (path, _) in self._version_files().items() if path}
+
+    def _version_files(self) -> dict[int, tuple[str, float]]:
+        folder = self._hadoop(f"{self.path}/versions")
+        if not self._fs.exists(folder):
+            return {}
+        found = {}
+        for status in self._fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("v"):
+                found[int(name[1:])] = (self._content(status.getPath()), status.getModificationTime() / 1000)
+        return found
+
+    def _content(self, path) -> str:
+        file = self._fs.open(path)
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
     def version(self) -> int:
         """The latest committed version; 0 for a new store."""
-        folder = self._hadoop(f"{self.path}/manifest")
-        if not self._fs.exists(folder):
-            return 0
-        return max((int(s.getPath().getName()[1:]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v")), default=0)
+        return max(self._versions(), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, rows, bytes, tier of the shards of a version."""
-        version = self.version() if version is None else version
+        held = self._versions()
+        version = max(held, default=0) if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v{version:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{held[version]}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version. The list of shards is read on the driver: it is what the target size keeps short."""
+        """The rows of a version. Spark's reader lists the files it reads on the driver in any case; their target size keeps that list short."""
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
         if not paths:  # only shards without rows were ever written; they still have the columns
             return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/shards").limit(0)
@@ -66,22 +91,51 @@ class ShardStore:
         return files.groupBy("path", "bytes").agg(F.count("*").alias("rows")).select("path", "rows", "bytes", tier.alias("tier"))
 
     def _commit(self, manifest: DataFrame, after: int) -> int:
-        """Make manifest the version after `after`: written aside, then renamed to its name."""
-        aside, name = f"{self.path}/staged/{uuid.uuid4().hex}", f"{self.path}/manifest/v{after + 1:08d}"
-        manifest.coalesce(1).write.parquet(aside)
-        self._fs.mkdirs(self._hadoop(f"{self.path}/manifest"))
-        if self._fs.exists(self._hadoop(name)) or not self._fs.rename(self._hadoop(aside), self._hadoop(name)):
-            self._fs.delete(self._hadoop(aside), True)
-            raise Conflict(name)
-        if self._fs.exists(self._hadoop(f"{name}/{aside.rsplit('/', 1)[1]}")):  # a rename that lost a race moves into the winner's folder
-            self._fs.delete(self._hadoop(f"{name}/{aside.rsplit('/', 1)[1]}"), True)
-            raise Conflict(name)
+        """Make manifest the version after `after`: written aside, then named by the version's file, which only one writer can create."""
+        name = uuid.uuid4().hex
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        self._create(f"{self.path}/versions/v{after + 1:08d}", name)
         return after + 1
 
+    def _create(self, path: str, content: str) -> None:
+        try:
+            file = self._fs.create(self._hadoop(path), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(path) from None
+            raise
+        file.write(bytearray(content.encode()))
+        file.close()
+
+    def _retried(self, change) -> int:
+        """change() until it meets no conflict."""
+        for k in range(RETRIES):
+            try:
+                return change()
+            except Conflict:
+                if k + 1 == RETRIES:
+                    raise
+                time.sleep(min(5.0, 0.1 * 2**k))
+
     def append(self, arrivals: DataFrame) -> int:
-        """Add arrivals as shards of their own, one for each of their partitions; the new version."""
-        before = self.version()
-        return self._commit(self.manifest(before).unionByName(self._written(arrivals)), before)
+        """Add arrivals as shards of their own, one for each of their partitions; the new version. The shards are written once, whatever conflicts."""
+        return self._added(self._written(arrivals))
+
+    def _added(self, shards: DataFrame) -> int:
+        def change() -> int:
+            before = self.version()
+            return self._commit(self.manifest(before).unionByName(shards), before)
+
+        return self._retried(change)
+
+    def append_parts(self, rows: DataFrame, part: str) -> int:
+        """Add the rows of each value of the column `part` as an arrival of its own, from one pass over rows; the last version."""
+        folder = f"{self.path}/shards/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").partitionBy(part).parquet(folder)
+        found = sorted(s.getPath().toString() for s in self._fs.listStatus(self._hadoop(folder)) if s.isDirectory())
+        if not found:  # no rows: a shard that holds the columns
+            return self.append(rows.drop(part))
+        return [self._added(self._listed(x)) for x in found][-1]
 
     def compact(self) -> int:
         """Merge every tier of at least `run` shards that aren't full, once; the new version, or the old one if nothing was due.
@@ -89,6 +143,9 @@ class ShardStore:
         A tier's shards have similar sizes, so dealing whole shards evenly to ceil(bytes / target) tasks gives files near the
         target without a shuffle. Old shards stay for readers of older versions until vacuum().
         """
+        return self._retried(self._compact)
+
+    def _compact(self) -> int:
         before = self.version()
         held = self.manifest(before)
         due = held.where("tier > 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.run).collect()
@@ -99,7 +156,7 @@ class ShardStore:
             paths = [x["path"] for x in held.where(F.col("tier") == r["tier"]).select("path").collect()]
             made.append(self._written(self.spark.read.parquet(*paths).coalesce(max(1, math.ceil(r["bytes"] / self.target)))))
         stay = held.where(~F.col("tier").isin([r["tier"] for r in due]))
-        return self._commit(reduce(DataFrame.unionByName, made, stay), before)
+        return self._commit(functools.reduce(DataFrame.unionByName, made, stay), before)
 
     def compacted(self) -> int:
         """compact() until nothing is due. Every merge at least halves its shards, so this ends."""
@@ -110,30 +167,42 @@ class ShardStore:
     def _due(self) -> bool:
         return bool(self.manifest().where("tier > 0").groupBy("tier").count().where(F.col("count") >= self.run).limit(1).collect())
 
-    def vacuum(self) -> int:
-        """Delete shards that the latest version doesn't hold, and older manifests; how many shards went."""
-        now = self.version()
-        keep = {r["path"].rsplit("/", 1)[1] for r in self.manifest(now).select("path").collect()}
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete what neither the latest version nor one committed in the last `grace` seconds needs; how many shards went.
+
+        Files younger than that stay too: a writer may not have committed them yet, and a reader of an older version may still read them.
+        Appends must take less time than that. A version file whose writer died before filling it goes as well.
+        """
+        old = time.time() - grace
+        files = self._version_files()
+        now = max((k for k, (name, _) in files.items() if name), default=0)
+        needed = {k for k, (name, at) in files.items() if name and (k == now or at >= old)}
+        keep = {r["path"].rsplit("/", 1)[1] for k in needed for r in self.manifest(k).select("path").collect()}
         gone = 0
-        files = self._fs.listFiles(self._hadoop(f"{self.path}/shards"), True)
-        while files.hasNext():
-            file = files.next().getPath()
-            if file.getName().endswith(".parquet") and file.getName() not in keep:
-                gone += self._fs.delete(file, False)
-        for s in self._fs.listStatus(self._hadoop(f"{self.path}/manifest")):
-            if s.getPath().getName() != f"v{now:08d}":
-                self._fs.delete(s.getPath(), True)
+        shards = self._hadoop(f"{self.path}/shards")
+        found = self._fs.listFiles(shards, True) if self._fs.exists(shards) else None
+        while found is not None and found.hasNext():
+            file = found.next()
+            name = file.getPath().getName()
+            if name.endswith(".parquet") and name not in keep and file.getModificationTime() / 1000 < old:
+                gone += self._fs.delete(file.getPath(), False)
+        for k, (name, at) in files.items():
+            if k not in needed and at < old and (name or k > now):
+                self._fs.delete(self._hadoop(f"{self.path}/versions/v{k:08d}"), False)
+                if name:
+                    self._fs.delete(self._hadoop(f"{self.path}/manifests/{name}"), True)
         return gone
 
 
 def sharded(docs: DataFrame, arrivals: int = 4, target: int = TARGET) -> tuple[ShardStore, int]:
-    """A new store in the shared folder with docs appended as `arrivals` batches (by a hash of the whole row's id) and compacted.
+    """A new store in the shared folder with docs appended as `arrivals` batches (by a hash of the row's id), in one pass, and compacted.
 
     Every row is kept as it is: nulls, repeated rows and all columns. An empty docs gives a store without rows that has its columns.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, f"{work_dir(spark)}/quarry/shards-{uuid.uuid4().hex}", target)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(part == k))
+    part = "__arrival"
+    while part in docs.columns:
+        part += "_"
+    store.append_parts(docs.withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), part)
     return store, store.compacted()

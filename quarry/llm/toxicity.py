@@ -2,7 +2,8 @@
 
 Documents carry one label each, so tokens are labelled from them first: a word is toxic where the toxic documents of
 the sample hold it far more often than the clean ones. The chain is fitted to those token labels by gradient ascent on
-its log-likelihood (forward-backward), and a logistic curve maps the marginals of a document's tagged words to its label.
+its log-likelihood (forward-backward). A word's potential depends on the word and on whether its neighbours are in the
+vocabulary too. A logistic curve maps the marginals of a document's tagged words to its label.
 
 Scoring runs over whole texts. Words outside the model's vocabulary share one potential, so a stretch of m of them is the
 m-th power of one 2 x 2 matrix; the exact marginals come from the words of the vocabulary and those powers.
@@ -22,18 +23,17 @@ from .common import held_out_hash, lower, runs, utf8, words
 
 #: Bound on the labelled documents that the model is fitted to; taken in the order of a hash of their id.
 TRAIN_DOCS = 4_000
-#: Bound on the words that have a potential of their own.
-VOCABULARY = 1_024
+#: A word has a potential of its own if it is toxic, or from so many standard deviations towards toxic documents.
+LEANING = 3.0
 #: Tokens in one training sequence, bytes scored at once, steps of gradient ascent.
 WINDOW, BYTES_AT_ONCE, STEPS = 48, 4_000_000, 60
-#: Bound on the training sequences of either kind, those with a toxic word and those without.
-SEQUENCES = 3_000
 
 
 @dataclass(frozen=True)
 class Model:
     hashes: np.ndarray  # sorted; the words with potentials of their own
     emit: np.ndarray  # (len(hashes) + 1, 2); the last row is every other word's
+    context: np.ndarray  # (4, 2); added for words of the vocabulary, by whether the word before (2) and after (1) is of it too
     move: np.ndarray  # (2, 2) transition scores
     start: np.ndarray  # (2,)
     curve: tuple[float, float]  # slope and intercept from a document's evidence to its logit
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
 def _fit(h: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
-    none = Model(np.zeros(0, np.uint64), np.zeros((1, 2)), np.zeros((2, 2)), np.zeros(2), (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))))
+    none = Model(np.zeros(0, np.uint64), np.zeros((1, 2)), np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2), (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))))
     if not toxic.any() or toxic.all() or not len(h):
         return none
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -88,17 +88,24 @@ def _fit(h: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Model:
     bad = (q >= 0.8) & (surprise >= np.log(len(found)) + 3)
     if not bad.any():
         return none
-    # The vocabulary: the toxic words, then those that lean towards toxic documents most.
-    ranked = np.lexsort((found, -z, ~bad))
-    kept = np.sort(ranked[: min(VOCABULARY, int(max(bad.sum(), (z >= 2).sum())))])
+    kept = np.flatnonzero(bad | (z >= LEANING))
     place = np.full(len(found), len(kept))
     place[kept] = np.arange(len(kept))
     token, label = place[code], bad[code].astype(np.int64)
-    emit, move, start = _ascend(token, label, sizes, len(kept) + 1)
-    model = Model(found[kept], emit, move, start, (1.0, 0.0))
+    fitted = _ascend(token, label, sizes, len(kept) + 1)
+    model = Model(found[kept], *fitted, (1.0, 0.0))
     own = np.flatnonzero(token < len(kept))
     x = _evidence(_chain(model, token[own], _place(sizes, own), row[own], sizes)[2], token[own], row[own], len(sizes), len(kept))
-    return Model(found[kept], emit, move, start, _logistic(x, toxic.astype(float)))
+    return Model(found[kept], *fitted, _logistic(x, toxic.astype(float)))
+
+
+def _context(place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of words of the vocabulary, in order: 2 if the word before is of it too, and 1 if the one after is."""
+    near = (np.diff(place) == 1) & (np.diff(row) == 0)
+    out = np.zeros(len(place), np.int64)
+    out[1:] += 2 * near
+    out[:-1] += near
+    return out
 
 
 def _place(sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -106,56 +113,60 @@ def _place(sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own - np.repeat(begin, sizes)[own]
 
 
-def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximise the log-likelihood of the labels (Adam, L2), over the text's windows side by side."""
+def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """emit, context, move, start that maximise the log-likelihood of the labels (Adam, L2), over the text's windows side by side.
+
+    Windows without words of the vocabulary are alike if of one length, so each length has one, with its number as weight.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    vocabulary = token < n - 1
+    context = np.full(len(token), 4)  # words outside the vocabulary have none
+    context[vocabulary] = _context(_place(sizes, np.flatnonzero(vocabulary)), row[vocabulary])
     inside = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     first = np.flatnonzero(inside % WINDOW == 0)
     length = np.diff(np.r_[first, len(token)])
-    some = np.add.reduceat(label, first) > 0
-    picked = np.concatenate([x[:: len(x) // SEQUENCES + 1] for x in (np.flatnonzero(some), np.flatnonzero(~some))])
-    first, length = first[picked], length[picked]
-    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    own = np.repeat(first, length) + inside
-    token, label, first = token[own], label[own], np.cumsum(length) - length
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
+    plain = np.add.reduceat(vocabulary.astype(np.int64), first) == 0
+    _, some, times = np.unique(np.where(plain, length, -1 - np.arange(len(first))), return_index=True, return_counts=True)
+    order = np.argsort(-length[some], kind="stable")
+    first, times = first[some[order]], times[order].astype(float)
+    length = length[some[order]]
+    own = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    token, label, context, first = token[own], label[own], context[own], np.cumsum(length) - length
+    each = np.repeat(times, length)
     live = [int(np.searchsorted(-length, -t, "right")) for t in range(1, WINDOW + 1)]  # windows with t tokens or more come first
     at = [first[: live[t]] + t for t in range(WINDOW)]
-    weight = [np.zeros((n, 2)), np.zeros((2, 2)), np.zeros(2)]
-    seen = [np.zeros((n, 2)), np.zeros((2, 2)), np.zeros(2)]
-    np.add.at(seen[0], (token, label), 1)
+    zeros = lambda: [np.zeros((n, 2)), np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2)]
+    weight, seen, mean, square = zeros(), zeros(), zeros(), zeros()
+    np.add.at(seen[0], (token, label), each)
+    np.add.at(seen[1], (context, label), each)
     for t in range(1, WINDOW):
-        np.add.at(seen[1], (label[at[t] - 1], label[at[t]]), 1)
-    np.add.at(seen[2], label[at[0]], 1)
-    mean = [np.zeros_like(w) for w in weight]
-    square = [np.zeros_like(w) for w in weight]
-    scale = 1.0 / len(first)
+        np.add.at(seen[2], (label[at[t] - 1], label[at[t]]), times[: live[t]])
+    np.add.at(seen[3], label[at[0]], times)
     for step in range(1, STEPS + 1):
-        e, m = np.exp(weight[0])[token], np.exp(weight[1])
+        e, m = np.exp(weight[0][token] + weight[1][context]), np.exp(weight[2])
         alpha, norm = np.empty((len(token), 2)), np.empty(len(token))
-        a = np.exp(weight[2]) * e[at[0]]
+        a = np.exp(weight[3]) * e[at[0]]
         for t in range(WINDOW):
             if t:
                 a = (alpha[at[t] - 1] @ m) * e[at[t]]
             norm[at[t]] = c = a.sum(1)
             alpha[at[t]] = a / c[:, None]
-        beta = np.ones((len(token), 2))
-        expected = [np.zeros((n, 2)), np.zeros((2, 2)), np.zeros(2)]
+        beta, expected = np.ones((len(token), 2)), zeros()
         for t in range(WINDOW - 1, 0, -1):
             i = at[t]
             back = e[i] * beta[i] / norm[i][:, None]
-            expected[1] += (alpha[i - 1].T @ back) * m
+            expected[2] += ((alpha[i - 1] * times[: live[t], None]).T @ back) * m
             beta[i - 1] = back @ m.T
-        p = alpha * beta
+        p = alpha * beta * each[:, None]
         for s in (0, 1):
-            expected[0][:, s] = np.bincount(token, p[:, s], n)
-            expected[2][s] = p[at[0], s].sum()
-        for k in range(3):
-            g = (seen[k] - expected[k]) * scale - 1e-5 * weight[k]
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.99 * square[k] + 0.01 * g * g
+            expected[0][:, s], expected[1][:, s], expected[3][s] = np.bincount(token, p[:, s], n), np.bincount(context, p[:, s], 5), p[at[0], s].sum()
+        for k in range(4):
+            d = (seen[k] - expected[k]) / times.sum() - 1e-5 * weight[k]
+            mean[k] = 0.9 * mean[k] + 0.1 * d
+            square[k] = 0.99 * square[k] + 0.01 * d * d
             weight[k] = weight[k] + 0.3 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-    return weight[0], weight[1], weight[2]
+        weight[1][4] = 0
+    return weight[0], weight[1][:4], weight[2], weight[3]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -186,7 +197,8 @@ def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray,
     token, place, row: the vocabulary's tokens in order, their position in their row, and their row of sizes.
     """
     n, k = len(sizes), len(model.hashes)
-    e, m, e0 = np.exp(model.emit), np.exp(model.move), np.exp(model.emit[k])
+    own = model.emit[token] + model.context[_context(place, row)]
+    e, m, e0 = np.exp(own), np.exp(model.move), np.exp(model.emit[k])
     step = m * e0  # one word outside the vocabulary
     values, vectors = np.linalg.eig(step)
     order = np.argsort(-values.real)
@@ -216,10 +228,10 @@ def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray,
         i = begin[r] + t
         if t == 0:
             fresh = gap[i] == 0
-            a = np.where(fresh[:, None], begun, passed(np.tile(begun * e0, (len(i), 1)), np.maximum(gap[i] - 1, 0)) @ m) * e[token[i]]
+            a = np.where(fresh[:, None], begun, passed(np.tile(begun * e0, (len(i), 1)), np.maximum(gap[i] - 1, 0)) @ m) * e[i]
             lift = np.maximum(gap[i] - 1, 0) * log_top
         else:
-            a = (passed(fore[r], gap[i]) @ m) * e[token[i]]
+            a = (passed(fore[r], gap[i]) @ m) * e[i]
             lift = gap[i] * log_top
         c = a.sum(1)
         alpha[i] = fore[r] = a / c[:, None]
@@ -227,7 +239,7 @@ def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray,
     ended = np.where((count > 0)[:, None], passed(fore, np.maximum(tail, 0)), passed(np.tile(begun * e0, (n, 1)), np.maximum(sizes - 1, 0)))
     lift = np.where(count > 0, tail, np.maximum(sizes - 1, 0)) * log_top
     log_z = np.bincount(row, norm, n) + np.log(ended.sum(1)) + lift
-    clean = np.bincount(row, model.emit[token, 0], n) + (sizes - count) * model.emit[k, 0] + np.maximum(sizes - 1, 0) * model.move[0, 0] + model.start[0]
+    clean = np.bincount(row, own[:, 0], n) + (sizes - count) * model.emit[k, 0] + np.maximum(sizes - 1, 0) * model.move[0, 0] + model.start[0]
     log_z, clean = np.where(sizes > 0, log_z, 0.0), np.where(sizes > 0, clean, 0.0)
     p = np.empty(len(token))
     beta = passed(np.ones((n, 2)), np.maximum(tail, 0), True)
@@ -237,7 +249,7 @@ def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray,
         b = beta[r]
         both = alpha[i] * b
         p[i] = both[:, 1] / both.sum(1)
-        back = (e[token[i]] * b) @ m.T
+        back = (e[i] * b) @ m.T
         back = passed(back, gap[i], True)
         beta[r] = back / back.sum(1)[:, None]
     return log_z, clean, p

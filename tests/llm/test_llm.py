@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -316,13 +317,32 @@ def test_sharding(spark, docs, empty, edges, tmp_path):
     assert sorted(map(tuple, store.read(before).collect())) == sorted(map(tuple, docs.collect())) == sorted(map(tuple, store.read().collect()))
     with pytest.raises(sharding.Conflict):
         store._commit(store.manifest(), after - 1)
-    assert store.vacuum() > 0 and store.read().count() == docs.count()
+    assert store.vacuum() == 0 and store.vacuum(-1) > 0 and store.read().count() == docs.count() and store._versions().keys() == {after}
+    sizes = [r["bytes"] for r in store.manifest().collect()]
+    assert sum(x < store.target / 4 for x in sizes) < 3 and max(sizes) < 4 * store.target
     one, version = sharding.sharded(empty)
     assert one.read(version).columns == empty.columns and one.read(version).count() == 0
     two, version = sharding.sharded(edges)
     assert two.read(version).count() == len(EDGES)
 
 
+def test_shard_writers_race(spark, docs, tmp_path):
+    """Two writers from one version: both arrivals stay, in versions of their own; a vacuum leaves what isn't committed yet."""
+    path = f"file://{tmp_path}/r"
+    one, two = sharding.ShardStore(spark, path, target=1 << 20), sharding.ShardStore(spark, path, target=1 << 20)
+    one.append(docs.where("doc_id < 50"))
+    pending = one._written(docs.where("doc_id >= 50 AND doc_id < 80"))
+    assert two.vacuum() == 0
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: (one, two)[k % 2].append(docs.where(F.col("doc_id") == 80 + k)), range(4)))
+    assert sorted(made) == [2, 3, 4, 5] and one._added(pending) == 6
+    assert two.read().count() == docs.where("doc_id < 84").count() and two.read(1).count() == docs.where("doc_id < 50").count()
+    (tmp_path / "r/versions/v00000007").touch()  # a writer that died
+    assert one.version() == 6
+    one.vacuum(-1)
+    assert one.append(docs.where("doc_id = 90")) == 7
+
+
 # 7
 
 
@@ -350,8 +370,40 @@ def test_resampling(up, down):
 
 
 def test_segments_have_hysteresis():
-    clip, start, end = media.segments(np.array([0, 5, 9, 5, 0, 0, 5, 0.0]), np.zeros(8, int), 1)
-    assert list(zip(clip, start, end)) == [(0, 1, 4), (0, 6, 7)] or list(zip(clip, start, end)) == [(0, 1, 4)]
+    clip, start, end = media.segments(np.array([0, 5, 9, 5, 0, 0, 3, 0.0]), np.zeros(8, int), 1)
+    assert list(zip(clip, start, end)) == [(0, 1, 4)]  # thresholds 1.2 and 4.3: the 3 alone is no segment
+
+
+def test_media_features_by_hand(spark):
+    """Frames, filters, pooling and spans of one clip by plain loops."""
+    payload = "".join(random.Random(4).choices("abc \x00\x7f", k=6400)).encode()
+    tensor, spans, _ = media.analysed([payload, b"x" * 64])
+    y = media.resample(np.frombuffer(payload, np.uint8).astype(float) - 128)
+    frames = [np.pad(y[k : k + 256], (0, max(0, 256 - len(y[k : k + 256])))) for k in range(0, max(1, len(y) - 256 + 128), 128)]
+    frames = frames[: max(1, -(-(len(y) - 256) // 128) + 1)]
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 30 / 700), 2595 * np.log10(1 + 2000 / 700), 26) / 2595) - 1)
+    mel = []
+    for x in frames:
+        power = np.abs(np.fft.rfft(x * np.hanning(256))) ** 2
+        bank = [sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, np.fft.rfftfreq(256, 1 / 4000))) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        mel.append(np.log(np.array(bank) + 1))
+    want = [np.mean([m for k, m in enumerate(mel) if k * 32 // len(mel) == s] or [mel[0]], axis=0) for s in range(32)]
+    filled = [any(k * 32 // len(mel) == s for k in range(len(mel))) for s in range(32)]
+    for s in range(32):
+        if not filled[s]:
+            want[s] = want[s - 1]
+    assert tensor[0] == pytest.approx(np.array(want), abs=6e-4)
+    energy = [np.log((x * x).sum() + 1) for x in frames]
+    low, high = np.mean(energy) - np.std(energy) / 2, np.mean(energy) + np.std(energy) / 2
+    runs, k = [], 0
+    while k < len(energy):
+        end = k
+        while end < len(energy) and energy[end] >= low:
+            end += 1
+        if end > k and max(energy[k:end]) >= high:
+            runs.append((k * 128 / 4000, ((end - 1) * 128 + 256) / 4000))
+        k = end + 1
+    assert [(x["start"], x["end"]) for x in spans[0]] == runs
 
 
 def test_media_edges(spark, edges, empty):
@@ -457,11 +509,12 @@ def test_toxicity(spark):
 
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(2)
-    model = toxicity.Model(np.array([5, 9], np.uint64), rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), (1.0, 0.0))
+    model = toxicity.Model(np.array([5, 9], np.uint64), rng.normal(size=(3, 2)), rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), (1.0, 0.0))
     for words in ([2, 2, 0, 2, 1, 1, 2], [0], [2, 2], [1, 2, 2, 2, 0]):
         paths = []
         for y in np.ndindex(*[2] * len(words)):
-            s = model.start[y[0]] + sum(model.emit[w, a] for w, a in zip(words, y)) + sum(model.move[a, b] for a, b in zip(y, y[1:]))
+            near = [2 * (i > 0 and words[i - 1] < 2) + (i + 1 < len(words) and words[i + 1] < 2) for i in range(len(words))]
+            s = model.start[y[0]] + sum(model.emit[w, a] + (model.context[c, a] if w < 2 else 0) for w, c, a in zip(words, near, y)) + sum(model.move[a, b] for a, b in zip(y, y[1:]))
             paths.append((y, s))
         z = np.log(sum(np.exp(s) for _, s in paths))
         own = np.array([i for i, w in enumerate(words) if w < 2], int)
@@ -494,3 +547,35 @@ def test_pipeline(spark, docs):
         held = spark.createDataFrame(held.toPandas(), docs.schema) if held.count() else held
     direct = sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.encoded(spark, held, DATA).collect())
     assert direct == sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, DATA).collect())
+
+
+def test_pipeline_stages_by_brute_force(spark, docs):
+    """What each stage keeps of its own input, by other means: scores, the SQL of line dedup and of mixing, and classes by all pairs."""
+    held = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.without_toxic(spark, held, DATA)
+    bad = {r["doc_id"] for r in toxicity.scored(held, spark.read.parquet(f"{DATA}/labels.parquet")).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in held.collect()} - bad
+    con = duckdb.connect()
+
+    def sql(rows, query):
+        con.register("documents", rows.toArrow())
+        return sorted(con.execute(query).fetchall())
+
+    lined = materialize(spark, corpus_pipeline.without_repeated_lines(spark, kept, DATA), "test")
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in lined.collect()) == sql(kept, f"SELECT doc_id, text, n_chars FROM ({lines.ORACLE})")
+    single = materialize(spark, corpus_pipeline.without_near_duplicates(spark, lined, DATA), "test")
+    classes = _classes(texts(lined))
+    assert sorted(texts(single)) == sorted(k for k, r in classes.items() if k == r)
+    drawn = corpus_pipeline.mixed(spark, single, DATA)
+    assert sorted(r["doc_id"] for r in drawn.collect()) == [r[0] for r in sql(single, f"SELECT doc_id FROM ({mixing.ORACLE})")]
+
+
+def test_pipeline_stage_edges(spark, edges, empty):
+    """Nulls, repeated rows, empty texts and tables, a column more: every stage gives the columns of documents, and keeps the rows it must."""
+    want = ["doc_id", "text", "lang", "source", "n_chars"]
+    for rows in (edges, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, DATA)
+            n = out.count()
+            assert out.columns == want and (n == 0 if rows is empty else name == "mixing" or n >= len(EDGES) - 1)
+        assert corpus_pipeline.encoded(spark, rows, DATA).count() == rows.count()
