@@ -17,25 +17,28 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't predict toxic; fitted to the labelled part of docs."""
+    """Documents that the model doesn't predict toxic; fitted to the labelled part of docs. Null and empty texts stay, as do null ids and repeated rows."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs.select(*DOCUMENT_COLUMNS), model)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup(docs).select(*DOCUMENT_COLUMNS)
+    """Every document, without the lines that repeat an earlier one; n_chars follows. Null texts stay null, a text whose lines all go is empty."""
+    return lines.dedup(docs.select(*DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicated(docs).select(*DOCUMENT_COLUMNS)
+    """One document of each class of near-duplicates, that of the least id; null texts and null ids stay. Empty texts are one class."""
+    return minhash.deduplicated(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares; a document that is drawn several times is several rows."""
-    return mixing.mix(docs).select(*DOCUMENT_COLUMNS)
+    """Sources in equal shares; a document that is drawn several times is several rows, one drawn never is gone. Null sources are one source."""
+    return mixing.mix(docs.select(*DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of each row's tokens; a null text counts as empty."""
     return bpe.digests(docs, queries.tokenizer_path())
 
 
