@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, powers, runs, utf8
@@ -25,7 +25,7 @@ LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes hashed at once (a longer text is taken in overlapping pieces), and contexts in one suffix array.
 BYTES_AT_ONCE, CONTEXTS_AT_ONCE = 1 << 20, 20_000
-#: An anchor with more distinct contexts than this is split by the strings themselves.
+#: An anchor with more distinct contexts than this is cut further, by the next least hashes of its strings.
 HOT_CONTEXTS = 50_000
 _BITS = np.uint64(22)
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -33,16 +33,21 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(7, 263, dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of LENGTH-byte strings with one anchor: row, hash of the anchor, first and last string's place in data."""
+def _ordered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every ANCHOR-byte string, and what orders them: the hash's upper bits and the place, so the leftmost of equal ones is least."""
     n = len(data)
-    none = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return none, np.zeros(0, np.uint64), none, none
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, n)[:n], out=sums[1:])
     h = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * powers(_UNBASE, n)[: n - ANCHOR + 1])
-    low = (h >> _BITS << _BITS) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
+    return h, (h >> _BITS << _BITS) | np.arange(len(h), dtype=np.uint64)
+
+
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of LENGTH-byte strings with one anchor: row, hash of the anchor, first and last string's place in data."""
+    none = np.zeros(0, np.int64)
+    if len(data) < LENGTH:
+        return none, np.zeros(0, np.uint64), none, none
+    h, low = _ordered(data)
     width = 1
     while width * 2 <= SPAN:
         low = np.minimum(low[:-width], low[width:])
@@ -71,7 +76,10 @@ def _pieces(text: pa.Array):
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """h, doc, others: a row for each anchor of each batch of rows, its least doc_id and the other ones there."""
+    """h, part, doc, several, others: for each anchor of each batch of rows one row (part 0) with its least doc_id, and whether more have it.
+
+    Those others are a row of a part of their own, so what has to meet for an anchor is one small row a batch at most.
+    """
 
     def run(batches):
         for batch in batches:
@@ -84,12 +92,24 @@ def anchored(docs: DataFrame) -> DataFrame:
             doc, h = doc[order], h[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
             doc, h = doc[new], h[new]
-            first = np.r_[True, h[1:] != h[:-1]][: len(h)]
-            ends = np.cumsum(~first)[np.append(np.flatnonzero(first)[1:], len(h)) - 1] if len(h) else np.zeros(0, np.int64)
-            others = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(doc[~first]))
-            yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(doc[first]), others], ["h", "doc", "others"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, others array<long>")
+            if not len(h):
+                continue
+            first = np.r_[True, h[1:] != h[:-1]]
+            size = np.diff(np.append(np.flatnonzero(first), len(h))) - 1
+            least, several = h[first].view(np.int64), size > 0
+            n, m = len(size), int(several.sum())
+            mine = (mix(h[first][several] + doc[first][several].astype(np.uint64)) | np.uint64(1)).view(np.int64)  # never part 0
+            ends = np.r_[np.zeros(n + 1, np.int64), np.cumsum(size[several])].astype(np.int32)
+            yield pa.record_batch(
+                [
+                    pa.array(np.r_[least, least[several]]), pa.array(np.r_[np.zeros(n, np.int64), mine]),
+                    pa.array(np.r_[doc[first], np.zeros(m, np.int64)], mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                    pa.array(np.r_[several, np.ones(m, bool)]), pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[~first])),
+                ],
+                ["h", "part", "doc", "several", "others"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, part long, doc long, several boolean, others array<long>")
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -232,6 +252,61 @@ def covered(rows: DataFrame) -> DataFrame:
     return rows.select("h", "g", "lead", "context").mapInArrow(run, "h long, g long, spans array<struct<s:int,e:int>>")
 
 
+def finer(rows: DataFrame, level: int) -> DataFrame:
+    """h, g, lead, key, start, context: contexts (h, g, lead, context) cut into runs of strings that share their level + 1 least hashes, which are the key.
+
+    Equal strings have equal least hashes, so they meet under one key; each string is in one run.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, block in enumerate(batch.column("context").to_pylist()):
+                h, low = _ordered(np.frombuffer(block, np.uint8))
+                least = np.sort(np.lib.stride_tricks.sliding_window_view(low, SPAN), axis=1)[:, : level + 1]
+                place = (least & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
+                key = np.zeros(len(place), np.uint64)
+                for k in range(place.shape[1]):
+                    key = mix(key * np.uint64(_BASE) + h[place[:, k]])
+                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)])
+                last = np.append(first[1:], len(place)) - 1
+                out += [(i, k, a, block[a : b + LENGTH]) for k, a, b in zip(key[first].view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)]
+            at, key, start, held = zip(*out, strict=True) if out else ((), (), (), ())
+            take = pa.array(at, pa.int64())
+            yield pa.record_batch([*(batch.column(c).take(take) for c in ("h", "g", "lead")), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(held, pa.binary())], ["h", "g", "lead", "key", "start", "context"])
+
+    return rows.select("h", "g", "lead", "context").mapInArrow(run, "h long, g long, lead long, key long, start int, context binary")
+
+
+def _lost(doc: str, kind: str) -> Column:
+    """The spans of a place (start, size, and a document) that go: all of it if a smaller document (lead) has it too, else its spans."""
+    start, end = F.col("start").cast(kind), (F.col("start") + F.col("size")).cast(kind)
+    some = F.transform("spans", lambda x: F.struct((start + x["s"]).alias("s"), (start + x["e"]).alias("e")))
+    return F.when(F.col(doc) > F.col("lead"), F.array(F.struct(start.alias("s"), end.alias("e")))).otherwise(some)
+
+
+def repeated(leads: DataFrame, level: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+    """h, g, spans: what of each context (h, g, lead, context) also is in one of its anchor with a smaller lead; and the tables that this reads.
+
+    The contexts of a crowded anchor are cut by more of the least hashes until none is crowded, or the key is the whole string.
+    """
+    spark = leads.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crowded = materialize(spark, leads.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("h"), "crowded")
+    spread = covered(leads.join(crowded, "h", "left_anti").repartition(tasks, "h").sortWithinPartitions("h", "g"))
+    if not crowded.limit(1).count():
+        return spread, [crowded]
+    if level >= SPAN:
+        return covered(leads.repartition(tasks, "h").sortWithinPartitions("h", "g")), [crowded]
+    runs_of = materialize(spark, finer(leads.join(crowded, "h"), level).withColumns({"own": F.xxhash64("context"), "size": F.length("context")}), "finer")
+    inner = materialize(spark, runs_of.groupBy(F.col("key").alias("h"), F.col("own").alias("g")).agg(F.min("lead").alias("lead"), F.min("context").alias("context")), "finer-leads")
+    parts, held = repeated(inner, 2 * level + 1)
+    known = inner.select("h", "g", "lead").join(parts, ["h", "g"], "left").toDF("key", "own", "lead", "spans")
+    each = runs_of.select("h", "g", F.col("lead").alias("mine"), "key", "own", "start", "size").join(known, ["key", "own"]).where("mine > lead OR spans IS NOT NULL")
+    cut = each.select("h", "g", _lost("mine", "int").alias("x")).groupBy("h", "g").agg(F.flatten(F.collect_list("x")).alias("spans"))
+    return spread.unionByName(cut), [crowded, runs_of, inner, *held]
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans: one row for each row of docs.
 
@@ -240,12 +315,11 @@ def removed(docs: DataFrame) -> DataFrame:
     removes nor loses any. Other columns are not read.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     # 1. Anchors that more than one document has.
-    one = Window.partitionBy("h")
-    seen = anchored(rows).withColumns({"least": F.min("doc").over(one), "most": F.max("doc").over(one)}).where("least < most OR size(others) > 0")
-    wanted = materialize(spark, seen.select("h", F.explode(F.concat(F.array("doc"), "others")).alias("doc")).groupBy("doc").agg(F.collect_set("h").alias("wanted")), "anchors")
+    one = Window.partitionBy("h", "part")
+    seen = anchored(rows).withColumns({"least": F.min("doc").over(one), "most": F.max("doc").over(one), "met": F.max("several").over(one)}).where("met OR least < most")
+    wanted = materialize(spark, seen.select("h", F.explode(F.when(F.col("part") == 0, F.array("doc")).otherwise(F.col("others"))).alias("doc")).groupBy("doc").agg(F.collect_set("h").alias("wanted")), "anchors")
     del seen
     # 2. Their contexts; of equal contexts the least document.
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
@@ -256,19 +330,11 @@ def removed(docs: DataFrame) -> DataFrame:
     places = materialize(spark, met.select("h", g, "doc", "text_key", "start", F.length("context").alias("size")), "places")
     discard(spark, met)
     # 3. Maximal repeats among different contexts of one anchor.
-    hot = materialize(spark, leads.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTEXTS).select("h"), "hot")
-    parted = leads.join(hot, "h", "left_anti").repartition(tasks, "h").sortWithinPartitions("h", "g")
-    single = leads.join(hot, "h").select("h", "g", "lead", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("context") - LENGTH + 1), lambda i: F.md5(F.substr("context", i, F.lit(LENGTH))))).alias("s", "string"))
-    owner = single.groupBy("string").agg(F.min("lead").alias("least"))
-    split = single.join(owner, "string").where("least < lead").groupBy("h", "g").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), (F.col("s") + LENGTH).cast("int").alias("e"))).alias("spans"))
-    parts = covered(parted).unionByName(split)
+    parts, held = repeated(leads)
     found = materialize(spark, leads.select("h", "g", "lead").join(parts, ["h", "g"], "left"), "spans")
-    discard(spark, leads, hot)
+    discard(spark, leads, *held)
     # 4. What each document loses: contexts that a smaller document has too, and the spans of the others.
-    start, size = F.col("start"), F.col("size")
-    whole = F.array(F.struct(start.alias("s"), (start + size).alias("e")))
-    some = F.transform("spans", lambda x: F.struct((start + x["s"]).alias("s"), (start + x["e"]).alias("e")))
-    each = places.join(found, ["h", "g"]).where("doc > lead OR spans IS NOT NULL").select("doc", "text_key", F.when(F.col("doc") > F.col("lead"), whole).otherwise(some).alias("x"))
+    each = places.join(found, ["h", "g"]).where("doc > lead OR spans IS NOT NULL").select("doc", "text_key", _lost("doc", "long").alias("x"))
     lost = materialize(spark, each.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("x")).alias("lost")), "lost")
     discard(spark, places, found)
     all_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))

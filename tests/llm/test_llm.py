@@ -435,13 +435,37 @@ def test_repeats(spark, docs):
     assert got == _removed(texts(docs))
 
 
-def test_repeats_split_by_string(spark, docs, monkeypatch):
+def test_repeats_of_crowded_anchors(spark, docs, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", 1)
     few = docs.where("doc_id < 60")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed(few).collect()}
     assert got == _removed(texts(few))
 
 
+def test_repeats_of_one_family(spark, monkeypatch):
+    """Copies of one passage within different surroundings, so that one anchor has a context for each of them."""
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 20)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(30)) + passage[: rng.randrange(45, 71)] + "".join(rng.choice("xyz") for _ in range(30))) for i in range(150)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _removed(dict(rows))
+
+
+def test_repeats_cut_long_texts(monkeypatch):
+    """Every 50-byte string of a text that is hashed in pieces has the anchor that it has on its own."""
+    monkeypatch.setattr(repeats, "BYTES_AT_ONCE", 200)
+    rng = random.Random(4)
+    held = ["".join(rng.choice("abcd") for _ in range(n)) for n in (3000, 10, 450, 49, 50, 0)]
+    got = collections.defaultdict(set)
+    for lo, part, at, cut in repeats._pieces(pa.array(held)):
+        for row, h, first, last in zip(*repeats.anchors(part, at), strict=True):
+            got[lo + row] |= {(int(i - at[row] + cut), int(h)) for i in range(first, last + 1)}
+    for i, text in enumerate(held):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert got[i] == {(k, int(repeats.anchors(raw[k : k + 50], np.array([0, 50]))[1][0])) for k in range(len(raw) - 49)}
+
+
 def test_maximal_repeats():
     rng = random.Random(5)
     blocks = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(6)]
