@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quarry.config import Quality
 from quarry.functions import quality as q
 from quarry.functions.time import hours, seconds
+from quarry.sources.working import written
+
+#: Rows of one worker that a task of a rolling mean holds.
+BLOCK = 100_000
 
 
 def platform(items: DataFrame, as_of: Column) -> DataFrame:
@@ -59,9 +63,22 @@ def proxy_cost(log: DataFrame, per_gb: float = 3.0, budget: float = 100.0) -> Da
 
 
 def rolling_mean(timings: DataFrame, n: int = 100) -> DataFrame:
-    """Timings: worker, seq, value. Mean of the last n of the worker up to each row."""
-    w = Window.partitionBy("worker").orderBy("seq").rowsBetween(1 - n, 0)
-    return timings.select("worker", "seq", F.round(F.avg("value").over(w), 6).alias("mean"))
+    """Timings: worker, seq, value. Mean of the last n of the worker up to each row.
+
+    A worker's rows are numbered in order and cut into blocks; a block borrows the n - 1 rows before it, so one worker may hold any share
+    of all rows. Numbers come from ranges of (worker, seq): the place within a range, and the sizes of those before it.
+    """
+    size = max(BLOCK, n)
+    rows = written(timings.select("worker", "seq", "value").repartitionByRange("worker", "seq").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(F.col("worker").alias("w"), F.col("range").alias("r")).agg(F.count("*").alias("c"))
+    before = counts.select("w", "r", (F.sum("c").over(Window.partitionBy("w").orderBy("r")) - F.col("c")).alias("before"))
+    place = rows.withColumn("place", F.row_number().over(Window.partitionBy("worker", "range").orderBy("seq")) - 1)
+    numbered = place.join(before, F.col("worker").eqNullSafe(F.col("w")) & (F.col("range") == F.col("r"))).select("worker", "seq", "value", (F.col("before") + F.col("place")).alias("k"))
+    block = F.floor(F.col("k") / size)
+    lent = F.when(F.col("k") % size > size - n, F.array(block, block + 1)).otherwise(F.array(block))
+    each = numbered.select("worker", "seq", "value", "k", F.explode(lent).alias("block"))
+    mean = F.avg("value").over(Window.partitionBy("worker", "block").orderBy("k").rowsBetween(1 - n, 0))
+    return each.select("worker", "seq", F.round(mean, 6).alias("mean"), (block == F.col("block")).alias("own")).where("own").drop("own")
 
 
 def distribution(results: DataFrame) -> DataFrame:

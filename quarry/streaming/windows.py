@@ -28,9 +28,13 @@ def first_seen(stream: DataFrame, key: str = "content_hash", within: str = "24 h
 _KIND = "term string, ts timestamp, granted boolean"
 
 
+def _seconds(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[ns]").astype("int64") / 1e9
+
+
 def _grant(times: pd.Series, last: float, hours: float) -> tuple[list[bool], float]:
     out = []
-    for t in times.astype("int64") / 1e9 if times.dtype == "datetime64[ns]" else times.astype("datetime64[ns]").astype("int64") / 1e9:
+    for t in _seconds(times):
         ok = t - last >= hours * 3600
         last = t if ok else last
         out.append(bool(ok))
@@ -40,15 +44,23 @@ def _grant(times: pd.Series, last: float, hours: float) -> tuple[list[bool], flo
 def cooldown(stream: DataFrame, hours: float = 6.0, late: str = WATERMARK) -> DataFrame:
     """Of each term's detections (term, ts) those that lie `hours` after the last granted one. State per term: one time, dropped after a day.
 
-    A batch folds each term's own detections in order.
+    A batch folds each term's detections in order, with rows sorted within tasks: only the term at hand and its time are held. Null times come last.
     """
     if not stream.isStreaming:
 
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ts")
-            return pdf.assign(granted=_grant(pdf["ts"], float("-inf"), hours)[0])
-
-        return stream.select("term", "ts").groupBy("term").applyInPandas(fold, _KIND)
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            begun, term, last = False, None, float("-inf")
+            for pdf in batches:
+                granted = []
+                for t, at in zip(pdf["term"], _seconds(pdf["ts"]), strict=True):
+                    if not begun or t != term:
+                        begun, term, last = True, t, float("-inf")
+                    ok = at - last >= hours * 3600
+                    last = at if ok else last
+                    granted.append(bool(ok))
+                yield pdf.assign(granted=granted)
+
+        return stream.select("term", "ts").repartition("term").sortWithinPartitions("term", F.col("ts").asc_nulls_last()).mapInPandas(fold, _KIND)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

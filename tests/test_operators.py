@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dedupe, prefs, search, summary
+from quarry.operators import dedupe, prefs, search, stats, summary
 from quarry.plans import catalogue
 from quarry.sources import content
 from quarry.streaming import windows
@@ -105,6 +105,32 @@ def test_stream_is_batch(spark):
     assert batch == stream and any(x[2] for x in batch)
 
 
+def test_cooldown_folds_over_batches(spark):
+    """Terms that span Arrow batches, a null term, repeated rows and a null time."""
+    rows = [(t, f"2024-01-01 {h:02d}:00:00") for t in ("a", "b", None) for h in (0, 0, 5, 6, 7, 12)] + [("a", None)]
+    events = spark.createDataFrame(rows, "term string, ts string").selectExpr("term", "CAST(ts AS timestamp) AS ts")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [(r["term"], str(r["ts"])[11:13]) for r in windows.cooldown(events).where("granted").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert sorted(got, key=str) == sorted([(t, h) for t in ("a", "b", None) for h in ("00", "06", "12")], key=str)
+    assert windows.cooldown(events.limit(0)).count() == 0
+
+
+def test_rolling_mean_over_blocks(spark, monkeypatch):
+    """Workers cut into many blocks, one of them null, one of a single row; against plain slices."""
+    monkeypatch.setattr(stats, "BLOCK", 10)
+    values = {"a": [float(k * k % 37) for k in range(95)], None: [float(k % 5) for k in range(31)], "c": [2.0]}
+    rows = [(w, k, v) for w, held in values.items() for k, v in enumerate(held)]
+    timings = spark.createDataFrame(rows, "worker string, seq long, value double")
+    for n in (1, 4, 10, 25):
+        want = {(w, k, round(sum(held[max(0, k - n + 1) : k + 1]) / min(n, k + 1), 6)) for w, held in values.items() for k in range(len(held))}
+        assert {tuple(r) for r in stats.rolling_mean(timings, n).collect()} == want
+    assert stats.rolling_mean(timings.limit(0)).count() == 0
+
+
 def test_stream_over_batches(spark, tmp_path):
     """Four files in four batches: state is carried over, and an event behind the watermark of the batch before is dropped."""
     files = [[("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:10:00")], [("a", "2024-01-01 00:50:00"), ("a", "2024-01-01 03:00:00")], [("d", "2024-01-01 03:05:00")], [("a", "2024-01-01 00:20:00"), ("a", "2024-01-01 03:10:00"), ("c", "2024-01-01 08:00:00")]]
