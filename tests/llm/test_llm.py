@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
@@ -221,6 +222,46 @@ def test_language_model_sums_to_one(docs):
         assert 0.8 < p <= 1.01
 
 
+def test_language_model_by_brute_force(docs):
+    """Entropies by interpolated Kneser-Ney over dictionaries of strings."""
+    few = docs.where("doc_id < 60").select("doc_id", "text", "lang")
+    model = language.learn(few, 1000, 0)
+
+    def plain(text):
+        return re.sub(r"\x00+", " ", "".join(c if unicodedata.category(c)[0] in "LM" else "\0" for c in text.lower()))
+
+    held = [(r["lang"], plain(r["text"])) for r in few.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    seen = len({c for _, t in held for c in t})
+    times, totals, discount = {}, {}, {}
+    for lang in model.langs:
+        raw = {n: collections.Counter(t[i : i + n] for own, t in held if own == lang for i in range(len(t) - n + 1)) for n in range(1, 5)}
+        for n in range(1, 5):
+            wider = collections.Counter(g[1:] for g in raw.get(n + 1, ()))
+            counts = raw[n] if n == 4 else {g: wider.get(g, 1) for g in raw[n]}
+            once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+            times[lang, n], discount[lang, n] = counts, min(0.95, max(0.1, (once + 1) / (once + 2 * twice + 2)))
+            for g, c in counts.items():
+                total, kinds = totals.get((lang, n, g[:-1]), (0, 0))
+                totals[lang, n, g[:-1]] = total + c, kinds + 1
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / (seen + 1)
+        n, shorter = len(gram), p(lang, gram[1:])
+        total, kinds = totals.get((lang, n, gram[:-1]), (0, 0))
+        if not total:
+            return shorter
+        d = discount[lang, n]
+        return max(times[lang, n].get(gram, 0) - d, 0) / total + d * kinds / total * shorter
+
+    some = ["The quick brown fox, 12 times.", "Où est l'été?", "zzz ж qx", *[r["text"][:400] for r in docs.where("doc_id BETWEEN 60 AND 69").collect() if r["text"]]]
+    got = language.entropies(model, some)
+    for text, row in zip(some, got):
+        t = plain(text)
+        for k, lang in enumerate(model.langs):
+            assert row[k] == pytest.approx(-sum(np.log(p(lang, t[max(0, i - 3) : i + 1])) for i in range(len(t))) / len(t))
+
+
 def test_language_edges(edges, empty, docs):
     model = language.learn(docs)
     rows = collections.defaultdict(list)
@@ -297,6 +338,20 @@ def test_fingerprints(spark, docs):
     assert all(len(v) == 1 for v in by_text.values()) and len({*map(min, by_text.values())}) == len(by_text)
 
 
+def test_likeness_by_brute_force(spark, docs):
+    """Sketches against the Jaccard similarity of the sets of windows; 64 bins have a deviation of about 0.06."""
+    held = sorted(texts(docs).items())
+    windows = lambda t: {t[i : i + 16] for i in range(max(1, len(t) - 15))} if t else set()
+    rows, far = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}, []
+    for i, (k, t) in enumerate(held):
+        other = held[i - 1][1]
+        for name, u in (("near_next", other), ("near_edited", t[: len(t) - len(t) // 2] + other[: len(t) // 2])):
+            a, b = windows(t), windows(u)
+            far.append(rows[k][name] - (len(a & b) / len(a | b) if a | b else 1.0))
+            assert t != u or rows[k][name] == 1.0
+    assert np.abs(far).max() < 0.35 and np.abs(far).mean() < 0.05 and abs(np.mean(far)) < 0.01
+
+
 def test_fingerprint_edges(edges, empty):
     rows = fingerprint.fingerprints(edges).collect()
     assert len(rows) == len(EDGES) and fingerprint.fingerprints(empty).count() == 0
@@ -505,7 +560,7 @@ def test_bpe(spark, docs, edges, empty, tool):
     for df in (docs, edges):
         rows = {r["doc_id"]: r for r in bpe.digests(df, queries.tokenizer_path()).collect()}
         for k, t in texts(df).items():
-            ids = tool.library.encode(t, add_special_tokens=False).ids if len(t) < 50_000 else tool.encode([t])[0].tolist()
+            ids = tool.library.encode(t, add_special_tokens=False).ids
             said = tool.library.decode(ids, skip_special_tokens=False)
             assert (rows[k]["n_tokens"], rows[k]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
             assert rows[k]["decoded_sha256"] == hashlib.sha256(said.encode()).hexdigest()
@@ -559,6 +614,33 @@ def test_toxicity_edges(spark, edges, empty):
     assert kept.columns == edges.columns and kept.count() == len(EDGES)
 
 
+def test_texts_beyond_every_chunk(spark, tool):
+    """A text longer than all that any operator takes at once, a copy of it with a word more, and small ones beside them."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4000)]
+    long = " ".join(rng.choice(words) for _ in range(620_000))
+    assert len(long) > max(minhash.BYTES_AT_ONCE, language.CHARS_AT_ONCE, fingerprint.POINTS_AT_ONCE, media.BYTES_AT_ONCE, repeats.BYTES_AT_ONCE, toxicity.BYTES_AT_ONCE)
+    rows = [(1, long, "en"), (2, "a short text of a few words", "en"), (3, long + " more", "en"), (4, None, None), (6, "encore un texte assez court", "fr")]
+    df, held = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1), {r[0]: r[1] or "" for r in rows}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 6: 6}
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language.identify(df, language.learn(df)).collect()} == {1: False, 2: False, 3: False, 4: True, 6: False}
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.removed(df).collect()} == {1: 0, 2: 0, 3: len(long), 4: 0, 6: 0}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 6: 0}
+    for r in fingerprint.fingerprints(df).collect():
+        t, u = held[r["doc_id"]], held[{6: 4, 4: 3, 3: 2, 2: 1, 1: 6}[r["doc_id"]]]
+        assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    for r in media.stored_features(spark, df).collect():
+        t = held[r["doc_id"]].encode()
+        assert r["payload_sha256"] == hashlib.sha256(t + bytes(-len(t) % 64 or (0 if t else 64))).hexdigest()
+    for r in bpe.digests(df, queries.tokenizer_path()).collect():
+        ids = tool.library.encode(held[r["doc_id"]], add_special_tokens=False).ids
+        said = tool.library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(said.encode()).hexdigest())
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (6, 1)], "doc_id long, toxic int")
+    assert {r["doc_id"] for r in toxicity.scored(df, labels).collect()} == held.keys()
+
+
 # Pipeline
 
 
