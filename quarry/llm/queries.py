@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, lines, media, minhash, mixing, repeats, sharding, toxicity
+from . import bpe, centroids, fingerprint, language, lines, media, minhash, mixing, repair, repeats, sharding, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,24 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.removed(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+
+
+ORACLES["op11_urls"] = urlfilter.ORACLE
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("candidates")
+
+
+ORACLES["op12_centroids"] = centroids.ORACLE
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))).drop("repaired")
