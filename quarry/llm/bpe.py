@@ -34,6 +34,15 @@ _KIND = np.array([1 if b >= 128 or chr(b).isalpha() else 0 if chr(b).isspace() e
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-þ]{1,64})([.,;:!?]*)")
 
 
+def _same(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> bool:
+    """Whether each span of data equals its span of other, byte for byte."""
+    sizes = end - start
+    if not np.array_equal(sizes, to - at):
+        return False
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.array_equal(data[np.repeat(start, sizes) + within], other[np.repeat(at, sizes) + within])
+
+
 class Encoder:
     """ids of texts as the tokenizers library gives them for `path`, without special tokens added."""
 
@@ -53,6 +62,7 @@ class Encoder:
         self.seen = np.zeros(0, np.uint64)  # sorted hashes of pretokens; seen_at: the place of each in `known`
         self.seen_at = np.zeros(0, np.int64)
         self.known, self.known_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.said, self.said_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._merge_table(spec)
@@ -205,7 +215,7 @@ class Encoder:
             width *= 2
 
     def _simple(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that _SIMPLE matches: all pretokens at once, each distinct one merged once and remembered by hash."""
+        """Ids of texts that _SIMPLE matches: all pretokens at once, each distinct one merged once and remembered with its bytes, by hash."""
         rows = [t.lower().encode() for t in texts]
         data = np.frombuffer(b"".join(rows), np.uint8)
         at = np.cumsum([0, *map(len, rows)])
@@ -220,13 +230,21 @@ class Encoder:
         if len(self.seen) > KNOWN:
             self.seen, self.seen_at = self.seen[:0], self.seen_at[:0]
             self.known, self.known_at = self.known[:0], self.known_at[:1]
+            self.said, self.said_at = self.said[:0], self.said_at[:1]
         i = np.searchsorted(self.seen, hashes)
         fresh = np.ones(len(hashes), bool)
         there = i < len(self.seen)
         fresh[there] = self.seen[i[there]] != hashes[there]
+        # A hash only finds a pretoken; its bytes must be those of the first one with the hash, now and in earlier calls.
+        held, old = self.seen_at[i[~fresh]], first[~fresh]
+        if not (_same(data, start, end, data, start[first[which]], end[first[which]]) and _same(data, start[old], end[old], self.said, self.said_at[held], self.said_at[held + 1])):
+            return [ids for ids, _ in self.pieces(texts)]
         if fresh.any():
             whole = data.tobytes()
-            ids, ends = self._merged([whole[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
+            said = [whole[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)]
+            ids, ends = self._merged(said)
+            self.said_at = np.concatenate([self.said_at, len(self.said) + np.cumsum([len(w) for w in said])])
+            self.said = np.concatenate([self.said, np.frombuffer(b"".join(said), np.uint8)])
             place = len(self.seen) + np.arange(int(fresh.sum()))
             self.known_at = np.concatenate([self.known_at, len(self.known) + ends[1:]])
             self.known = np.concatenate([self.known, ids])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -120,12 +121,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+#: Bytes from which a span has a digest of its own: modulo 2**64 some long strings have equal polynomials for every base.
+_LONG = 48
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64; of a long span its digest."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, n)[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * powers(_UNBASE, n)[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts >= _LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

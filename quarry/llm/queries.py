@@ -70,10 +70,10 @@ ORACLES["op4_lines"] = lines.ORACLE
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, version = sharding.sharded(table(spark, sf_dir, "documents"))
-    return store.read(version)
+    return sharding.told(store, version)
 
 
-ORACLES["op6_sharding"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+ORACLES["op6_sharding"] = sharding.ORACLE
 
 
 @query

@@ -1,9 +1,10 @@
 """Sharding by size-tiered compaction, in DataFrame operations only.
 
 A store is a folder of immutable Parquet shards, of manifests (tables of shards) and of versions. append() writes arrivals as small
-shards; compact() merges runs of shards of similar size into files of the target size. Each writes its manifest aside
-and commits by creating the file of the next version, which names the manifest and which the file system creates for one writer
-only: readers see a whole version or none, and the writer that comes second gets a Conflict and starts again from the version of the first.
+shards; compact() merges runs of shards of similar size into files of the target size. Each writes its manifest aside, and a small file
+that names the manifest, and commits by giving that finished file the name of the next version in one step that fails if the name is taken (a hard link, or
+HDFS's rename): readers see a whole version or none, and the writer that comes second gets a Conflict and starts again from the version of the first.
+A writer that dies leaves files that no version names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ TARGET, FANOUT, RUN = 128 << 20, 4, 4
 MANIFEST = "path string, rows long, bytes long, tier int"
 #: Times that a writer starts again after a conflict; seconds for which vacuum() leaves files and versions alone.
 RETRIES, GRACE = 20, 24 * 3600
+#: Besides local files, schemes whose rename is atomic and fails if the name is taken.
+ATOMIC = ("hdfs", "viewfs", "webhdfs")
 
 
 class Conflict(Exception):
@@ -37,8 +40,8 @@ class ShardStore:
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _versions(self) -> dict[int, str]:
-        """The committed versions and their manifests. A version file that its writer hasn't filled yet doesn't count."""
-        return {k: path for k, (path, _) in self._version_files().items() if path}
+        """The committed versions and their manifests."""
+        return {k: path for k, (path, _) in self._version_files().items()}
 
     def _version_files(self) -> dict[int, tuple[str, float]]:
         folder = self._hadoop(f"{self.path}/versions")
@@ -98,14 +101,33 @@ class ShardStore:
         return after + 1
 
     def _create(self, path: str, content: str) -> None:
+        """Publish a file with its content, or raise Conflict if the path is taken: written aside, then named in one step."""
+        aside = self._hadoop(f"{self.path}/aside/{uuid.uuid4().hex}")
+        file = self._fs.create(aside, False)
+        file.write(bytearray(content.encode()))
+        file.close()
+        try:
+            self._publish(aside, self._hadoop(path))
+        finally:
+            self._fs.delete(aside, False)
+
+    def _publish(self, aside, path) -> None:
+        fs, jvm = self._fs, self.spark._jvm
+        if not fs.exists(path.getParent()):
+            fs.mkdirs(path.getParent())
+        scheme = fs.resolvePath(aside).toUri().getScheme()
         try:
-            file = self._fs.create(self._hadoop(path), False)
+            if scheme == "file":
+                local = lambda p: jvm.java.io.File(fs.resolvePath(p.getParent()).toUri().getPath(), p.getName()).toPath()
+                jvm.java.nio.file.Files.createLink(local(path), local(aside))
+            elif scheme not in ATOMIC:
+                raise ValueError(f"{scheme}: has no rename that fails if the name is taken, so versions can't be committed there")
+            elif not fs.rename(aside, path):
+                raise Conflict(path.toString())
         except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
-                raise Conflict(path) from None
+            if "AlreadyExists" in str(e.java_exception):
+                raise Conflict(path.toString()) from None
             raise
-        file.write(bytearray(content.encode()))
-        file.close()
 
     def _retried(self, change) -> int:
         """change() until it meets no conflict."""
@@ -171,12 +193,12 @@ class ShardStore:
         """Delete what neither the latest version nor one committed in the last `grace` seconds needs; how many shards went.
 
         Files younger than that stay too: a writer may not have committed them yet, and a reader of an older version may still read them.
-        Appends must take less time than that. A version file whose writer died before filling it goes as well.
+        Appends must take less time than that. What a dead writer left aside goes as well.
         """
         old = time.time() - grace
         files = self._version_files()
-        now = max((k for k, (name, _) in files.items() if name), default=0)
-        needed = {k for k, (name, at) in files.items() if name and (k == now or at >= old)}
+        now = max(files, default=0)
+        needed = {k for k, (_, at) in files.items() if k == now or at >= old}
         keep = {r["path"].rsplit("/", 1)[1] for k in needed for r in self.manifest(k).select("path").collect()}
         gone = 0
         shards = self._hadoop(f"{self.path}/shards")
@@ -187,15 +209,18 @@ class ShardStore:
             if name.endswith(".parquet") and name not in keep and file.getModificationTime() / 1000 < old:
                 gone += self._fs.delete(file.getPath(), False)
         for k, (name, at) in files.items():
-            if k not in needed and at < old and (name or k > now):
+            if k not in needed and at < old:
                 self._fs.delete(self._hadoop(f"{self.path}/versions/v{k:08d}"), False)
-                if name:
-                    self._fs.delete(self._hadoop(f"{self.path}/manifests/{name}"), True)
+                self._fs.delete(self._hadoop(f"{self.path}/manifests/{name}"), True)
+        aside = self._hadoop(f"{self.path}/aside")
+        for status in self._fs.listStatus(aside) if self._fs.exists(aside) else ():
+            if status.getModificationTime() / 1000 < old:
+                self._fs.delete(status.getPath(), False)
         return gone
 
 
 def sharded(docs: DataFrame, arrivals: int = 4, target: int = TARGET) -> tuple[ShardStore, int]:
-    """A new store in the shared folder with docs appended as `arrivals` batches (by a hash of the row's id), in one pass, and compacted.
+    """A new store in the shared folder with docs appended as `arrivals` batches (by the row's id modulo that; a null id counts as 0), in one pass, and compacted.
 
     Every row is kept as it is: nulls, repeated rows and all columns. An empty docs gives a store without rows that has its columns.
     """
@@ -204,5 +229,16 @@ def sharded(docs: DataFrame, arrivals: int = 4, target: int = TARGET) -> tuple[S
     part = "__arrival"
     while part in docs.columns:
         part += "_"
-    store.append_parts(docs.withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), part)
+    store.append_parts(docs.withColumn(part, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(arrivals))), part)
     return store, store.compacted()
+
+
+def told(store: ShardStore, version: int, arrivals: int = 4) -> DataFrame:
+    """The rows of a version, each with version_rows: how many rows the versions of the first arrivals and this one have, by their manifests."""
+    counts = [store.manifest(k).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] for k in (*range(1, min(arrivals, version) + 1), version)]
+    return store.read(version).withColumn("version_rows", F.lit(",".join(map(str, counts))))
+
+
+#: DuckDB SQL for op6: arrival k holds the ids with remainder k - 1, and every version all rows up to its arrival.
+ORACLE = """SELECT doc_id, text, lang, source, n_chars, concat_ws(',', n1, n2, n3, n4, n4) AS version_rows FROM documents,
+(SELECT count(*) FILTER (WHERE coalesce(doc_id, 0) % 4 < 1) AS n1, count(*) FILTER (WHERE coalesce(doc_id, 0) % 4 < 2) AS n2, count(*) FILTER (WHERE coalesce(doc_id, 0) % 4 < 3) AS n3, count(*) AS n4 FROM documents)"""

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import threading
 import unicodedata
 import zlib
 from concurrent.futures import ThreadPoolExecutor
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, fingerprint, language, lines, media, minhash, mixing, queries, repeats, sharding, toxicity
+from quarry.llm import bpe, common, fingerprint, language, lines, media, minhash, mixing, queries, repeats, sharding, toxicity
 from quarry.llm.common import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -392,10 +393,43 @@ def test_shard_writers_race(spark, docs, tmp_path):
         made = list(pool.map(lambda k: (one, two)[k % 2].append(docs.where(F.col("doc_id") == 80 + k)), range(4)))
     assert sorted(made) == [2, 3, 4, 5] and one._added(pending) == 6
     assert two.read().count() == docs.where("doc_id < 84").count() and two.read(1).count() == docs.where("doc_id < 50").count()
-    (tmp_path / "r/versions/v00000007").touch()  # a writer that died
-    assert one.version() == 6
-    one.vacuum(-1)
+    (tmp_path / "r/aside/dead").write_text("a writer that died")
     assert one.append(docs.where("doc_id = 90")) == 7
+    one.vacuum()
+    assert (tmp_path / "r/aside/dead").exists()
+    one.vacuum(-1)
+    assert not (tmp_path / "r/aside/dead").exists() and one.read().count() == docs.where("doc_id < 84 OR doc_id = 90").count()
+
+
+def test_one_of_four_writers_commits_a_version(spark, tmp_path):
+    """Four writers publish the same version at once, many times: one wins, the others meet a Conflict, and no reader sees an unfinished file."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/c")
+    barrier = threading.Barrier(4)
+
+    def publish(writer, version):
+        barrier.wait()
+        try:
+            store._create(f"{store.path}/versions/v{version:08d}", f"m{writer}")
+            return writer
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        for version in range(1, 61):
+            won = [w for w in pool.map(lambda w, v=version: publish(w, v), range(4)) if w is not None]
+            assert len(won) == 1 and store._versions()[version] == f"m{won[0]}"
+    assert not list((tmp_path / "c/aside").glob("[!.]*"))
+
+
+def test_a_writer_that_dies_before_it_commits_blocks_none(spark, docs, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/d", target=1 << 20)
+    store.append(docs.where("doc_id < 20"))
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            store.append(docs.where("doc_id = 30"))
+    assert store.version() == 1 and store.append(docs.where("doc_id = 31")) == 2
+    assert store.read().count() == docs.where("doc_id < 20 OR doc_id = 31").count()
 
 
 # 7
@@ -556,6 +590,26 @@ def tool():
     return bpe.Encoder(queries.tokenizer_path())
 
 
+def test_bpe_of_words_with_equal_polynomial_hashes(tool):
+    """Thue-Morse words and their complements have equal hashes modulo 2**64 for every base; so the bytes decide."""
+    for n in (10, 11):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        held = bpe.Encoder(queries.tokenizer_path())
+        for texts in ([f"{word} {other}"], [word], [other], [f"x {other}", f"y {word}"]):
+            assert [x.tolist() for x in held.encode(texts)] == [held.library.encode(t, add_special_tokens=False).ids for t in texts]
+    data = np.frombuffer((word + other).encode(), np.uint8)
+    assert len(set(common.span_hashes(data, np.array([0, len(word)]), np.array([len(word), 2 * len(word)])).tolist())) == 2
+
+
+def test_bpe_compares_bytes_when_hashes_agree(tool, monkeypatch):
+    """With a hash of lengths alone every pretoken of a length meets the others."""
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, a, b: (b - a).astype(np.uint64))
+    held = bpe.Encoder(queries.tokenizer_path())
+    for texts in (["the cat"], ["two"], ["the sad dog sat", "a b c"]):
+        assert [x.tolist() for x in held.encode(texts)] == [held.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe(spark, docs, edges, empty, tool):
     for df in (docs, edges):
         rows = {r["doc_id"]: r for r in bpe.digests(df, queries.tokenizer_path()).collect()}
