@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.config import STOPWORDS
 from quarry.functions import text as t
+from quarry.operators import index
 
 LIMIT, MOST = 20, 100
 SORTS = ("relevance", "date", "quality", "popularity")
@@ -143,91 +142,43 @@ FEEDS = {
 
 
 def suggest(items: DataFrame, q: str, limit: int = 5) -> DataFrame:
-    """Distinct keywords that contain q; none for a q of one character."""
+    """S11 without an index: distinct keywords that contain q; none for a q of one character."""
     found = items.select(F.explode("keywords").alias("keyword")).distinct()
     ok = F.lower("keyword").contains(q.strip().lower()) if len(q.strip()) >= 2 else F.lit(False)
     return found.where(ok).orderBy("keyword").limit(limit)
 
 
-# BM25 over a stored index
+def like(spark: SparkSession, path: str, query: SearchQuery) -> DataFrame:
+    """S1, P2-P8 over a stored index: a page of search() that reads only the items that hold the query's trigrams; all items if it has none."""
+    ids = index.containing(spark, path, query.checked().q, query.wildcards)
+    return search(index.items_of(spark, path, ids), index.stored(spark, path, "sources"), query)
 
-FIELDS = {"title": 3.0, "text": 1.0, "keywords": 2.0}
-#: Parts of a stored index; a term lies in one of them, so a query reads as many parts as it has terms.
-BUCKETS = 64
 
+def like_count(spark: SparkSession, path: str, query: SearchQuery) -> DataFrame:
+    """S5 over a stored index."""
+    ids = index.containing(spark, path, query.checked().q, query.wildcards)
+    return count(index.items_of(spark, path, ids), index.stored(spark, path, "sources"), query)
 
-def _field(items: DataFrame, name: str) -> Column:
-    raw = F.array_join("keywords", " ") if name == "keywords" else F.col(name)
-    return t.words(F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}_\s]", " "))
 
-
-def postings(items: DataFrame) -> DataFrame:
-    """SK8: the inverted index: field, term, id, tf and the field's length dl."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _field(items, f).alias("terms")) for f in FIELDS])).alias("x")
-    rows = items.select("id", each).select("id", "x.field", F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
-    return rows.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def write_index(items: DataFrame, path: str) -> None:
-    """SK8: store what search reads: the postings by bucket of their term and sorted by it, the vocabulary with document counts, field lengths, and the items without their text."""
-    rows = postings(items).withColumn("bucket", _bucket(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stored = items.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    lengths = items.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(_field(items, f)).alias("dl")) for f in FIELDS])).alias("x")).groupBy("x.field").agg(F.avg("x.dl").alias("avgdl"), F.count("*").alias("n"))
-    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
-    items.drop("text").write.mode("overwrite").parquet(f"{path}/items")
-
-
-def analyzed(q: str, stopwords: tuple[str, ...] = STOPWORDS) -> list[str]:
-    """The distinct terms of a query: lower case, marks to blanks, without stop words. Not stemmed."""
-    return sorted({w for w in re.sub(r"[^\w\s]", " ", q.lower()).split() if w not in stopwords})
-
-
-def fuzziness(term: str) -> int:
-    """0 edits for up to two characters, 1 for up to five, else 2."""
-    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
-
-
-def ranked(spark: SparkSession, path: str, q: str, fuzzy: bool = False, stopwords: tuple[str, ...] = STOPWORDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Id, score of the items of a stored index that hold a term of q: BM25 per field times its weight, the best field counts.
-
-    With fuzzy, a term stands for all of the vocabulary within its edit bound. Corpus statistics are those of the whole index.
-    """
-    terms = analyzed(q, stopwords)
-    hits = spark.read.parquet(f"{path}/postings")
-    if fuzzy:
-        words = spark.read.parquet(f"{path}/vocabulary").select("term").distinct()
-        close = F.lit(False)
-        for w in terms:
-            n = fuzziness(w)
-            close = close | (F.col("term") == w if n == 0 else (F.abs(F.length("term") - len(w)) <= n) & (F.levenshtein("term", F.lit(w), n) >= 0))
-        hits = hits.join(words.where(close).withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"])
+def full_text(spark: SparkSession, path: str, query: SearchQuery, fuzzy: bool = False) -> DataFrame:
+    """S9, S12 over a stored index: a page by full text under the filters, order and paging of search(). A first page by relevance skips blocks that can't reach it."""
+    query = query.checked()
+    items, sources = index.stored(spark, path, "items"), index.stored(spark, path, "sources")
+    if query.sort == "relevance" and not query.cursor and not fuzzy:
+        scores, _ = index.best(spark, path, query.q, query.limit, matching(items, sources, replace(query, q="")) if index.large(spark, path) else None)
     else:
-        parts = spark.createDataFrame([(w,) for w in terms], "term string").select(_bucket(F.col("term"))).distinct()
-        hits = hits.where(F.col("bucket").isin([r[0] for r in parts.collect()]) & F.col("term").isin(terms))
-    statistics = spark.read.parquet(f"{path}/vocabulary").join(F.broadcast(spark.read.parquet(f"{path}/lengths")), "field")  # lengths: a row a field
-    if not fuzzy:
-        statistics = statistics.where(F.col("term").isin(terms))
-    weight = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])[F.col("field")]
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(statistics, ["field", "term"]).groupBy("id", "field").agg((F.sum(part) * F.first(weight)).alias("s"))
-    return scored.groupBy("id").agg(F.round(F.max("s"), 6).alias("score"))
+        scores = index.ranked(spark, path, query.q, fuzzy)
+    return search(items, sources, query, scores)
 
 
 def bm25(spark: SparkSession, path: str, q: str, limit: int = LIMIT) -> DataFrame:
     """The best items of a stored index by score alone, whatever their state."""
-    return ranked(spark, path, q, stopwords=()).orderBy(F.col("score").desc(), "id").limit(limit)
+    return index.best(spark, path, q, limit, stopwords=())[0].orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def fuzzy_terms(items: DataFrame, q: str) -> DataFrame:
-    """Vocabulary within the edit bound of q: 0 to two characters, 1 to five, else 2; with document counts."""
-    most = fuzziness(q)
-    vocabulary = items.select("id", F.explode(F.array_distinct(_field(items, "text"))).alias("term"))
+    """Words of the texts within the edit bound of q: 0 to two characters, 1 to five, else 2; with document counts."""
+    most = index.fuzziness(q)
+    vocabulary = items.select("id", F.explode(F.array_distinct(index.field_words(items, "text"))).alias("term"))
     near = vocabulary.where((F.abs(F.length("term") - len(q)) <= most) & (F.levenshtein("term", F.lit(q), most) >= 0))
     return near.groupBy("term").agg(F.count("*").alias("documents")).withColumn("distance", F.levenshtein("term", F.lit(q)))

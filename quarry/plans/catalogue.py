@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quarry.config import AS_OF, STOPWORDS, Lexicon, Quality, Trending
 from quarry.functions import extract, quality as q, text as t, urls
-from quarry.operators import dedupe, prefs, rows, search, stats, summary, trending
+from quarry.operators import dedupe, index, prefs, rows, search, stats, summary, trending
 from quarry.sources import content
 from quarry.sources.content import KINDS, items, sources, table
-from quarry.sources.working import folder, stored_once
+from quarry.sources.working import folder, removed, stored_once
 from quarry.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,16 @@ def now():
 
 def _index(spark: SparkSession, d: str) -> str:
     """The stored index and items of the collection, made once for the files it is read from."""
-    return stored_once(table(spark, d, "documents"), "index", lambda path: search.write_index(items(spark, d), path))
+    return stored_once(table(spark, d, "documents"), "index", lambda path: index.write(items(spark, d), sources(spark, d), path))
 
 
 def stored_items(spark: SparkSession, d: str) -> DataFrame:
     """The items without their text."""
-    return spark.read.parquet(f"{_index(spark, d)}/items")
+    return index.stored(spark, _index(spark, d), "items")
+
+
+def stored_sources(spark: SparkSession, d: str) -> DataFrame:
+    return index.stored(spark, _index(spark, d), "sources")
 
 
 def query(sql: str | None = None):
@@ -98,51 +102,60 @@ _LIKE_SQL = f"{_TEXT} AND quality_score >= 0.3::DOUBLE AND published_at >= TIMES
 
 @query(_search(_LIKE_SQL, _SCORE, _BY_SCORE, 20))
 def search_like(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(stored_items(spark, d), sources(spark, d), _LIKE)
+    return search.like(spark, _index(spark, d), _LIKE)
 
 
 @query(_search("len(list_filter(keywords, lambda k: contains(k, 'ung') OR contains(k, 'eau'))) > 0 AND domain IN ('src1.example.com', 'src2.example.com', 'src5.example.com') AND content_type IN ('recap', 'analysis', 'general') AND quality_score >= 0.0::DOUBLE", "quality_score", "quality_score DESC, published_at DESC, id", 50))
 def search_filters(spark, d):
-    return search.search(stored_items(spark, d), sources(spark, d), search.SearchQuery(sports=("ung", "eau"), domains=("src1.example.com", "src2.example.com", "src5.example.com"), content_types=("recap", "analysis", "general"), quality=0.0, sort="quality", limit=50))
+    return search.search(stored_items(spark, d), stored_sources(spark, d), search.SearchQuery(sports=("ung", "eau"), domains=("src1.example.com", "src2.example.com", "src5.example.com"), content_types=("recap", "analysis", "general"), quality=0.0, sort="quality", limit=50))
 
 
 @query(_search("list_has_any(keywords, ['ment', 'ci'])", "quality_score", "published_at DESC, quality_score DESC, id", 30))
 def search_member(spark, d):
-    return search.search(stored_items(spark, d), sources(spark, d), search.SearchQuery(sports=("ment", "ci"), member=True, sort="date", limit=30))
+    return search.search(stored_items(spark, d), stored_sources(spark, d), search.SearchQuery(sports=("ment", "ci"), member=True, sort="date", limit=30))
 
 
 @query(f"{BASE} SELECT count(*) AS total FROM items i JOIN sources USING (source) WHERE {VISIBLE} AND {_LIKE_SQL}")
 def search_count(spark, d):
-    return search.count(stored_items(spark, d), sources(spark, d), _LIKE)
+    return search.like_count(spark, _index(spark, d), _LIKE)
 
 
 @query(f"""{BASE}, found AS (SELECT i.*, domain, {_SCORE} AS score FROM items i JOIN sources USING (source) WHERE {VISIBLE} AND {_LIKE_SQL})
 SELECT id, title, summary, domain, published_at, quality_score, content_type, keywords, word_count, language, score, CAST(row_number() OVER (ORDER BY {_BY_SCORE}) - 20 AS INTEGER) AS rank
 FROM found ORDER BY {_BY_SCORE} LIMIT 20 OFFSET 20""")
 def search_page2(spark, d):
-    own, by = stored_items(spark, d), sources(spark, d)
-    page = search.search(own, by, _LIKE)
+    path = _index(spark, d)
+    page = search.like(spark, path, _LIKE)
     behind = search.cursor(page, _LIKE)
-    return search.search(own, by, replace(_LIKE, cursor=behind)) if behind else page.limit(0)  # no second page
+    return search.like(spark, path, replace(_LIKE, cursor=behind)) if behind else page.limit(0)  # no second page
 
 
 _TERMS = ["the", "erin", "onth", "ment"]
+_STEMS = [index.stem(w) for w in _TERMS]
 _FIELDS = {"title": "title", "text": "text", "keywords": "array_to_string(keywords, ' ')"}
 
 
+def _stem(x: str) -> str:
+    """The rules of the stemmer as nested CASEs, a step around the other."""
+    for rules in index.STEM_RULES:
+        x = f"list_transform([{x}], lambda w: CASE " + " ".join(f"WHEN regexp_matches(w, '{p}') THEN regexp_replace(w, '{p}', '{r}')" for _, p, r in rules) + " ELSE w END)[1]"
+    return x
+
+
 def _bm25(words: str) -> str:
-    """CTEs up to scores (id, score); words: SQL for the rows `term` that are looked for, from vocabulary."""
+    """CTEs up to scores (id, score); words: SQL for the rows `term` that are looked for, from vocabulary. Stems are made once for each distinct word."""
     return f"""fields AS (
-  {' UNION ALL '.join(f"SELECT id, '{f}' AS field, {search.FIELDS[f]}::DOUBLE AS w, " + _words(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')") + " AS terms FROM items" for f, x in _FIELDS.items())}),
+  {' UNION ALL '.join(f"SELECT id, '{f}' AS field, {index.FIELDS[f]}::DOUBLE AS w, " + _words(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')") + " AS terms FROM items" for f, x in _FIELDS.items())}),
 lengths AS (SELECT field, avg(len(terms)) AS avgdl, count(*) AS n FROM fields GROUP BY 1),
-vocabulary AS (SELECT DISTINCT unnest(terms) AS term FROM fields),
-hits AS (SELECT id, field, w, dl, term, count(*) AS tf FROM (SELECT id, field, w, len(terms) AS dl, unnest(terms) AS term FROM fields) WHERE term IN (SELECT term FROM ({words})) GROUP BY ALL),
+stems AS (SELECT word, {_stem('word')} AS term FROM (SELECT DISTINCT unnest(terms) AS word FROM fields)),
+vocabulary AS (SELECT DISTINCT term FROM stems),
+hits AS (SELECT id, field, w, dl, term, count(*) AS tf FROM (SELECT id, field, w, len(terms) AS dl, unnest(terms) AS word FROM fields) JOIN stems USING (word) WHERE term IN (SELECT term FROM ({words})) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM hits GROUP BY ALL),
 parts AS (SELECT id, field, sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * any_value(w) AS s FROM hits JOIN df USING (field, term) JOIN lengths USING (field) GROUP BY ALL),
 scores AS (SELECT id, round(max(s), 6) AS score FROM parts GROUP BY 1)"""
 
 
-@query(f"WITH {ITEMS}, {_bm25(f'SELECT unnest({_list(_TERMS)}) AS term')} SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {ITEMS}, {_bm25(f'SELECT unnest({_list(_STEMS)}) AS term')} SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 20")
 def search_bm25(spark, d):
     return search.bm25(spark, _index(spark, d), " ".join(_TERMS))
 
@@ -157,28 +170,54 @@ SELECT id, title, summary, domain, published_at, quality_score, content_type, ke
 
 
 _RANKED_WORDS, _RANKED_WHERE = "SELECT unnest(['erin', 'onth']) AS term", "quality_score >= 0.3::DOUBLE AND content_type IN ('recap', 'analysis', 'general') AND published_at >= TIMESTAMP '2024-01-05 00:00:00'"
-_NEAR = "SELECT term FROM vocabulary WHERE levenshtein(term, 'erintion') <= 2 OR levenshtein(term, 'onths') <= 1"
+_NEAR = "SELECT term FROM vocabulary WHERE " + " OR ".join(f"levenshtein(term, '{w}') <= {index.fuzziness(w)}" for w in index.analyzed(_FUZZY.q))
+_STEMMED = search.SearchQuery(q="ertions anding inges", since="2024-01-03 00:00:00", limit=30)
 
 
 @query(_ranked(_RANKED_WORDS, _RANKED_WHERE, _BY_SCORE, 15))
 def search_ranked(spark, d):
     """Full text by a stored index, without stop words, under the filters of ordinary search."""
-    path = _index(spark, d)
-    return search.search(stored_items(spark, d), sources(spark, d), _RANKED, search.ranked(spark, path, _RANKED.q))
+    return search.full_text(spark, _index(spark, d), _RANKED)
 
 
 @query(_ranked(_RANKED_WORDS, _RANKED_WHERE, _BY_SCORE, 15, 15))
 def search_ranked_page2(spark, d):
-    own, by, scores = stored_items(spark, d), sources(spark, d), search.ranked(spark, _index(spark, d), _RANKED.q)
-    page = search.search(own, by, _RANKED, scores)
+    path = _index(spark, d)
+    page = search.full_text(spark, path, _RANKED)
     behind = search.cursor(page, _RANKED)
-    return search.search(own, by, replace(_RANKED, cursor=behind), scores) if behind else page.limit(0)  # no second page
+    return search.full_text(spark, path, replace(_RANKED, cursor=behind)) if behind else page.limit(0)  # no second page
+
+
+@query(_ranked(f"SELECT unnest({_list(index.analyzed(_STEMMED.q))}) AS term", "published_at >= TIMESTAMP '2024-01-03 00:00:00'", _BY_SCORE, 30))
+def search_stemmed(spark, d):
+    """Inflected words of the query find other inflections of theirs."""
+    return search.full_text(spark, _index(spark, d), _STEMMED)
+
+
+def _grams(x: str, n: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n})))"
+
+
+@query(f"""WITH {ITEMS}, words AS (SELECT DISTINCT id, unnest({_words("regexp_replace(lower(title || ' ' || text || ' ' || array_to_string(keywords, ' ')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')")}) AS word FROM items),
+stems AS (SELECT word, {_stem('word')} AS term FROM (SELECT DISTINCT word FROM words)),
+found AS (SELECT DISTINCT id, unnest({_grams('x', '3')}) AS gram FROM (SELECT id, lower(unnest([title, summary, *keywords])) AS x FROM items)),
+known AS (SELECT DISTINCT unnest(keywords) AS k FROM items)
+SELECT 'postings' AS part, (SELECT count(*) FROM (SELECT DISTINCT id, term FROM words JOIN stems USING (word))) AS n UNION ALL SELECT 'terms', (SELECT count(DISTINCT term) FROM stems)
+UNION ALL SELECT 'term_grams', (SELECT sum(len({_grams("'^^' || term || '$$'", '3')})) FROM (SELECT DISTINCT term FROM stems)) UNION ALL SELECT 'keyword_grams', (SELECT sum(len({_grams('k', '2')}) + len({_grams('k', '3')})) FROM known)
+UNION ALL SELECT 'grams', (SELECT count(*) FROM found) UNION ALL SELECT 'items', (SELECT count(*) FROM items)""".replace("[title, summary, *keywords]", "list_concat([title, summary], keywords)"))
+def search_index(spark, d):
+    """SK8: the index is built anew; rows of its tables."""
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write(items(spark, d), sources(spark, d), path)
+    rows = [(k, index.stored(spark, path, k).count()) for k in ("postings", "terms", "term_grams", "keyword_grams", "grams", "items")]
+    removed(spark, path)
+    return spark.createDataFrame(rows, "part string, n long")
 
 
 @query(_ranked(_NEAR, "true", "published_at DESC, quality_score DESC, id", 25))
 def search_ranked_fuzzy(spark, d):
     """Each term stands for the vocabulary within its edit bound; ordered by date."""
-    return search.search(stored_items(spark, d), sources(spark, d), _FUZZY, search.ranked(spark, _index(spark, d), _FUZZY.q, fuzzy=True))
+    return search.full_text(spark, _index(spark, d), _FUZZY, fuzzy=True)
 
 
 @query(f"""WITH {ITEMS}, v AS (SELECT id, unnest(list_distinct({_words("regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')")})) AS term FROM items)
@@ -189,17 +228,17 @@ def search_fuzzy(spark, d):
 
 @query(f"WITH {ITEMS} SELECT DISTINCT k AS keyword FROM (SELECT unnest(keywords) AS k FROM items) WHERE contains(k, 'un') ORDER BY 1 LIMIT 5")
 def suggest_terms(spark, d):
-    return search.suggest(stored_items(spark, d), "un")
+    return index.suggested(spark, _index(spark, d), "un")
 
 
 @query(_search("true", "quality_score", "published_at DESC, quality_score DESC, id", 20))
 def feed_latest(spark, d):
-    return search.search(stored_items(spark, d), sources(spark, d), search.FEEDS["latest"])
+    return search.search(stored_items(spark, d), stored_sources(spark, d), search.FEEDS["latest"])
 
 
 @query(_search("content_type = 'breaking'", "quality_score", "published_at DESC, quality_score DESC, id", 10))
 def feed_breaking(spark, d):
-    return search.search(stored_items(spark, d), sources(spark, d), search.FEEDS["breaking"])
+    return search.search(stored_items(spark, d), stored_sources(spark, d), search.FEEDS["breaking"])
 
 
 @query(f"{BASE} SELECT id, title, domain, content_type, word_count FROM items JOIN sources USING (source) WHERE is_active AND id IN (3, 5, 17, 70)")

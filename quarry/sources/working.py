@@ -29,21 +29,47 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from written() that nothing lazy reads any more."""
+    for df in tables:
+        removed(df.sparkSession, df._written_to)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored_once(source: DataFrame, label: str, make) -> str:
-    """The folder of tables that make(path) writes for the files source reads; made anew when their names, sizes or times change."""
+    """The folder of tables that make(path) writes for the files source reads; made anew when their names, sizes or times change.
+
+    Each maker writes to a folder of its own and then publishes its name in one step, so two drivers at once only do the work twice.
+    """
     spark = source.sparkSession
     hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     seen = []
     for name in sorted(source.inputFiles()):
         status = hadoop(name).getFileSystem(conf).getFileStatus(hadoop(name))
         seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    path = f"{folder(spark)}/{label}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
-    done = hadoop(f"{path}/_DONE")
-    fs = done.getFileSystem(conf)
-    if not fs.exists(done):
-        make(path)
-        fs.create(done, True).close()
-    return path
+    name = f"{label}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
+    published = hadoop(f"{folder(spark)}/{name}.published")
+    fs = published.getFileSystem(conf)
+    if not fs.exists(published):
+        made = f"{name}-{uuid.uuid4().hex}"
+        make(f"{folder(spark)}/{made}")
+        aside = hadoop(f"{folder(spark)}/{made}.name")
+        file = fs.create(aside, True)
+        file.write(bytearray(made.encode()))
+        file.close()
+        if not fs.rename(aside, published) and not fs.exists(published):
+            raise OSError(f"can't publish {made}")
+    file = fs.open(published)
+    try:
+        return f"{folder(spark)}/{bytes(file.readAllBytes()).decode()}"
+    finally:
+        file.close()

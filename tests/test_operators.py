@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dedupe, prefs, search, stats, summary
+from quarry.operators import dedupe, index, prefs, search, stats, summary
 from quarry.plans import catalogue
 from quarry.sources import content
 from quarry.streaming import windows
@@ -165,3 +165,84 @@ def test_oracle(spark, name):
     a = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
     b = sorted(tuple(plain(r[at.index(c)]) for c in columns) for r in want.fetchall())
     assert a == b
+
+
+# The stored index
+
+
+@pytest.fixture(scope="module")
+def small_index(spark, tmp_path_factory):
+    """Parts, blocks and lists of literals so small that every way through the index is taken."""
+    path = f"file://{tmp_path_factory.mktemp('index')}/i"
+    held = index.PART_ROWS, index.BLOCK_ITEMS
+    index.PART_ROWS, index.BLOCK_ITEMS = 40, 4
+    try:
+        index.write(content.items(spark, DATA), content.sources(spark, DATA), path)
+    finally:
+        index.PART_ROWS, index.BLOCK_ITEMS = held
+    return path
+
+
+@pytest.mark.parametrize(("q", "wildcards"), [("onth", False), ("The ", False), ("in", False), ("%nth%th", True), ("ü", False), ("no such text", False), ("ing", False), ("a_d", True)])
+@pytest.mark.parametrize("literals", [1000, 3])
+def test_search_by_trigrams_is_search_by_scan(spark, tables, small_index, monkeypatch, q, wildcards, literals):
+    monkeypatch.setattr(index, "LITERALS", literals)
+    query = search.SearchQuery(q=q, wildcards=wildcards, limit=100)
+    want = [r["id"] for r in search.search(*tables, query).orderBy("rank").collect()]
+    assert [r["id"] for r in search.like(spark, small_index, query).orderBy("rank").collect()] == want
+    assert search.like_count(spark, small_index, query).first()[0] == search.count(*tables, query).first()[0]
+
+
+def test_trigram_plans_read_few_parts(spark, small_index):
+    meta = index._meta(small_index, spark)
+    assert meta["gram_parts"] > 20 and meta["parts"] > 20 and meta["item_parts"] > 2
+    assert len({f.split("part=")[1].split("/")[0] for f in index.stored(spark, small_index, "grams", ["ont", "nth"], "gram_parts").inputFiles()}) <= 2
+    scan = index.containing(spark, small_index, "onth")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in scan or "Or(EqualTo(gram" in scan
+
+
+def test_best_skips_blocks(spark, small_index):
+    """The k best with their ties as by scoring all, from fewer rows; also among a part of the items, and where fewer than k match."""
+    plain = lambda df: sorted((r["id"], r["score"]) for r in df.collect())
+    for q in ("the erin", "onth", "thndinth ing tion", "the", "xyzzy"):
+        whole = index.ranked(spark, small_index, q, stopwords=())
+        for allowed in (None, content.items(spark, DATA).where("id % 3 = 0").select("id")):
+            scores = whole if allowed is None else whole.join(allowed, "id", "left_semi")
+            for k in (1, 5, 1000):
+                ordered = sorted((r["score"] for r in scores.collect()), reverse=True)
+                least = ordered[k - 1] if len(ordered) >= k else 0.0
+                found, rows = index.best(spark, small_index, q, k, allowed, stopwords=(), direct=0, first=2)
+                assert plain(found) == plain(scores.where(F.col("score") >= least))
+                assert rows["read"] <= rows["held"]
+    _, rows = index.best(spark, small_index, "the erin", 3, stopwords=(), direct=0, first=2)
+    assert rows["read"] < 0.6 * rows["held"]
+
+
+def test_terms_within_their_edit_bound(spark, small_index):
+    terms = [r["term"] for r in index.stored(spark, small_index, "terms").collect()]
+    far = duckdb.connect()
+    near = lambda w: {t for t in terms if far.execute("SELECT levenshtein(?, ?)", [t, w]).fetchone()[0] <= index.fuzziness(w)}
+    for words in (["erintion"], ["onths", "th"], ["aaaaaaaa"], ["ing", "thes"]):
+        want = set().union(*(near(w) if index.fuzziness(w) else {w} for w in words))
+        assert {r["term"] for r in index.close_terms(spark, small_index, words).collect()} == want
+    assert index.close_terms(spark, small_index, []).count() == 0
+
+
+def test_suggestions_by_grams(spark, tables, small_index):
+    for q in ("un", "u", "ing", "TI", "zz", "ment "):
+        assert [r["keyword"] for r in index.suggested(spark, small_index, q).collect()] == [r["keyword"] for r in search.suggest(tables[0], q).collect()]
+
+
+def test_stems(spark):
+    pairs = {"wins": "win", "winning": "win", "win": "win", "games": "game", "gaming": "game", "parties": "party", "boxes": "box", "classes": "class", "class": "class", "scored": "scor", "scores": "scor", "score": "scor", "rated": "rate", "rating": "rate", "agreed": "agre", "happiness": "happi", "quickly": "quick", "this": "this", "bus": "bus", "being": "being", "sing": "sing", "": ""}
+    assert {w: index.stem(w) for w in pairs} == pairs
+    rows = spark.createDataFrame([(w,) for w in pairs], "word string")
+    assert {r["word"]: r["stem"] for r in index.with_stems(rows.withColumn("stem", F.col("word")), "stem").collect()} == pairs
+    items = spark.createDataFrame([(1, "Sox wins", "", [], "s"), (2, "other", "", [], "s")], "id long, title string, text string, keywords array<string>, source string")
+    assert [(r["id"]) for r in index.counts(items).where(F.col("term") == index.stem("winning")).collect()] == [1]
+
+
+def test_empty_index(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    index.write(content.items(spark, DATA).limit(0), content.sources(spark, DATA), path)
+    assert search.like(spark, path, search.SearchQuery(q="onth")).count() == search.full_text(spark, path, search.SearchQuery(q="onth")).count() == index.suggested(spark, path, "un").count() == 0
