@@ -12,7 +12,7 @@ from .text import count_contained, let
 #: Tried in this order; "MM/dd" comes before "dd/MM".
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy")
 LENIENT_FORMATS = ("yyyy/M/d", "yyyyMMdd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM. d, yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSSXX", "yyyy-MM-dd HH:mm", "yyyy-MM")
-_DROP = r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>"
+_DROP = r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside)\b.*?</\1\s*>"
 
 
 def squeezed(text: Column) -> Column:
@@ -31,16 +31,40 @@ def plain(html: Column) -> Column:
 SELECTORS = (("article", "", ""), ("main", "", ""), ("", "class", "content"), ("", "class", "post-content"), ("", "class", "article-body"), ("", "class", "story-body"), ("", "id", "content"))
 
 
-def selected(clean: Column, tag: str, attribute: str, value: str) -> Column:
-    """The first element of a tag, or with a class or id, up to its end tag. Elements of the same tag inside it end it, unless none of them has the class or id."""
+_NAME = "^/?([A-Za-z][A-Za-z0-9-]*)"
+
+
+def opening(tag: str, attribute: str, value: str) -> str:
+    """The pattern of a start tag (what follows its <) that a selector fits; it needs no look-around, so other engines can share it."""
     if tag:
-        return plain(F.regexp_extract(clean, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
-    held = rf"""[^"']*(?<![\w-]){value}(?![\w-])[^"']*""" if attribute == "class" else value
-    return plain(F.regexp_extract(clean, rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*\b{attribute}\s*=\s*["']{held}["'][^>]*>(.*?)</\1\s*>""", 2))
+        return rf"(?is)^{tag}(?:[\s/][^>]*)?>"
+    held = rf"""(?:[^"']*[^"'\w-])?{value}(?:[^"'\w-][^"']*)?""" if attribute == "class" else value
+    return rf"""(?is)^[a-z][^<>]*[\s"']{attribute}\s*=\s*["']{held}["']"""
+
+
+def selected(clean: Column, tag: str, attribute: str, value: str) -> Column:
+    """The first element of a tag, or with a class or id, up to its own end tag: elements of the same name inside it are counted. One that never ends goes to the end of the page.
+
+    The page is cut at each <; from the selected start tag on, a fold holds how many elements of that name are open. Pages without the start tag aren't cut.
+    """
+    start = opening(tag, attribute, value)
+
+    def element(parts: Column) -> Column:
+        at = F.array_position(F.transform(parts, lambda p: p.rlike(start)), True)
+
+        def inner(first: Column) -> Column:
+            name = F.lower(F.regexp_extract(F.element_at(parts, first), _NAME, 1))
+            rest = F.transform(F.slice(parts, first + 1, F.greatest(F.size(parts) - first, F.lit(0))), lambda p: F.when(F.lower(F.regexp_extract(p, _NAME, 1)) == name, F.when(p.startswith("/"), -1).otherwise(1)).otherwise(0))
+            held = F.aggregate(rest, F.struct(F.lit(1).alias("open"), F.lit(1).alias("size")), lambda x, d: F.when(x["open"] == 0, x).otherwise(F.struct((x["open"] + d).alias("open"), (x["size"] + F.when(x["open"] + d > 0, 1).otherwise(0)).alias("size"))))
+            return plain(F.concat(F.lit("<"), F.array_join(F.slice(parts, first, held["size"]), "<")))
+
+        return let(at.cast("int"), lambda k: F.when(k > 0, inner(k)).otherwise(""))
+
+    return F.when(clean.rlike(start.replace("^", "<", 1)), let(F.split(clean, "<"), element)).otherwise("")
 
 
 def cascade(html: Column, least: int = 100) -> Column:
-    """Text, method and errors (why each earlier method was passed over) of a page without scripts and frames.
+    """Text, method and errors (why each earlier method was passed over) of a page without comments, scripts and frames (a frame ends at the first end tag of its name).
 
     The methods are the selectors, then the body; the first text longer than `least` is taken, else the body's whatever its length
     (of no more than `least`: no method), else the last of the selectors' that has any.

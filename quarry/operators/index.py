@@ -21,8 +21,8 @@ from quarry.sources.working import dropped, written
 
 FIELDS = {"title": 3.0, "text": 1.0, "keywords": 2.0}
 K1, B = 1.2, 0.75
-#: Rows that a part of a table holds, about.
-PART_ROWS = 2_000_000
+#: Rows that a part of a table holds, about; a part of items, which are wider.
+PART_ROWS, PART_ITEMS = 2_000_000, 200_000
 #: Items of a block of postings; rows of postings up to which a query scores all, as finding the best blocks would cost more.
 BLOCK_ITEMS, DIRECT_ROWS = 128, 5_000_000
 #: Ids or terms that a query looks up by value; more are joined.
@@ -138,7 +138,7 @@ def write(items: DataFrame, sources: DataFrame, path: str) -> None:
 
     rows = written(held.join(words, "term").join(lengths, "id").select("term", "block", "id", *map(impact, FIELDS)), "impacts")
     n = rows.count()
-    meta = {"items": told["n"], "postings": n, "parts": _parts(n), "term_parts": _parts(words.count()), "item_parts": math.ceil(told["n"] / PART_ROWS) or 1, "keyword_parts": 8}
+    meta = {"items": told["n"], "postings": n, "parts": _parts(n), "term_parts": _parts(words.count()), "item_parts": math.ceil(told["n"] / PART_ITEMS) or 1, "keyword_parts": 8}
     _store(items.drop("text"), "id", meta["item_parts"], f"{path}/items")
     items = _spread(spark.read.parquet(f"{path}/items").drop("part"))
     _store(rows, "term", meta["parts"], f"{path}/postings", "block", "id")

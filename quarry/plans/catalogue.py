@@ -296,13 +296,28 @@ def _tag(x: str, tag: str) -> str:
     return f"regexp_extract({x}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
 
 
-_CLEAN = "html"
+_CLEAN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in ("script", "style", "nav", "header", "footer", "aside"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_t}\\b.*?</{_t}\\s*>', '', 'g')"
-_PAGE = f"""WITH c AS (SELECT page_id, url, html, {_CLEAN} AS clean FROM pages),
-x AS (SELECT page_id, url, {_plain(_tag('clean', 'article'))} AS a, {_plain(_tag('clean', 'main'))} AS m, {_plain("regexp_extract(clean, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1)")} AS b,
-  trim(string_split(coalesce(nullif({_plain(_tag('html', 'title'))}, ''), nullif({_plain(_tag('html', 'h1'))}, '')), ' - ')[1]) AS title FROM c),
-page AS (SELECT page_id, url, title, CASE WHEN length(a) > 100 THEN a WHEN length(m) > 100 THEN m WHEN b <> '' THEN b ELSE nullif(a, '') END AS text FROM x)"""
+_METHODS = [t or ("." if a == "class" else "#") + v for t, a, v in extract.SELECTORS]
+_STARTS = ", ".join(f"({k}, '{extract.opening(*x).replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(extract.SELECTORS))
+
+
+def _page(source: str) -> str:
+    """CTEs up to page (page_id, url, title, method, text) of rows with page_id, url, html. Tags are rows here, and depth is a running sum."""
+    return f"""c AS (SELECT page_id, url, html, {_CLEAN} AS clean FROM {source}),
+parts AS (SELECT page_id, unnest(string_split(clean, '<')) AS part, generate_subscripts(string_split(clean, '<'), 1) AS pos FROM c),
+tags AS (SELECT *, lower(regexp_extract(part, '{extract._NAME}', 1)) AS name, CASE WHEN starts_with(part, '/') THEN -1 ELSE 1 END AS d FROM parts WHERE pos > 1),
+opened AS (SELECT page_id, k, min(pos) AS began FROM tags JOIN (VALUES {_STARTS}) AS s(k, start) ON regexp_matches(part, start) GROUP BY ALL),
+walked AS (SELECT o.page_id, o.k, o.began, t.pos, sum(t.d) OVER (PARTITION BY o.page_id, o.k ORDER BY t.pos) AS depth FROM opened o JOIN tags own ON own.page_id = o.page_id AND own.pos = o.began JOIN tags t ON t.page_id = o.page_id AND t.pos >= o.began AND t.name = own.name),
+closed AS (SELECT page_id, k, began, coalesce(min(pos) FILTER (depth = 0), 1 << 30) AS upto FROM walked GROUP BY ALL),
+inside AS (SELECT page_id, k, string_agg('<' || part, '' ORDER BY pos) AS inner_html FROM closed JOIN parts USING (page_id) WHERE pos >= began AND pos < upto GROUP BY ALL),
+texts AS (SELECT page_id, k, {_plain('inner_html')} AS text FROM inside UNION ALL SELECT page_id, {len(_METHODS)}, {_plain("regexp_extract(clean, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1)")} FROM c),
+taken AS (SELECT page_id, min(k) FILTER (length(text) > 100) AS k, coalesce(arg_min(text, k) FILTER (length(text) > 100), arg_max(text, k) FILTER (text <> '')) AS text FROM texts GROUP BY 1),
+page AS (SELECT page_id, url, trim(string_split(coalesce(nullif({_plain(_tag('html', 'title'))}, ''), nullif({_plain(_tag('html', 'h1'))}, '')), ' - ')[1]) AS title, {_list([*_METHODS, 'body'])}[k + 1] AS method, text FROM c JOIN taken USING (page_id))"""
+
+
+_PAGE = f"WITH {_page('pages')}"
 
 
 def pages(spark, d):
@@ -315,6 +330,21 @@ def html_extract(spark, d):
     return pages(spark, d).select("page_id", "title", "text", F.size(t.words(F.col("text"))).alias("word_count"))
 
 
+#: Pages whose articles lie in nested elements of the same name: what replaces <article> and </article>, by page_id % 4.
+_NESTED = (("<div class='wide post-content'><div>lead</div>", "</div>"), ("<section id='content'><section>", "</section></section>"), ("<article><article>lead</article>", "</article>"), ("<DIV\nclass='story-body'><div>", "</DIV ></div>"))
+
+
+@query(f"""WITH nested AS (SELECT page_id, url, CASE page_id % 4 {' '.join(f"WHEN {k} THEN replace(replace(html, '<article>', '{a.replace(chr(39), chr(39) * 2)}'), '</article>', '{b}')" for k, (a, b) in enumerate(_NESTED))} END AS html FROM pages), {_page('nested')} SELECT page_id, method, text FROM page""")
+def page_nested(spark, d):
+    """A selected element ends at its own end tag."""
+    html = None
+    for k, (a, b) in enumerate(_NESTED):
+        own = F.replace(F.replace("html", F.lit("<article>"), F.lit(a)), F.lit("</article>"), F.lit(b))
+        html = F.when(F.col("page_id") % 4 == k, own) if html is None else html.when(F.col("page_id") % 4 == k, own)
+    found = table(spark, d, "pages").select("page_id", extract.cascade(html).alias("x"))
+    return found.select("page_id", "x.method", "x.text")
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN NULL ELSE CASE o_orderkey % 6 WHEN 0 THEN o_orderdate ELSE date_trunc('day', o_orderdate) END END AS parsed FROM orders""")
 def date_parse(spark, d):
     """X6 over dates written in five ways, and one that is no date."""

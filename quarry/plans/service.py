@@ -114,7 +114,7 @@ def golden_report(spark, d):
     return stats.golden_report(results, own.where("page_id % 3 <> 1").select(key.alias("url"), F.concat(F.lit("c"), (p % 4).cast("string")).alias("category")))
 
 
-@query(f"{_PAGE} SELECT page_id, title, CASE WHEN length(text) > 100 THEN CASE WHEN (SELECT length(a) FROM x WHERE x.page_id = page.page_id) > 100 THEN 'article' ELSE 'body' END END AS method, text FROM page")
+@query(f"{_PAGE} SELECT page_id, title, method, text FROM page")
 def page_extract(spark, d):
     """Which method gave the text."""
     return rows.extracted(table(spark, d, "pages")).select("page_id", "title", "method", "text")

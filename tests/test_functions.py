@@ -95,6 +95,19 @@ def test_selectors_and_cascade(spark):
     assert got[0]["text"].endswith(" c") and got[1]["errors"][0] == "article: too short" and got[3]["text"] == "little" and got[5]["text"] == "only" and got[4]["text"] is None
 
 
+def test_elements_end_at_their_own_end_tag(spark):
+    cases = [
+        ('<div class="content"><div>a</div>b</div>c', ".content", "a b"), ("<article>a<article>b</article>c</article>d", "article", "a b c"), ("<ARTICLE class=x>a<Article >b</aRTICLE >c</article\n>d", "article", "a b c"),
+        ('<p>x<div id="content"><p>a<div/>b</div></div>c', "#content", "a b"), ("<main>never <b>ends", "main", "never ends"), ("<articles>no</articles><article>yes</article>", "article", "yes"), ("<article>a<!-- </article> -->b</article>", "article", "ab"),
+        ('<div data-class="content">no</div><span class="content">1<span>2</span></span>3', ".content", "1 2"), ("", "article", ""), ("<article></article>x", "article", ""), ("a < b <article>1 < 2</article>", "article", "1 < 2"), ("<div class='contents'>x</div>", ".content", ""),
+        ("<article>" + "<article>x" * 500 + "</article>" * 500 + "y</article>z", "article", "x " * 500 + "y"),
+    ]
+    at = {t or ("." if a == "class" else "#") + v: (t, a, v) for t, a, v in extract.SELECTORS}
+    clean = F.regexp_replace("h", extract._DROP, "")
+    rows = spark.createDataFrame([(i, h) for i, (h, _, _) in enumerate(cases)], "i int, h string").select("i", *[extract.selected(clean, *x).alias(n) for n, x in at.items()]).collect()
+    assert [r[cases[r["i"]][1]] for r in sorted(rows, key=lambda r: r["i"])] == [want for _, _, want in cases]
+
+
 def test_lenient_dates_and_bytes(spark):
     texts = ["Tue, 02 Jan 2024 10:00:00 +0000", "2024/1/2", "2 January 2024", "2.1.2024", "01/02/2024", "yesterday", None]
     got = [str(r["d"])[:10] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(extract.parsed_date(F.col("t")).alias("d")).collect()]
