@@ -26,13 +26,13 @@ from .common import discard, lower, materialize, mix, runs, utf8, words
 SHINGLE, THRESHOLD = 5, 0.8
 #: Components of a signature; bands of BAND components. Two documents at 0.8 share no band with probability (1 - 0.8**4)**32 < 1e-7.
 SIZE, BAND = 128, 4
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 #: Texts, and shingles, on one side of a cell on average. A larger bucket is cut into parts of about that size; any two parts make a cell.
 CELL, CELL_SHINGLES = 1_000, 400_000
 #: Another round of leaders follows one that linked more than a text in so many.
 WORTHWHILE = 20
 #: Shingles of cells that a task looks at together; candidate pairs verified, and pairs made, at once; from how many texts with one shingle pairs are marked in a table.
-TOGETHER, VERIFIED, MADE, CROWD = 200_000, 4_000, 2_000_000, 48
+TOGETHER, VERIFIED, MADE, CROWD = 100_000, 4_000, 1_000_000, 48
 
 
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
