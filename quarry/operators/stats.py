@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Quality
 from quarry.functions import quality as q
 from quarry.functions.time import hours, seconds
+from quarry.operators import folds
 from quarry.sources.working import written
 
 #: Rows of one worker that a task of a rolling mean holds.
@@ -110,52 +107,18 @@ def heartbeat(beats: DataFrame, as_of: Column, ttl_seconds: int = 300) -> DataFr
 
 
 def backoff(responses: DataFrame, start: float = 1.0, cap: float = 300.0) -> DataFrame:
-    """Responses: host, seq, status. Delay of each host after all its responses: 429 doubles it (from `start`), success halves it and clears it at 1, others leave it.
+    """Responses: host, seq, status. Delay of each host after all its responses: 429 doubles it (from `start`), success halves it and clears it at 1; others don't count, and a host of those alone has no row.
 
-    An ordered fold: rows arrive sorted within tasks, and only the host at hand and its delay are held.
+    Few delays can be reached, so a stretch of responses is a map of delays: see folds.folded().
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, delay, seen = None, 0.0, False
-        for pdf in batches:
-            out = []
-            for h, status in zip(pdf["host"], pdf["status"], strict=True):
-                if not seen or h != host:
-                    if seen:
-                        out.append((host, delay))
-                    host, delay, seen = h, 0.0, True
-                if status == 429:
-                    delay = min(cap, (delay or start) * 2)
-                else:
-                    delay = 0.0 if delay * 0.5 <= 1 else delay * 0.5
-            yield pd.DataFrame(out, columns=["host", "delay"])
-        if seen:
-            yield pd.DataFrame([(host, delay)], columns=["host", "delay"])
-
-    told = responses.where((F.col("status") == 429) | (F.col("status") < 400)).select("host", "seq", "status")
-    return told.repartition("host").sortWithinPartitions("host", "seq").mapInPandas(fold, "host string, delay double")
+    delays, moves = folds.states(0.0, [lambda d: min(cap, (d or start) * 2), lambda d: 0.0 if d * 0.5 <= 1 else d * 0.5])
+    told = responses.where((F.col("status") == 429) | (F.col("status") < 400)).select("host", "seq", (F.col("status") != 429).cast("int").alias("step"))
+    return folds.folded(told, "host", "seq", "step", moves).select("host", F.get(F.array(*map(F.lit, delays)), F.col("state")).alias("delay"))
 
 
 def admitted(requests: DataFrame, window_seconds: float, most: int) -> DataFrame:
-    """Requests: user, ts (seconds). Each request and whether it passes: fewer than `most` passed ones lie strictly within the window before it.
-
-    An ordered fold that holds the user's last `most` passed requests.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, live = None, deque(maxlen=most)
-        for pdf in batches:
-            ok = []
-            for u, ts in zip(pdf["user"], pdf["ts"], strict=True):
-                if u != user:
-                    user, live = u, deque(maxlen=most)
-                passes = most > 0 and (len(live) < most or live[0] <= ts - window_seconds)
-                if passes:
-                    live.append(ts)
-                ok.append(passes)
-            yield pdf.assign(passed=ok)
-
-    return requests.select("user", "ts").repartition("user").sortWithinPartitions("user", "ts").mapInPandas(fold, "user string, ts double, passed boolean")
+    """Requests: user, ts (seconds). Each request and whether it passes: fewer than `most` passed ones lie strictly within the window before it."""
+    return folds.limited(requests, "user", "ts", window_seconds, most)
 
 
 def summary_stats(requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}  # the folder of a run on one machine
@@ -57,19 +58,51 @@ def stored_once(source: DataFrame, label: str, make) -> str:
         status = hadoop(name).getFileSystem(conf).getFileStatus(hadoop(name))
         seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
     name = f"{label}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
-    published = hadoop(f"{folder(spark)}/{name}.published")
-    fs = published.getFileSystem(conf)
-    if not fs.exists(published):
+    published = f"{folder(spark)}/{name}.published"
+    if content(spark, published) is None:
         made = f"{name}-{uuid.uuid4().hex}"
         make(f"{folder(spark)}/{made}")
-        aside = hadoop(f"{folder(spark)}/{made}.name")
-        file = fs.create(aside, True)
-        file.write(bytearray(made.encode()))
-        file.close()
-        if not fs.rename(aside, published) and not fs.exists(published):
-            raise OSError(f"can't publish {made}")
-    file = fs.open(published)
+        publish(spark, published, made)  # or another driver was first
+    return f"{folder(spark)}/{content(spark, published)}"
+
+
+#: Besides local files, schemes whose rename is atomic and fails if the name is taken.
+ATOMIC = ("hdfs", "viewfs", "webhdfs")
+
+
+def content(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    file = fs.open(at)
     try:
-        return f"{folder(spark)}/{bytes(file.readAllBytes()).decode()}"
+        return bytes(file.readAllBytes()).decode()
     finally:
         file.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file of this text, all at once; False if there is one of that name, which stays. Written aside, then linked or renamed, so none sees a part of it."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    at, aside = hadoop(path), hadoop(f"{path}.{uuid.uuid4().hex}.aside")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    file = fs.create(aside, False)
+    file.write(bytearray(text.encode()))
+    file.close()
+    scheme = fs.resolvePath(aside).toUri().getScheme()
+    try:
+        if scheme == "file":
+            local = lambda p: jvm.java.io.File(fs.resolvePath(p.getParent()).toUri().getPath(), p.getName()).toPath()
+            jvm.java.nio.file.Files.createLink(local(at), local(aside))
+            return True
+        if scheme not in ATOMIC:
+            raise ValueError(f"{scheme}: has no rename that fails if the name is taken")
+        return bool(fs.rename(aside, at))
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        fs.delete(aside, False)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.operators import folds
+
 WATERMARK = "10 minutes"
 
 
@@ -44,23 +46,12 @@ def _grant(times: pd.Series, last: float, hours: float) -> tuple[list[bool], flo
 def cooldown(stream: DataFrame, hours: float = 6.0, late: str = WATERMARK) -> DataFrame:
     """Of each term's detections (term, ts) those that lie `hours` after the last granted one. State per term: one time, dropped after a day.
 
-    A batch folds each term's detections in order, with rows sorted within tasks: only the term at hand and its time are held. Null times come last.
+    A batch runs the same rule in blocks over many tasks (folds.limited()). Null times are never granted.
     """
     if not stream.isStreaming:
-
-        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            begun, term, last = False, None, float("-inf")
-            for pdf in batches:
-                granted = []
-                for t, at in zip(pdf["term"], _seconds(pdf["ts"]), strict=True):
-                    if not begun or t != term:
-                        begun, term, last = True, t, float("-inf")
-                    ok = at - last >= hours * 3600
-                    last = at if ok else last
-                    granted.append(bool(ok))
-                yield pdf.assign(granted=granted)
-
-        return stream.select("term", "ts").repartition("term").sortWithinPartitions("term", F.col("ts").asc_nulls_last()).mapInPandas(fold, _KIND)
+        micros = stream.select("term", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
+        granted = folds.limited(micros, "term", "ts", hours * 3_600_000_000, 1)
+        return granted.select("term", F.timestamp_micros(F.col("ts").cast("long")).alias("ts"), F.col("passed").alias("granted"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
