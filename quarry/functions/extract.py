@@ -107,22 +107,36 @@ def parsed_date(text: Column) -> Column:
 FUNCTION_WORDS = (("en", ("the", "and", "of", "to", "in", "is", "that", "was")), ("fr", ("le", "la", "les", "et", "des", "une", "est", "dans")), ("de", ("der", "die", "das", "und", "ein", "nicht", "mit", "ist")), ("es", ("el", "los", "las", "que", "una", "por", "con", "del")))
 
 
-def _told(text: Column, words: Iterable[str]) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])"))
+def _one_of(held: Iterable[str]):
+    return lambda w: w.isin(*held)
 
 
-def _votes(text: Column, words) -> Column:
-    return F.array(*[F.struct(_told(text, held).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, held) in enumerate(words)])
+def detection(text: Column, words=FUNCTION_WORDS, default: str = "en") -> Column:
+    """Struct of the language whose function words the text holds most (the default without any), and their share in those of all (null without any).
+
+    The words are found in one pass over the text; what is counted after that is only them.
+    """
+    every = sorted({w for _, held in words for w in held})
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(every)})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+
+    def votes(said: Column) -> Column:
+        return F.array(*[F.struct(F.size(F.filter(said, _one_of(held))).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, held) in enumerate(words)])
+
+    def told(v: Column) -> Column:
+        best = F.array_max(v)
+        return F.struct(F.when(best["n"] > 0, best["name"]).otherwise(default).alias("language"), F.try_divide(best["n"], F.aggregate(v, F.lit(0), lambda a, x: a + x["n"])).alias("share"))
+
+    return let(let(found, votes), told)
 
 
 def language(text: Column, words=FUNCTION_WORDS, default: str = "en") -> Column:
-    """The language whose function words the text holds most; the default without any."""
-    return let(F.array_max(_votes(text, words)), lambda x: F.when(x["n"] > 0, x["name"]).otherwise(default))
+    """The language of detection()."""
+    return detection(text, words, default)["language"]
 
 
 def language_share(text: Column, words=FUNCTION_WORDS) -> Column:
-    """The share of the best language's function words in those of all; null without any."""
-    return let(_votes(text, words), lambda v: F.try_divide(F.array_max(v)["n"], F.aggregate(v, F.lit(0), lambda a, x: a + x["n"])))
+    """The share of detection()."""
+    return detection(text, words)["share"]
 
 
 def decoded(content: Column, charset: Column) -> Column:

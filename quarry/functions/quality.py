@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Lexicon, Quality
 
-from .text import sentences, words
+from .text import let, sentences, words
 from .time import hours
 
 
@@ -42,8 +42,7 @@ def structure(title: Column, text: Column) -> Column:
 
 def density(text: Column) -> Column:
     """Share of distinct words, from .2 to .8."""
-    parts = words(F.lower(text))
-    return F.when(F.size(parts) < 10, 0.0).otherwise(clamped((F.try_divide(F.size(F.array_distinct(parts)), F.size(parts)) - 0.2) / 0.6))
+    return let(words(F.lower(text)), lambda parts: F.when(F.size(parts) < 10, 0.0).otherwise(clamped((F.try_divide(F.size(F.array_distinct(parts)), F.size(parts)) - 0.2) / 0.6)))
 
 
 def depth(title: Column, text: Column, n: Column) -> Column:
@@ -87,10 +86,9 @@ def relevance(title: Column, text: Column, keywords: Column, kind: Column, lexic
 
 def language_quality(text: Column, expected: Column, detected: Column, probability: Column) -> Column:
     """Q6: detection confidence, then factors for short, broken and repetitive text. A null detection counts as a failure."""
-    parts = words(text)
     found = F.when(detected.isNull(), 0.7).when(detected == expected, probability).otherwise(0.5)
     broken = text.contains("�") | text.contains("â€™") | text.contains("â€œ")
-    repetitive = (F.size(parts) > 10) & (F.try_divide(F.size(F.array_distinct(parts)), F.size(parts)) < 0.3)
+    repetitive = let(words(text), lambda parts: (F.size(parts) > 10) & (F.try_divide(F.size(F.array_distinct(parts)), F.size(parts)) < 0.3))
     score = found * F.when(F.length(text) < 50, 0.3).otherwise(1.0) * F.when(broken, 0.7).otherwise(1.0) * F.when(repetitive, 0.5).otherwise(1.0)
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(clamped(score))
 

@@ -71,14 +71,14 @@ def normalized_term(term: Column, stopwords: Iterable[str] = STOPWORDS) -> Colum
 
 def phrases(text: Column, indicators: Iterable[str], stopwords: Iterable[str] = STOPWORDS) -> Column:
     """T4: each occurrence of a significant two- or three-word phrase of lower-cased text."""
-    said = F.transform(words(F.lower(text)), lambda w: F.when(~w.rlike(f"^(?:{_any_of(stopwords)})$"), w))  # stop words are null, and so is any phrase with one
+    said = F.transform(words(F.lower(text)), lambda w: F.when(~w.isin(*stopwords), w))  # stop words are null, and so is any phrase with one
     pairs = lambda p, q: F.zip_with(p, q, lambda a, b: F.concat(a, F.lit(" "), b))
 
     def grams(parts: Column) -> Column:
         two = pairs(parts, F.slice(parts, 2, 1 << 30))
         return F.concat(two, pairs(two, F.slice(parts, 3, 1 << 30)))
 
-    return F.filter(let(said, grams), lambda p: (F.length(p) >= 6) & p.rlike(_any_of(indicators)))
+    return F.filter(let(said, grams), lambda p: (F.length(p) >= 6) & any_contained(p, indicators))
 
 
 def any_contained(text: Column, parts: Iterable[str]) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import STOPWORDS
 from quarry.functions import text as t
-from quarry.sources.working import dropped, written
+from quarry.sources.working import dropped, spread, written
 
 FIELDS = {"title": 3.0, "text": 1.0, "keywords": 2.0}
 K1, B = 1.2, 0.75
@@ -111,17 +111,11 @@ def _parts(rows: int) -> int:
     return max(8, math.ceil(rows / PART_ROWS))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores, where their files have fewer splits than there are cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def write(items: DataFrame, sources: DataFrame, path: str) -> None:
     """SK8: store what search reads. Postings hold their impacts (BM25 with the statistics of these items), in blocks of items whose texts are about as long,
     for then impacts in a block are alike; blocks holds the largest of each term and block."""
     spark = items.sparkSession
-    items = _spread(items)
+    items = spread(items)
     held = written(counts(items), "counts")
     sizes = written(items.select("id", *[F.size(field_words(items, f)).alias(f) for f in FIELDS]), "sizes")
     told = sizes.agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in FIELDS]).first()
@@ -140,7 +134,7 @@ def write(items: DataFrame, sources: DataFrame, path: str) -> None:
     n = rows.count()
     meta = {"items": told["n"], "postings": n, "parts": _parts(n), "term_parts": _parts(words.count()), "item_parts": math.ceil(told["n"] / PART_ITEMS) or 1, "keyword_parts": 8}
     _store(items.drop("text"), "id", meta["item_parts"], f"{path}/items")
-    items = _spread(spark.read.parquet(f"{path}/items").drop("part"))
+    items = spread(spark.read.parquet(f"{path}/items").drop("part"))
     _store(rows, "term", meta["parts"], f"{path}/postings", "block", "id")
     best = rows.groupBy("term", "block").agg(*[F.max(f).alias(f) for f in FIELDS], F.count("*").alias("items"))
     _store(best, "term", meta["parts"], f"{path}/blocks", "block")

@@ -1,3 +1,3 @@
 """The query catalogue and its oracle SQL."""
 
-from . import catalogue, service, streams  # noqa: F401  the others add their queries to the catalogue
+from . import catalogue, service, streams, text  # noqa: F401  the others add their queries to the catalogue

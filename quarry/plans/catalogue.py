@@ -14,7 +14,7 @@ from quarry.functions import extract, quality as q, text as t, urls
 from quarry.operators import dedupe, index, prefs, rows, search, stats, summary, trending
 from quarry.sources import content
 from quarry.sources.content import KINDS, items, sources, table
-from quarry.sources.working import folder, removed, stored_once
+from quarry.sources.working import folder, removed, spread, stored_once
 from quarry.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,7 +321,7 @@ _PAGE = f"WITH {_page('pages')}"
 
 
 def pages(spark, d):
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"))
     return p.select("page_id", "url", extract.page_title(F.col("html")).alias("title"), extract.page_text(F.col("html")).alias("text"))
 
 
@@ -341,7 +341,7 @@ def page_nested(spark, d):
     for k, (a, b) in enumerate(_NESTED):
         own = F.replace(F.replace("html", F.lit("<article>"), F.lit(a)), F.lit("</article>"), F.lit(b))
         html = F.when(F.col("page_id") % 4 == k, own) if html is None else html.when(F.col("page_id") % 4 == k, own)
-    found = table(spark, d, "pages").select("page_id", extract.cascade(html).alias("x"))
+    found = spread(table(spark, d, "pages")).select("page_id", extract.cascade(html).alias("x"))
     return found.select("page_id", "x.method", "x.text")
 
 
@@ -412,8 +412,8 @@ def scored_items(spark: SparkSession, d: str) -> DataFrame:
         "relevance": q.relevance(c("title"), c("text"), c("keywords"), c("content_type"), LEXICON),
         "language_quality": q.language_quality(c("text"), c("language"), F.when(c("share").isNotNull(), c("detected")), c("share")),
     }
-    told = {"detected": extract.language(c("text")), "share": extract.language_share(c("text"))}
-    own = items(spark, d).drop("quality_score").withColumns(told).join(sources(spark, d), "source")
+    own = items(spark, d).drop("quality_score").withColumn("told", extract.detection(c("text"))).join(sources(spark, d), "source")
+    own = own.withColumns({"detected": c("told.language"), "share": c("told.share")})
     return own.withColumns(signals).withColumn("quality_score", q.total({n: c(n) for n in signals}, QUALITY))
 
 

@@ -137,8 +137,8 @@ def ingest_pages(spark, d):
 @query(f"WITH {ITEMS}, {_TOLD} SELECT id, CASE WHEN n = 0 THEN 'en' ELSE best END AS language, round(CASE WHEN total = 0 THEN -1.0::DOUBLE ELSE n / total::DOUBLE END, 6) AS share FROM told")
 def language_detect(spark, d):
     """-1 stands for no share."""
-    text = F.col("text")
-    return items(spark, d).select("id", extract.language(text).alias("language"), F.round(F.coalesce(extract.language_share(text), F.lit(-1.0)), 6).alias("share"))
+    told = items(spark, d).select("id", extract.detection(F.col("text")).alias("told"))
+    return told.select("id", "told.language", F.round(F.coalesce("told.share", F.lit(-1.0)), 6).alias("share"))
 
 
 _STRICT = Quality(shadow=False, least=0.5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import AS_OF, Lexicon
 from quarry.functions import extract, text as t
-from quarry.sources.working import written
+from quarry.sources.working import spread, written
 
 KINDS = ("recap", "breaking", "analysis", "roster", "general")
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """content_items over `documents`: title is the first line, the other attributes follow from doc_id."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     i = F.col("doc_id")
     return docs.select(
         i.alias("id"),

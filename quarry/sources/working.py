@@ -35,6 +35,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where their files have fewer splits than there are cores (as small inputs do; large ones stay as they are)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables from written() that nothing lazy reads any more."""
     for df in tables:
