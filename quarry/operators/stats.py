@@ -101,6 +101,33 @@ def activity(events: DataFrame) -> DataFrame:
     return by.join(runs, "user_id")
 
 
+def reading(log: DataFrame, topics: int = 3) -> DataFrame:
+    """Log: user_id, ts, action (read, save, share, ...), resource_id, topic, seconds. Per user the different articles read, saved and shared, the time spent reading, the topics read most, and the longest run of days with any activity.
+
+    Distinct counts are those of rows that are grouped before, so a user who holds most of the log is pre-aggregated in every task.
+    """
+    each = log.groupBy("user_id", "action", "resource_id").agg(F.sum("seconds").alias("seconds"), F.max("ts").alias("last"))
+    of = lambda action: F.count_if((F.col("action") == action) & F.col("resource_id").isNotNull())
+    by = each.groupBy("user_id").agg(of("read").alias("articles_read"), of("save").alias("articles_saved"), of("share").alias("articles_shared"), F.round(F.coalesce(F.sum(F.when(F.col("action") == "read", F.col("seconds"))), F.lit(0.0)), 4).alias("reading_seconds"), F.max("last").alias("last_active"))
+    said = log.where("action = 'read' AND topic IS NOT NULL").groupBy("user_id", "topic").agg(F.count("*").alias("n"))
+    best = said.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "topic"))).where(F.col("place") <= topics)
+    liked = best.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "topic"))), lambda x: x["topic"]).alias("favorite_topics"))  # at most `topics`
+    return by.join(streaks(log), "user_id").join(liked, "user_id", "left").withColumn("favorite_topics", F.coalesce("favorite_topics", F.array().cast("array<string>")))
+
+
+def streaks(log: DataFrame) -> DataFrame:
+    """user_id, streak: the longest run of days in a row (gaps and islands). log: user_id, ts."""
+    days = log.select("user_id", F.to_date("ts").alias("day")).distinct()
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
+    return days.withColumn("island", island).groupBy("user_id", "island").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("streak"))
+
+
+def history(log: DataFrame, limit: int = 50, action: str | None = None) -> DataFrame:
+    """The latest `limit` rows of each user, of one action if given, with their place. log: user_id, ts, action, event_id."""
+    own = log if action is None else log.where(F.col("action") == action)
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where(F.col("place") <= limit)
+
+
 def heartbeat(beats: DataFrame, as_of: Column, ttl_seconds: int = 300) -> DataFrame:
     """Beats: worker, ts. Whether each worker's last beat is fresh."""
     return beats.groupBy("worker").agg(F.max("ts").alias("last")).withColumn("alive", seconds("last", as_of) <= ttl_seconds)

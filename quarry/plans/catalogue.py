@@ -707,6 +707,32 @@ def activity_stats(spark, d):
     return stats.activity(table(spark, d, "events"))
 
 
+_LOG = """log AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'save' WHEN 'purchase' THEN 'share' ELSE event_type END AS action, 'a' || json_extract_string(props, '$.k') AS resource_id, 't' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS topic, value AS seconds FROM events)"""
+
+
+def _activity_log(spark, d):
+    k = F.get_json_object("props", "$.k")
+    action = F.create_map(*[F.lit(x) for pair in (("view", "read"), ("click", "save"), ("purchase", "share")) for x in pair])[F.col("event_type")]
+    return table(spark, d, "events").select("event_id", "user_id", "ts", F.coalesce(action, "event_type").alias("action"), F.concat(F.lit("a"), k).alias("resource_id"), F.concat(F.lit("t"), k.cast("int") % 10).alias("topic"), F.col("value").alias("seconds"))
+
+
+@query(f"""WITH {_LOG}, b AS (SELECT user_id, count(DISTINCT resource_id) FILTER (action = 'read') AS articles_read, count(DISTINCT resource_id) FILTER (action = 'save') AS articles_saved, count(DISTINCT resource_id) FILTER (action = 'share') AS articles_shared, round(coalesce(sum(seconds) FILTER (action = 'read'), 0), 4) AS reading_seconds, max(ts) AS last_active FROM log GROUP BY 1),
+p AS (SELECT user_id, topic, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, topic) AS place FROM log WHERE action = 'read' GROUP BY user_id, topic),
+l AS (SELECT user_id, string_agg(topic, ',' ORDER BY place) AS favorite_topics FROM p WHERE place <= 3 GROUP BY 1),
+d AS (SELECT user_id, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM log)),
+r AS (SELECT user_id, max(n) AS streak FROM (SELECT user_id, island, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1)
+SELECT b.*, streak, coalesce(favorite_topics, '') AS favorite_topics FROM b JOIN r USING (user_id) LEFT JOIN l USING (user_id)""")
+def reading_stats(spark, d):
+    """What users have read, saved and shared."""
+    return stats.reading(_activity_log(spark, d)).withColumn("favorite_topics", F.array_join("favorite_topics", ","))
+
+
+@query(f"WITH {_LOG} SELECT user_id, event_id, action, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM log WHERE action = 'save' QUALIFY place <= 5")
+def activity_history(spark, d):
+    """The five latest of an action."""
+    return stats.history(_activity_log(spark, d), 5, "save").select("user_id", "event_id", "action", "place")
+
+
 @query("""WITH RECURSIVE e AS (SELECT 'host' || CAST(user_id % 20 AS VARCHAR) AS host, CASE WHEN event_type = 'error' THEN 429 ELSE 200 END AS status, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events WHERE event_type <> 'signup'),
 r AS (SELECT DISTINCT host, 0::BIGINT AS k, 0.0::DOUBLE AS delay FROM e UNION ALL SELECT e.host, e.k, CASE WHEN status = 429 THEN least(300.0::DOUBLE, CASE WHEN delay = 0 THEN 1.0::DOUBLE ELSE delay END * 2) WHEN delay * 0.5::DOUBLE <= 1 THEN 0.0::DOUBLE ELSE delay * 0.5::DOUBLE END FROM r JOIN e ON e.host = r.host AND e.k = r.k + 1)
 SELECT host, arg_max(delay, k) AS delay FROM r GROUP BY 1""")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quarry.config import Quality
 from quarry.functions import extract, quality as q, text as t
 from quarry.operators import dedupe, prefs, rows, stats, summary, trending
-from quarry.plans.catalogue import _COMBINED, _EASY, _HASH, _PAGE, _SCORED, _TERM_ROWS, _TREND, _occurrences, ITEMS, LEXICON, QUALITY, TRENDING, _any, _words, now, query, scored_items, stored_items
+from quarry.plans.catalogue import _COMBINED, _EASY, _HASH, _PAGE, _SCORED, _SEEN, _TERM_ROWS, _TREND, _occurrences, ITEMS, LEXICON, QUALITY, TRENDING, _any, _words, now, query, scored_items, stored_items
 from quarry.plans.catalogue import AS_OF, _BYKEY, _DIRECT, _TOLD, _list
 from quarry.sources import content
 from quarry.sources.content import items, table
+from quarry.streaming import windows
 
 
 @query(f"""WITH {ITEMS} SELECT id, CASE WHEN id % 4 < 2 THEN array_to_string(keywords, '|') ELSE '' END AS keywords, CASE WHEN id % 5 = 0 THEN 'en' ELSE language END AS language, 'Unknown' AS source_name, CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE ELSE quality_score END AS quality_score FROM items""")
@@ -182,12 +183,17 @@ def trend_ingest(spark, d):
     return trending.ingested(items(spark, d), LEXICON, now()).withColumn("hours", F.round("hours", 6))
 
 
-@query(f"""{_TREND} SELECT (SELECT count(*) FROM t) AS active, (SELECT count(*) FROM t WHERE is_trending) AS detected, 1 AS cooling, 3 AS generated,
+@query(f"""{_TREND.replace('WITH a AS', 'WITH RECURSIVE o AS (SELECT term, ts, row_number() OVER (PARTITION BY term ORDER BY ts) AS k FROM ' + _SEEN + f" WHERE ts <= TIMESTAMP '{AS_OF}'), g AS (SELECT term, k, ts AS last FROM o WHERE k = 1 UNION ALL SELECT o.term, o.k, CASE WHEN o.ts - g.last >= INTERVAL 6 HOUR THEN o.ts ELSE g.last END FROM g JOIN o ON o.term = g.term AND o.k = g.k + 1), a AS", 1)}
+SELECT (SELECT count(*) FROM t) AS active, (SELECT count(*) FROM t WHERE is_trending) AS detected, (SELECT count(*) FROM (SELECT term, max(last) AS last FROM g GROUP BY 1) WHERE last > TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR) AS cooling, (SELECT least(count(*), 100) * 4 FROM t WHERE is_trending) AS generated,
 (SELECT string_agg(term, ',' ORDER BY trend_score DESC, term) FROM (SELECT * FROM t WHERE is_trending ORDER BY trend_score DESC, term LIMIT 100)) AS current""")
 def trend_stats(spark, d):
-    """T15."""
-    scored = trending.scored(trending.counts(_occurrences(spark, d), now()), _EASY)
-    return trending.statistics(scored, spark.range(1), spark.range(3)).select("active", "detected", F.col("cooling").cast("int").alias("cooling"), F.col("generated").cast("int").alias("generated"), F.array_join("current", ",").alias("current"))
+    """A term cools for six hours after it was last granted; the queries are those of the trending terms."""
+    seen = _occurrences(spark, d)
+    scored = trending.scored(trending.counts(seen, now()), _EASY)
+    granted = windows.cooldown(seen.where(F.col("ts") <= now()).select("term", F.col("ts").cast("timestamp").alias("ts"))).where("granted").groupBy("term").agg(F.max("ts").alias("last"))
+    cooling = granted.where(F.col("last").cast("timestamp_ntz") > now() - F.expr("INTERVAL 6 HOURS"))
+    hot = trending.detect(scored, _EASY).select("term", F.lit("keyword").alias("type"), F.lit(None).cast("string").alias("context"), F.array().cast("array<string>").alias("related"), "trend_score", "burst_ratio", F.lit(None).cast("double").alias("hours_since_peak"))
+    return trending.statistics(scored, cooling, trending.discovery_queries(hot)).select("active", "detected", "cooling", "generated", F.array_join("current", ",").alias("current"))
 
 
 @query(f"{_TREND}, best AS (SELECT term FROM t ORDER BY trend_score DESC, term LIMIT 10) SELECT term, term || ' ' || w AS query FROM best, (SELECT unnest({_list(rows.TEMPLATES)}) AS w)")
