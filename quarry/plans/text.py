@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import quality as q, text as t
 from quarry.operators import languages, lexicon
+from quarry.sources import feeds
+from quarry.sources.working import folder
 from quarry.plans.catalogue import ITEMS, _LANGUAGE, _words, items, query, table
 
 _TOP = languages.TOP
@@ -41,3 +45,19 @@ def lexicon_terms(spark: SparkSession, d: str) -> DataFrame:
     three = said.where(F.size("p") >= 3).select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda i: F.array_join(F.slice("p", i, 3), " "))).alias("term"))
     terms = three.groupBy("term").agg(F.concat(F.lit("b"), F.min("item_id")).alias("kind"))
     return lexicon.found(items(spark, d).select("id", "text"), terms).select("id", "term", "kind")
+
+
+@query("SELECT 'f' || CAST(page_id % 5 AS VARCHAR) AS feed, CAST(row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS INTEGER) AS pos, url, 'Page ' || CAST(page_id AS VARCHAR) AS title FROM pages QUALIFY url IS NOT NULL AND trim(url) <> ''")
+def feed_source(spark: SparkSession, d: str) -> DataFrame:
+    """SC4: the pages' addresses as five stored RSS files, one a feed, read by the data source."""
+    path = f"{folder(spark)}/feeds-{uuid.uuid4().hex}"
+    escaped = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escaped, F.lit("</link></item>"))
+    lines = table(spark, d, "pages").select(F.concat(F.lit("f"), F.col("page_id") % 5).alias("feed"), "page_id", item.alias("value"))
+    for k in range(5):
+        own = lines.where(F.col("feed") == f"f{k}").select(F.struct(F.lit(1).alias("part"), "page_id").alias("place"), "value")
+        frame = spark.sql("SELECT named_struct('part', n, 'page_id', CAST(0 AS BIGINT)) AS place, value FROM VALUES (0, '<rss><channel>'), (2, '</channel></rss>') AS t(n, value)")
+        whole = own.unionByName(frame)
+        feeds.stored(whole, path, f"f{k}")
+    feeds.register(spark)
+    return spark.read.format("feeds").option("path", path).load().select("feed", "pos", "url", "title")

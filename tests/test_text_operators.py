@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import languages, lexicon, stats
 from quarry.plans import catalogue
+from quarry.sources import feeds
+from quarry.streaming import windows
 
 
 def test_profiles_on_held_out_items(spark):
@@ -50,3 +52,25 @@ def test_lexicon_is_plain_search(spark, monkeypatch, whole_words, most):
 def test_report_writes_json_lines(spark, tmp_path):
     stats.report(spark.createDataFrame([(1, "a"), (2, None)], "n int, s string"), str(tmp_path / "r"))
     assert sorted(map(tuple, spark.read.schema("n int, s string").json(str(tmp_path / "r")).collect()), key=str) == [(1, "a"), (2, None)]
+
+
+def test_feeds_as_batch_and_stream(spark, tmp_path):
+    feeds.register(spark)
+    files = {
+        "a.xml": "<rss><channel><title>t</title><item><title>one</title><link> http://a/1 </link><pubDate>d</pubDate></item><item><title>no link</title></item><item><link>http://a/2</link></item></channel></rss>",
+        "b.xml": "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>x</title><link href='http://b/1'/><published>2024</published></entry></feed>",
+        "c.xml": "<urlset><url><loc>http://c/1</loc><lastmod>2023</lastmod></url></urlset>", "bad.xml": "<rss><channel><item><link>http://x</link></item>", "empty.xml": "", "note.md": "<rss/>",
+    }
+    for name, text in files.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    want = {("a", 0, "http://a/1", "one", "d"), ("a", 2, "http://a/2", None, None), ("b", 0, "http://b/1", "x", "2024"), ("c", 0, "http://c/1", None, "2023")}
+    path = f"file://{tmp_path}/in"
+    assert {tuple(r) for r in spark.read.format("feeds").option("path", path).load().collect()} == want
+    assert spark.read.format("feeds").option("path", f"file://{tmp_path}/none").load().count() == 0
+    stream = lambda: windows.drained(spark.readStream.format("feeds").option("path", path).load(), str(tmp_path / "out"), str(tmp_path / "state"))
+    stream()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    (tmp_path / "in/d.xml").write_text("<urlset><url><loc>http://d/1</loc></url></urlset>")
+    stream()
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["http://a/1", "http://a/2", "http://b/1", "http://c/1", "http://d/1"]
