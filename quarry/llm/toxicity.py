@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words (states: clean, toxic).
 
-Documents carry one label each, so tokens are labelled from them first: a word is toxic where the toxic documents of
-the sample hold it far more often than the clean ones. The chain is fitted to those token labels by gradient ascent on
-its log-likelihood (forward-backward). A word's potential depends on the word and on whether its neighbours are in the
-vocabulary too. A logistic curve maps the marginals of a document's tagged words to its label.
+Documents carry one label each, so tokens are labelled from them: a word that the toxic documents of the sample hold far
+more often than the clean ones is suspect, and a suspect word is toxic in a toxic document and clean in a clean one. The chain is fitted to those token labels by gradient ascent on
+its log-likelihood (forward-backward). A word's potential depends on the word, on which words stand before and after it, and on whether these are in the
+vocabulary too; so one word may be tagged in one sentence and not in another. A logistic curve maps the marginals of a document's tagged words to its label.
 
 Scoring runs over whole texts. Words outside the model's vocabulary share one potential, so a stretch of m of them is the
 m-th power of one 2 x 2 matrix; the exact marginals come from the words of the vocabulary and those powers.
@@ -11,7 +11,7 @@ m-th power of one 2 x 2 matrix; the exact marginals come from the words of the v
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ TRAIN_DOCS = 4_000
 LEANING = 3.0
 #: Tokens in one training sequence, bytes scored at once, steps of gradient ascent.
 WINDOW, BYTES_AT_ONCE, STEPS = 48, 4_000_000, 60
+#: A word is suspect if this share of its documents is toxic, and twice the share of all documents (or, where most are toxic, half of the way to all); a neighbour of suspect words has potentials from so many occurrences on.
+SUSPECT, NEIGHBOURS = 0.4, 5
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,9 @@ class Model:
     move: np.ndarray  # (2, 2) transition scores
     start: np.ndarray  # (2,)
     curve: tuple[float, float]  # slope and intercept from a document's evidence to its logit
+    near: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted; words that count as neighbours of those of the vocabulary
+    before: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))  # (len(near) + 1, 2); added for the word before; the last row, of any other, is 0
+    after: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))  # and for the word after
 
 
 def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,21 +87,37 @@ def _fit(h: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Model:
     in_all = np.bincount(word, minlength=len(found))
     in_toxic = np.bincount(word[toxic[doc]], minlength=len(found))
     z = (in_toxic - in_all * share) / np.sqrt(in_all * share * (1 - share))
-    # A word is toxic if most of its documents are, and that can't be chance among so many words (a tail bound on the binomial).
+    # A word is suspect if many of its documents are toxic, and that can't be chance among so many words (a tail bound on the binomial).
     q = np.clip(in_toxic / in_all, 1e-9, 1 - 1e-9)
     surprise = in_all * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
-    bad = (q >= 0.8) & (surprise >= np.log(len(found)) + 3)
+    bad = (q >= max(SUSPECT, min(2 * share, (1 + share) / 2))) & (surprise >= np.log(len(found)) + 3)
     if not bad.any():
         return none
     kept = np.flatnonzero(bad | (z >= LEANING))
     place = np.full(len(found), len(kept))
     place[kept] = np.arange(len(kept))
-    token, label = place[code], bad[code].astype(np.int64)
-    fitted = _ascend(token, label, sizes, len(kept) + 1)
-    model = Model(found[kept], *fitted, (1.0, 0.0))
+    token, label = place[code], (bad[code] & toxic[row]).astype(np.int64)
+    suspects = np.flatnonzero(bad[code])
+    beside = np.concatenate([h[suspects[suspects > 0] - 1], h[suspects[suspects < len(h) - 1] + 1]])
+    near, times = np.unique(beside, return_counts=True)
+    near = near[times >= NEIGHBOURS]
     own = np.flatnonzero(token < len(kept))
-    x = _evidence(_chain(model, token[own], _place(sizes, own), row[own], sizes)[2], token[own], row[own], len(sizes), len(kept))
-    return Model(found[kept], *fitted, _logistic(x, toxic.astype(float)))
+    sides = _beside(near, h, own, row)
+    emit, context, move, start, before, after = _ascend(token, label, sizes, len(kept) + 1, own, sides, len(near))
+    model = Model(found[kept], emit, context, move, start, (1.0, 0.0), near, before, after)
+    x = _evidence(_chain(model, token[own], _place(sizes, own), row[own], sizes, sides)[2], token[own], row[own], len(sizes), len(kept))
+    return replace(model, curve=_logistic(x, toxic.astype(float)))
+
+
+def _beside(near: np.ndarray, h: np.ndarray, own: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the words at `own` the number in `near` of the word before and of the word after in their row; len(near) for none."""
+    out = []
+    for step in (-1, 1):
+        at = np.clip(own + step, 0, max(len(h) - 1, 0))
+        i = np.minimum(np.searchsorted(near, h[at]), max(len(near) - 1, 0))
+        known = (at == own + step) & (row[at] == row[own]) & (near[i] == h[at] if len(near) else False)
+        out.append(np.where(known, i, len(near)))
+    return out[0], out[1]
 
 
 def _context(place: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -113,8 +134,10 @@ def _place(sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own - np.repeat(begin, sizes)[own]
 
 
-def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """emit, context, move, start that maximise the log-likelihood of the labels (Adam, L2), over the text's windows side by side.
+def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int, words: np.ndarray, sides: tuple[np.ndarray, np.ndarray], m: int) -> tuple[np.ndarray, ...]:
+    """emit, context, move, start, before, after that maximise the log-likelihood of the labels (Adam, L2), over the text's windows side by side.
+
+    words: places of the vocabulary's tokens, sides: their neighbours' numbers of m (see _beside()).
 
     Windows without words of the vocabulary are alike if of one length, so each length has one, with its number as weight.
     """
@@ -122,6 +145,8 @@ def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) ->
     vocabulary = token < n - 1
     context = np.full(len(token), 4)  # words outside the vocabulary have none
     context[vocabulary] = _context(_place(sizes, np.flatnonzero(vocabulary)), row[vocabulary])
+    left, right = np.full(len(token), m), np.full(len(token), m)
+    left[words], right[words] = sides
     inside = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     first = np.flatnonzero(inside % WINDOW == 0)
     length = np.diff(np.r_[first, len(token)])
@@ -131,42 +156,52 @@ def _ascend(token: np.ndarray, label: np.ndarray, sizes: np.ndarray, n: int) ->
     first, times = first[some[order]], times[order].astype(float)
     length = length[some[order]]
     own = np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    token, label, context, first = token[own], label[own], context[own], np.cumsum(length) - length
+    token, label, context, left, right, first = token[own], label[own], context[own], left[own], right[own], np.cumsum(length) - length
     each = np.repeat(times, length)
     live = [int(np.searchsorted(-length, -t, "right")) for t in range(1, WINDOW + 1)]  # windows with t tokens or more come first
     at = [first[: live[t]] + t for t in range(WINDOW)]
-    zeros = lambda: [np.zeros((n, 2)), np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2)]
+    held = [(0, token, n), (1, context, 5), (4, left, m + 1), (5, right, m + 1)]  # potentials of single words: which, by what, how many
+    zeros = lambda: [np.zeros((n, 2)), np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros((m + 1, 2)), np.zeros((m + 1, 2))]
     weight, seen, mean, square = zeros(), zeros(), zeros(), zeros()
-    np.add.at(seen[0], (token, label), each)
-    np.add.at(seen[1], (context, label), each)
+    for k, by, _ in held:
+        np.add.at(seen[k], (by, label), each)
     for t in range(1, WINDOW):
         np.add.at(seen[2], (label[at[t] - 1], label[at[t]]), times[: live[t]])
     np.add.at(seen[3], label[at[0]], times)
     for step in range(1, STEPS + 1):
-        e, m = np.exp(weight[0][token] + weight[1][context]), np.exp(weight[2])
-        alpha, norm = np.empty((len(token), 2)), np.empty(len(token))
-        a = np.exp(weight[3]) * e[at[0]]
-        for t in range(WINDOW):
-            if t:
-                a = (alpha[at[t] - 1] @ m) * e[at[t]]
-            norm[at[t]] = c = a.sum(1)
-            alpha[at[t]] = a / c[:, None]
-        beta, expected = np.ones((len(token), 2)), zeros()
-        for t in range(WINDOW - 1, 0, -1):
-            i = at[t]
-            back = e[i] * beta[i] / norm[i][:, None]
-            expected[2] += ((alpha[i - 1] * times[: live[t], None]).T @ back) * m
-            beta[i - 1] = back @ m.T
-        p = alpha * beta * each[:, None]
-        for s in (0, 1):
-            expected[0][:, s], expected[1][:, s], expected[3][s] = np.bincount(token, p[:, s], n), np.bincount(context, p[:, s], 5), p[at[0], s].sum()
-        for k in range(4):
-            d = (seen[k] - expected[k]) / times.sum() - 1e-5 * weight[k]
+        expected, _ = _expected(weight, held, at, live, times, each)
+        for k in range(6):
+            d = (seen[k] - expected[k]) / times.sum() - (1e-5 if k < 4 else 1e-4) * weight[k]
             mean[k] = 0.9 * mean[k] + 0.1 * d
             square[k] = 0.99 * square[k] + 0.01 * d * d
             weight[k] = weight[k] + 0.3 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-        weight[1][4] = 0
-    return weight[0], weight[1][:4], weight[2], weight[3]
+        weight[1][4] = weight[4][m] = weight[5][m] = 0
+    return weight[0], weight[1][:4], weight[2], weight[3], weight[4], weight[5]
+
+
+def _expected(weight: list, held: list, at: list, live: list, times: np.ndarray, each: np.ndarray) -> tuple[list, float]:
+    """The expected counts of what each potential counts, by forward-backward over the windows, and the sum of their log Z."""
+    score = sum(weight[k][by] for k, by, _ in held)
+    e, m = np.exp(score), np.exp(weight[2])
+    alpha, norm = np.empty((len(score), 2)), np.empty(len(score))
+    a = np.exp(weight[3]) * e[at[0]]
+    for t in range(len(at)):
+        if t:
+            a = (alpha[at[t] - 1] @ m) * e[at[t]]
+        norm[at[t]] = c = a.sum(1)
+        alpha[at[t]] = a / c[:, None]
+    beta, expected = np.ones((len(score), 2)), [np.zeros_like(w) for w in weight]
+    for t in range(len(at) - 1, 0, -1):
+        i = at[t]
+        back = e[i] * beta[i] / norm[i][:, None]
+        expected[2] += ((alpha[i - 1] * times[: live[t], None]).T @ back) * m
+        beta[i - 1] = back @ m.T
+    p = alpha * beta * each[:, None]
+    for s in (0, 1):
+        for k, by, size in held:
+            expected[k][:, s] = np.bincount(by, p[:, s], size)
+        expected[3][s] = p[at[0], s].sum()
+    return expected, float((np.log(norm) * each).sum())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -191,13 +226,15 @@ def _evidence(p: np.ndarray, token: np.ndarray, row: np.ndarray, n: int, words:
     return np.bincount(key // words, p[tagged][order][top], n)
 
 
-def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chain(model: Model, token: np.ndarray, place: np.ndarray, row: np.ndarray, sizes: np.ndarray, sides: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row log Z and the score of the all-clean path; per token of the vocabulary P(toxic).
 
-    token, place, row: the vocabulary's tokens in order, their position in their row, and their row of sizes.
+    token, place, row: the vocabulary's tokens in order, their position in their row, and their row of sizes; sides: their neighbours (see _beside(); none if left out).
     """
     n, k = len(sizes), len(model.hashes)
     own = model.emit[token] + model.context[_context(place, row)]
+    if sides is not None:
+        own = own + model.before[sides[0]] + model.after[sides[1]]
     e, m, e0 = np.exp(own), np.exp(model.move), np.exp(model.emit[k])
     step = m * e0  # one word outside the vocabulary
     values, vectors = np.linalg.eig(step)
@@ -294,7 +331,7 @@ def _scored(batch: pa.RecordBatch, model: Model, spans: bool) -> pa.RecordBatch:
     i = np.searchsorted(model.hashes, h)
     i[i == len(model.hashes)] = 0
     own = np.flatnonzero(model.hashes[i] == h) if len(model.hashes) else np.zeros(0, np.int64)
-    _, _, p = _chain(model, i[own], _place(sizes, own), row[own], sizes)
+    _, _, p = _chain(model, i[own], _place(sizes, own), row[own], sizes, _beside(model.near, h, own, row))
     x = _evidence(p, i[own], row[own], batch.num_rows, max(1, len(model.hashes)))
     value = 1 / (1 + np.exp(-(model.curve[0] * x + model.curve[1])))
     out = [batch.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))]

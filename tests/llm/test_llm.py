@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import threading
@@ -640,6 +641,61 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_toxicity_beats_the_majority_and_ranks(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["score"], r["predicted"], r["toxic"]) for r in toxicity.scored(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, spans=False).join(labels, "doc_id").where("held_out").collect()]
+    s, predicted, y = (np.array(x) for x in zip(*rows, strict=True))
+    assert np.mean(predicted == y) > 1 - y.mean() + 0.08
+    values, at, n = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    one = y.sum()
+    assert (rank[y == 1].sum() - one * (one + 1) / 2) / (one * (len(y) - one)) > 0.93
+
+
+def test_one_word_is_tagged_by_its_neighbours(spark):
+    """`kill` is toxic before a person and harmless before a process, and neither alone is; new sentences are tagged accordingly, as no word list could."""
+    rng = random.Random(1)
+    filler = ["we", "should", "now", "please", "then", "again", "today", "maybe", "often", "later"]
+    said = lambda *core: " ".join([*rng.choices(filler, k=4), *core, *rng.choices(filler, k=4)])
+    texts = [(said("kill", "them"), 1) for _ in range(200)] + [(said("kill", "process"), 0) for _ in range(80)] + [(said("help", "them"), 0) for _ in range(150)] + [(said("stop", "process"), 0) for _ in range(170)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(1, "they will kill them tomorrow"), (2, "they will kill process seven tomorrow"), (3, "kill them and kill process nine")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in toxicity.score(new, model).collect()}
+    word = lambda k, at: any(s["start"] == at for s in found[k]["spans"])
+    assert word(1, 10) and not word(2, 10) and word(3, 0) and not word(3, 19)
+    assert found[1]["predicted"] == 1 and found[2]["predicted"] == 0
+
+
+def test_slopes_of_the_fit_are_those_of_all_paths():
+    """Expected counts and log Z of a few short windows against sums over every path."""
+    rng = np.random.default_rng(4)
+    n, m, sizes = 3, 2, np.array([3, 2, 1])
+    token, context, left, right = rng.integers(0, n, 6), rng.integers(0, 5, 6), rng.integers(0, m + 1, 6), rng.integers(0, m + 1, 6)
+    times = np.array([1.0, 2.0, 3.0])
+    weight = [rng.normal(size=(k, 2)) for k in (n, 5)] + [rng.normal(size=(2, 2)), rng.normal(size=2)] + [rng.normal(size=(m + 1, 2)) for _ in range(2)]
+    first = np.array([0, 3, 5])
+    at, live = [first[:3], first[:2] + 1, first[:1] + 2], [3, 2, 1]
+    held = [(0, token, n), (1, context, 5), (4, left, m + 1), (5, right, m + 1)]
+    got, log_z = toxicity._expected(weight, held, at, live, times, np.repeat(times, sizes))
+    want, total = [np.zeros_like(w) for w in weight], 0.0
+    for f, size, time in zip(first, sizes, times, strict=True):
+        paths = list(itertools.product((0, 1), repeat=int(size)))
+        score = lambda p, f=f: weight[3][p[0]] + sum(weight[k][by[f + i], s] for i, s in enumerate(p) for k, by, _ in held) + sum(weight[2][a, b] for a, b in itertools.pairwise(p))
+        z = sum(np.exp(score(p)) for p in paths)
+        total += time * np.log(z)
+        for p in paths:
+            share = time * np.exp(score(p)) / z
+            want[3][p[0]] += share
+            for i, s in enumerate(p):
+                for k, by, _ in held:
+                    want[k][by[f + i], s] += share
+            for a, b in itertools.pairwise(p):
+                want[2][a, b] += share
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True)) and np.isclose(log_z, total)
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(2)
     model = toxicity.Model(np.array([5, 9], np.uint64), rng.normal(size=(3, 2)), rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), (1.0, 0.0))
