@@ -2,21 +2,23 @@
 
 A payload is stored losslessly as the samples of a WAV file (mono, unsigned 8 bit). Features come from the stored bytes
 read back: polyphase resampling, overlapped log-mel filterbanks, and segments by energy with hysteresis. The
-filterbank of each clip is pooled to one fixed shape, which as_tensor() gives as an Arrow fixed-shape tensor.
+filterbank of each clip is pooled to one fixed shape; tasks store it with the time spans as Arrow's fixed-shape tensor in files of the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import materialize, runs
+from .common import discard, materialize, runs, work_dir
 
 #: Samples per second as stored, and the resampling ratio (up / down) and its taps per phase.
 RATE, UP, DOWN, TAPS = 16_000, 1, 4, 16
@@ -159,10 +161,60 @@ def analysed(payloads: list[bytes]) -> tuple[np.ndarray, list[list[dict]], list[
     return tensor, spans, digest
 
 
+#: Tensors are stored in whole 1/1000, as analysed() rounds them.
+TENSOR = pa.fixed_shape_tensor(pa.int16(), SHAPE)
+
+
 def as_tensor(column: pa.Array) -> pa.FixedShapeTensorArray:
-    """A tensor column (array<float>) as Arrow's fixed-shape tensor of SHAPE."""
-    flat = pc.list_flatten(column).cast(pa.float32())
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), pa.FixedSizeListArray.from_arrays(flat, STEPS * MELS))
+    """A tensor column (array<float>) as Arrow's fixed-shape tensor of SHAPE, in whole 1/1000."""
+    whole = np.clip(np.rint(np.asarray(pc.list_flatten(column), np.float64) * 1000), -32768, 32767).astype(np.int16)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(whole), STEPS * MELS))
+
+
+def as_lists(column: pa.FixedShapeTensorArray) -> pa.Array:
+    """What as_tensor() was made of."""
+    flat = (np.asarray(column.storage.flatten()).astype(np.float64) / 1000).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, STEPS * MELS, dtype=np.int32)), pa.array(flat))
+
+
+def filed(found: DataFrame, path: str) -> DataFrame:
+    """Write features() as Arrow files below path, one a task, with the tensors as TENSOR; file and rows of each.
+
+    A file counts once Spark has taken its task's row, so what a lost or repeated task wrote is named by none.
+    """
+
+    def run(batches):
+        store, root = pafs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        name, rows, writer = f"{root}/{uuid.uuid4().hex}.arrow", 0, None
+        with store.open_output_stream(name) as sink:
+            for batch in batches:
+                part = batch.set_column(batch.schema.get_field_index("tensor"), pa.field("tensor", TENSOR), as_tensor(batch.column("tensor")))
+                writer = writer or pa.ipc.new_file(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(part)
+                rows += part.num_rows
+            if writer is not None:
+                writer.close()
+        if rows:
+            yield pa.record_batch([pa.array([name]), pa.array([rows], pa.int64())], ["file", "rows"])
+
+    return found.mapInArrow(run, "file string, rows long")
+
+
+def read_back(files: DataFrame, path: str, kind) -> DataFrame:
+    """The rows of the Arrow files that filed() names, of schema kind; each task reads files of its own."""
+
+    def run(batches):
+        store, _ = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with store.open_input_file(name) as source, pa.ipc.open_file(source) as held:
+                    for k in range(held.num_record_batches):
+                        part = held.get_batch(k)
+                        at = part.schema.get_field_index("tensor")
+                        yield part.set_column(at, "tensor", as_lists(part.column(at)))
+
+    return files.repartition(max(1, files.count())).mapInArrow(run, kind)
 
 
 def features(media: DataFrame, tensors: bool = True) -> DataFrame:
@@ -170,7 +222,7 @@ def features(media: DataFrame, tensors: bool = True) -> DataFrame:
 
     One row for each row, repeated ones too; a null clip fails, as store() never writes one. Equal texts have equal values. Clips are
     analysed about BYTES_AT_ONCE together; a longer one is analysed whole, at some tens of bytes of memory a byte. The tensor is SHAPE
-    flattened by rows, the storage of as_tensor().
+    flattened by rows, for as_tensor().
     """
 
     def run(batches):
@@ -193,5 +245,12 @@ def features(media: DataFrame, tensors: bool = True) -> DataFrame:
 
 
 def stored_features(spark: SparkSession, docs: DataFrame, tensors: bool = True) -> DataFrame:
-    """Write the media table to the shared folder, and compute features from the bytes read back."""
-    return features(materialize(spark, store(docs), "media"), tensors)
+    """Write the media table to the shared folder, compute features from the bytes read back, and with tensors write these as Arrow files and read them back too."""
+    held = materialize(spark, store(docs), "media")
+    found = features(held, tensors)
+    if not tensors:
+        return found
+    path = f"{work_dir(spark)}/quarry/tensors-{uuid.uuid4().hex}"
+    files = materialize(spark, filed(found, path), "tensor-files")
+    discard(spark, held)
+    return read_back(files, path, found.schema)

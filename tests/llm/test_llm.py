@@ -446,7 +446,22 @@ def test_media(spark, docs):
         assert r["media_sha256"] == hashlib.sha256(media.wav(payload)).hexdigest() and len(r["tensor"]) == media.STEPS * media.MELS
         assert all(a["start"] < a["end"] for a in r["spans"])
     tensor = media.as_tensor(pa.array([rows[0]["tensor"], rows[1]["tensor"]], pa.list_(pa.float32())))
-    assert tensor.to_numpy_ndarray().shape == (2, *media.SHAPE)
+    assert tensor.to_numpy_ndarray().shape == (2, *media.SHAPE) and media.as_lists(tensor).to_pylist() == [rows[0]["tensor"], rows[1]["tensor"]]
+
+
+def test_tensor_files(spark, docs, tmp_path):
+    """The files that tasks write hold Arrow's tensor type, and their rows are those of the features."""
+    found = media.features(materialize(spark, media.store(docs), "media"))
+    files = materialize(spark, media.filed(found, f"file://{tmp_path}/t"), "tensor-files")
+    named = files.collect()
+    assert sum(r["rows"] for r in named) == docs.count()
+    for r in named:
+        with pa.ipc.open_file(pa.OSFile(r["file"])) as held:
+            table = held.read_all()
+        assert table.schema.field("tensor").type == media.TENSOR and table.column("tensor").combine_chunks().to_numpy_ndarray().shape == (r["rows"], *media.SHAPE)
+    (tmp_path / "t/left-by-a-lost-task.arrow").write_bytes(b"half a file")
+    back = media.read_back(files, f"file://{tmp_path}/t", found.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, found.collect()))
 
 
 @pytest.mark.parametrize(("up", "down"), [(1, 4), (3, 2), (2, 1), (1, 1)])
