@@ -289,7 +289,7 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, texts_at_once: int = 512) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every row of docs.
 
-    Null text counts as empty: no ids, empty decoded text. Repeated rows and null ids are kept as they are; other
+    Null text counts as empty: no ids, empty decoded text. A text beyond LEAF is encoded by tree concatenation, in one task and whole in memory. Repeated rows and null ids are kept as they are; other
     columns of docs are not read. `path` must be readable on every executor (the tokenizer file is a parameter).
     """
 

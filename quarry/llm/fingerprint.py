@@ -151,7 +151,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text, of its edited text and their likeness (columns: KIND), one row for each row of docs.
 
     The next document is that with the next smaller doc_id, after the last the first (a sole document follows itself).
-    Null text counts as empty: its sketch is empty. Equal texts have equal fingerprints. Other columns are not read.
+    Null text counts as empty: its sketch is empty. Equal texts have equal fingerprints. Other columns are not read. Rows of one doc_id
+    follow each other in the order in which Spark sorts them, null ids come last. A very long text is hashed whole, at some tens of bytes of memory a character.
     """
 
     def run(batches):

@@ -265,7 +265,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected, entropy (nats per character) of every row of docs, whole texts.
 
     lang_pred is `und` (score 0, rejected) where the text is null, has no letter, or no language could be learned; ties go to
-    the first language by name. Repeated rows and null ids stay. Other columns of docs are not read.
+    the first language by name. Repeated rows and null ids stay. Other columns of docs are not read. A text is taken whole, however
+    long: its memory is some tens of bytes a character, in pieces of CHARS_AT_ONCE.
     """
 
     def run(batches):

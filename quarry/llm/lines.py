@@ -155,6 +155,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     Blank lines always stay, and so do null texts. Words are what white space separates. A document whose lines
     all go stays with an empty text. Null ids come first and count as one document, as do repeated rows of one id: their
     lines are dropped alike, never against each other. Other columns stay; n_lines and n_removed are replaced where docs has them.
+    A very long text is one row of its lines once, when they are numbered and when they are joined again; lines themselves are compared by hashed blocks.
     """
     spark = docs.sparkSession
     gone = repeated(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "id")

@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, copies (rows with exactly this text): one row for each row of docs.
 
     Texts whose probability Jaccard, or that of their shingle sets, is `threshold` or more are linked; a class is a connected component and its id is the
-    least doc_id in it. Rows of one doc_id count as one document. Equal texts are one class, an empty text only with empty texts. Texts without words are linked
+    least doc_id in it. Shingles of a very long text are made whole, at some hundred bytes of memory a word; every pair at the threshold links, so
+    ties have no part. Rows of one doc_id count as one document. Equal texts are one class, an empty text only with empty texts. Texts without words are linked
     only to equal ones, a null text or a null id to nothing (class_id is the row's own id). Other columns are not read.
     """
     found = docs.select("doc_id", _same().alias("same")).join(classes(docs, threshold), "same", "left")

@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     """docs with each row repeated to its source's target rate, in a global random order; adds copy (from 1) and order_key.
 
     Null sources and '' are one source. A null or empty text has no size but is repeated like its source's other rows.
-    Rows of equal doc_id draw the same count. Columns named copy or order_key are replaced; the others stay.
+    Rows of equal doc_id draw the same count, so repeated rows are repeated alike; ties in order_key are of equal rows. Very long texts move as they are. Columns named copy or order_key are replaced; the others stay.
     Sorting the result by order_key gives the global order; a written result has it as the order of files and rows.
     """
     spark = docs.sparkSession

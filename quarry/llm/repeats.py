@@ -312,7 +312,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller doc_id; strings are judged on the
     texts as they are. Null text counts as empty. Rows of one doc_id never remove each other's bytes; a null doc_id neither
-    removes nor loses any. Other columns are not read.
+    removes nor loses any. Other columns are not read. Of a string in several documents the one of the least doc_id keeps it. Very long texts are hashed in
+    overlapping pieces; only their removed spans and the text itself are held whole.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))

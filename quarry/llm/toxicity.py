@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """doc_id, score (0 to 1), predicted, and spans of toxic words (start, end in code points, P) of every row of docs.
 
     A null or empty text has no tokens: it gets the score of a document in which nothing is toxic, and no spans. Repeated
-    rows and null ids stay. Other columns of docs are not read.
+    rows and null ids stay. Other columns of docs are not read. A very long text is scored whole, at some tens of bytes of memory a byte; equal texts have equal scores.
     """
 
     def run(batches):
