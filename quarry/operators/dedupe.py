@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
-from quarry.sources.working import written
+from quarry.sources.working import dropped, written
 
 #: Components, and bands by rows: two sets at .8 share a band with probability .998.
 PERMUTATIONS, BANDS, ROWS = 128, 21, 6
@@ -58,30 +58,42 @@ def signatures(sets: DataFrame) -> DataFrame:
     return least.select("id", F.array(*[f"m{k}" for k in range(PERMUTATIONS)]).alias("sig"))
 
 
-def lsh(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
-    """Id, duplicate_of: items that share a band with earlier ones, the least of these; verified by Jaccard unless told not to."""
-    return matches(items, threshold, verify).groupBy("id").agg(F.min("first").alias("duplicate_of"))
+def _banded(sets: DataFrame) -> DataFrame:
+    """id, band, leader (the band's least id) of the sets that share a band."""
+    bands = signatures(sets).select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])).alias("band"))
+    least = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return bands.join(least, "band")
+
 
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (id, first) whose sets reach the threshold."""
+    theirs = sets.select(F.col("id").alias("first"), F.col("set").alias("other"))
+    return pairs.join(sets, "id").join(theirs, "first").where(t.jaccard(F.col("set"), F.col("other")) >= threshold - 1e-9).select("id", "first")
 
-def matches(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
-    """Id, first: each item with the earlier ones that share a band with it and, unless told not to, reach the threshold.
 
-    Unverified, the least id of a band is the answer for all of it. Verified, any earlier member may be, so all that share one
-    of the rarest shingles of either (as in jaccard_pairs) meet within their band.
+def lsh(items: DataFrame, threshold: float = 0.8, verify: bool = True) -> DataFrame:
+    """Id, duplicate_of: items that share a band with earlier ones, the least of these; verified by Jaccard unless told not to.
+
+    Unverified, the least id of a band is the answer for all of it. Verified, each item is first compared with the leaders of its bands, which settles
+    groups of copies with one pair an item and band. Where a leader is no match and less than the best one found, the members between the two may be: those
+    that share one of the rarest shingles of either set (as in jaccard_pairs) are compared, so only items that no leader is like can meet many others.
     """
     sets = written(distinct_texts(items), "sets")
-    signed = signatures(sets)
-    bands = signed.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)])).alias("band"))
-    least = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = written(bands.join(least, "band"), "bands")
+    met = written(_banded(sets), "bands")
     if not verify:
-        return met.where("id > first").select("id", "first").distinct()
-    some = sets.join(met.select("id").distinct(), "id", "left_semi")
-    keyed = met.select("id", "band").join(prefixes(some, threshold), "id")
-    a, b = keyed.select("band", "h", F.col("id").alias("first"), F.col("n").alias("na")), keyed.select("band", "h", "id", F.col("n").alias("nb"))
-    pairs = a.join(b, ["band", "h"]).where(f"first < id AND na >= nb * {threshold} AND nb >= na * {threshold}").select("id", "first").distinct()
-    one, two = some, some.select(F.col("id").alias("first"), F.col("set").alias("theirs"))
-    return pairs.join(one, "id").join(two, "first").where(t.jaccard(F.col("set"), F.col("theirs")) >= threshold - 1e-9).select("id", "first")
+        return met.where("id > leader").groupBy("id").agg(F.min("leader").alias("duplicate_of"))
+    led = written(_alike(met.where("id > leader").select("id", F.col("leader").alias("first")).distinct(), sets, threshold), "led")
+    best = led.groupBy("id").agg(F.min("first").alias("best"))
+    open_ = met.where("id > leader").join(best, "id", "left").where("best IS NULL OR leader < best")
+    keyed = written(met.join(prefixes(sets.join(met.select("id").distinct(), "id", "left_semi"), threshold), "id"), "keyed")
+    own = open_.select("id", "band", "best").join(keyed.select("id", "band", "n", "h"), ["id", "band"])
+    earlier = keyed.where("id > leader").select("band", "h", F.col("id").alias("first"), F.col("n").alias("m"))
+    size = f"n >= m * {threshold} AND m >= n * {threshold}"
+    free = own.where("best IS NULL").join(earlier, ["band", "h"]).where(f"first < id AND {size}")
+    below = earlier.join(own.where("best IS NOT NULL").groupBy("band").agg(F.max("best").alias("most")), "band").where("first < most").drop("most")
+    bound = own.where("best IS NOT NULL").join(below, ["band", "h"]).where(f"first < best AND {size}")
+    rest = written(free.select("id", "first").unionByName(bound.select("id", "first")).distinct(), "rest")
+    return led.unionByName(_alike(rest, sets, threshold)).groupBy("id").agg(F.min("first").alias("duplicate_of"))
 
 
 def admitted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,6 +106,7 @@ def admitted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     undecided = written(ids.select("id").distinct().join(pairs.groupBy("id").agg(F.collect_list("first").alias("before")), "id", "left").select("id", F.coalesce("before", F.array().cast("array<long>")).alias("before")), "undecided")
     kept = undecided.where(F.size("before") == 0).select("id")
     undecided = undecided.where(F.size("before") > 0)
+    old: list[DataFrame] = []  # tables that those of the round have replaced
     while undecided.limit(1).count():
         each = undecided.select("id", F.explode("before").alias("first"))
         hit = each.join(kept.select(F.col("id").alias("first"), F.lit(True).alias("in")), "first", "left")
@@ -101,6 +114,8 @@ def admitted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         state = written(hit.groupBy("id").agg(F.bool_or(F.coalesce("in", F.lit(False))).alias("in"), F.bool_or(F.coalesce("open", F.lit(False))).alias("open")), "decided")
         kept = written(kept.unionByName(state.where("NOT in AND NOT open").select("id")), "admitted")
         undecided = written(undecided.join(state.where("NOT in AND open").select("id"), "id", "left_semi"), "undecided")
+        dropped(state, *old)
+        old = [kept, undecided]
     found = pairs.join(kept.select(F.col("id").alias("first")), "first").groupBy("id").agg(F.array_sort(F.collect_set("first")).alias("duplicate_of"))
     return ids.select("id").distinct().join(found, "id", "left").select("id", F.col("duplicate_of").isNotNull().alias("is_duplicate"), F.coalesce("duplicate_of", F.array().cast("array<long>")).alias("duplicate_of"))
 

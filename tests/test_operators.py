@@ -246,3 +246,16 @@ def test_empty_index(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     index.write(content.items(spark, DATA).limit(0), content.sources(spark, DATA), path)
     assert search.like(spark, path, search.SearchQuery(q="onth")).count() == search.full_text(spark, path, search.SearchQuery(q="onth")).count() == index.suggested(spark, path, "un").count() == 0
+
+
+def test_copies_meet_their_leader_only(spark, monkeypatch):
+    """1,500 near copies of one text, each alike to every other: rows compared grow with their number and bands, not with pairs."""
+    made = {}
+    plain = dedupe.written
+    monkeypatch.setattr(dedupe, "written", lambda df, label: made.setdefault(label, plain(df, label)))
+    words = [f"w{i}" for i in range(150)]
+    rows = [(k, "t", " ".join(f"x{k}" if i == 20 + k % 100 else w for i, w in enumerate(words))) for k in range(1500)]
+    items = spark.createDataFrame(rows, "id long, title string, text string")
+    found = {r["id"]: r["duplicate_of"] for r in dedupe.lsh(items).collect()}
+    assert found == dict.fromkeys(range(1, 1500), 0)
+    assert made["led"].count() + made["rest"].count() < 30 * 1500
