@@ -19,6 +19,8 @@ from quarry.config import STOPWORDS
 from quarry.functions import text as t
 from quarry.sources.working import dropped, spread, written
 
+#: Changes with what write() stores, so that an index of another form is never read.
+FORMAT = 2
 FIELDS = {"title": 3.0, "text": 1.0, "keywords": 2.0}
 K1, B = 1.2, 0.75
 #: Rows that a part of a table holds, about; a part of items, which are wider.

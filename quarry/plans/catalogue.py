@@ -28,7 +28,7 @@ def now():
 
 def _index(spark: SparkSession, d: str) -> str:
     """The stored index and items of the collection, made once for the files it is read from."""
-    return stored_once(table(spark, d, "documents"), "index", lambda path: index.write(items(spark, d), sources(spark, d), path))
+    return stored_once(table(spark, d, "documents"), f"index{index.FORMAT}", lambda path: index.write(items(spark, d), sources(spark, d), path))
 
 
 def stored_items(spark: SparkSession, d: str) -> DataFrame:

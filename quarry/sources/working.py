@@ -65,7 +65,11 @@ def stored_once(source: DataFrame, label: str, make) -> str:
         seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
     name = f"{label}-{hashlib.md5(chr(10).join(seen).encode()).hexdigest()}"
     published = f"{folder(spark)}/{name}.published"
-    if content(spark, published) is None:
+    there = content(spark, published)
+    if there is not None and not hadoop(f"{folder(spark)}/{there}").getFileSystem(conf).exists(hadoop(f"{folder(spark)}/{there}")):
+        removed(spark, published)  # the tables were cleaned away
+        there = None
+    if there is None:
         made = f"{name}-{uuid.uuid4().hex}"
         make(f"{folder(spark)}/{made}")
         publish(spark, published, made)  # or another driver was first
