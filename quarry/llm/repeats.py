@@ -215,11 +215,33 @@ def maximal_repeats(blocks: list[bytes], least: int = LENGTH):
                 yield length, block[at], at - begin[block[at]]
 
 
+def _meeting(blocks: list[bytes]) -> np.ndarray:
+    """Which blocks hold a LENGTH-byte string whose hash some other place has too. The others repeat nothing, so no suffix array needs them."""
+    sizes = np.array([*map(len, blocks)], np.int64)
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    n = len(data)
+    if n < LENGTH:
+        return np.zeros(0, np.int64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_BASE, n)[:n], out=sums[1:])
+    block = np.repeat(np.arange(len(blocks)), sizes)
+    at = np.flatnonzero(block[: n - LENGTH + 1] == block[LENGTH - 1 :])
+    h = (sums[at + LENGTH] - sums[at]) * powers(_UNBASE, n)[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    met = np.zeros(len(blocks), bool)
+    met[block[at[order[1:][same]]]] = met[block[at[order[:-1][same]]]] = True
+    return np.flatnonzero(met)
+
+
 def covered(rows: DataFrame) -> DataFrame:
     """h, g, spans of contexts (h, g, lead, context; sorted by h within tasks): what of them also is in one with a smaller lead."""
 
     def solve(held):
-        h, g, lead, blocks = (list(x) for x in zip(*held, strict=True))
+        some = _meeting([x[3] for x in held])
+        if not len(some):
+            return pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.struct({"s": pa.int32(), "e": pa.int32()})))], ["h", "g", "spans"])
+        h, g, lead, blocks = (list(x) for x in zip(*(held[i] for i in some.tolist()), strict=True))
         lead = np.array(lead)
         size = max(map(len, blocks))
         cover = np.zeros((len(blocks), size + 1), np.int32)
