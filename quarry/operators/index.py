@@ -100,13 +100,15 @@ def _part(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def _store(rows: DataFrame, key: str, parts: int, path: str, *order: str) -> None:
-    """rows in folders by a hash of key, sorted by it and by order. A part that holds frequent keys is dealt to several files by the first of order."""
+def _store(rows: DataFrame, key: str, parts: int, path: str, *order: str) -> str:
+    """Write rows in folders by a hash of key, sorted by it and by order. A part that holds frequent keys is dealt to several files by the first of order."""
+    kind = rows.schema.simpleString()
     rows = rows.withColumn("part", _part(F.col(key), parts))
     most = rows.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     files = 1 + most // (4 * PART_ROWS)
     dealt = [F.col("part")] + ([F.pmod(F.xxhash64(order[0]), F.lit(files))] if files > 1 else [])
     rows.repartition(*dealt).sortWithinPartitions("part", key, *order).write.partitionBy("part").parquet(path)
+    return kind
 
 
 def _parts(rows: int) -> int:
@@ -135,25 +137,26 @@ def write(items: DataFrame, sources: DataFrame, path: str) -> None:
     rows = written(held.join(words, "term").join(lengths, "id").select("term", "block", "id", *map(impact, FIELDS)), "impacts")
     n = rows.count()
     meta = {"items": told["n"], "postings": n, "parts": _parts(n), "term_parts": _parts(words.count()), "item_parts": math.ceil(told["n"] / PART_ITEMS) or 1, "keyword_parts": 8}
-    _store(items.drop("text"), "id", meta["item_parts"], f"{path}/items")
-    items = spread(spark.read.parquet(f"{path}/items").drop("part"))
-    _store(rows, "term", meta["parts"], f"{path}/postings", "block", "id")
+    types = {"sources": sources.schema.simpleString()}
+    types["items"] = _store(items.drop("text"), "id", meta["item_parts"], f"{path}/items")
+    items = spread(spark.read.schema(items.drop("text").schema).parquet(f"{path}/items"))
+    types["postings"] = _store(rows, "term", meta["parts"], f"{path}/postings", "block", "id")
     best = rows.groupBy("term", "block").agg(*[F.max(f).alias(f) for f in FIELDS], F.count("*").alias("items"))
-    _store(best, "term", meta["parts"], f"{path}/blocks", "block")
-    _store(words, "term", meta["term_parts"], f"{path}/terms")
-    _store(words.select("term", F.explode(grams(padded(F.col("term")))).alias("gram")), "gram", meta["term_parts"], f"{path}/term_grams", "term")
+    types["blocks"] = _store(best, "term", meta["parts"], f"{path}/blocks", "block")
+    types["terms"] = _store(words, "term", meta["term_parts"], f"{path}/terms")
+    types["term_grams"] = _store(words.select("term", F.explode(grams(padded(F.col("term")))).alias("gram")), "gram", meta["term_parts"], f"{path}/term_grams", "term")
     keywords = items.select(F.explode("keywords").alias("keyword")).distinct()
     both = F.explode(F.concat(*[grams(F.lower("keyword"), n) for n in (2, 3)])).alias("gram")
-    _store(keywords.select("keyword", both), "gram", meta["keyword_parts"], f"{path}/keyword_grams", "keyword")
+    types["keyword_grams"] = _store(keywords.select("keyword", both), "gram", meta["keyword_parts"], f"{path}/keyword_grams", "keyword")
     marked = lambda text, bit: F.transform(grams(F.lower(text)), lambda g: F.struct(g.alias("gram"), F.lit(bit).alias("field")))
     each = [marked(F.coalesce("title", F.lit("")), 1), marked(F.coalesce("summary", F.lit("")), 2)]
     each.append(F.flatten(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: marked(w, 4))))
     found = written(items.select("id", F.explode(F.concat(*each)).alias("x")).groupBy("x.gram", "id").agg(F.bit_or("x.field").alias("fields")), "grams")
     meta["grams"] = found.count()
     meta["gram_parts"] = _parts(meta["grams"])
-    _store(found, "gram", meta["gram_parts"], f"{path}/grams", "id")
+    types["grams"] = _store(found, "gram", meta["gram_parts"], f"{path}/grams", "id")
     sources.coalesce(1).write.parquet(f"{path}/sources")
-    spark.createDataFrame([(json.dumps(meta | {"types": {k: spark.read.parquet(f"{path}/{k}").schema.simpleString() for k in TABLES}}),)], "meta string").coalesce(1).write.text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(meta | {"types": types}),)], "meta string").coalesce(1).write.text(f"{path}/meta")
     dropped(held, sizes, words, rows, found)
 
 

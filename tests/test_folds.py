@@ -36,7 +36,7 @@ def test_passing_is_the_loop(most):
 def test_limited_over_blocks(spark, most, window, block):
     """One user with most rows, a null user, ties, null times; blocks shorter and longer than the window."""
     draw = random.Random(5)
-    held = {"a": [float(draw.randint(0, 500)) for _ in range(400)], None: [float(draw.randint(0, 90)) for _ in range(60)], "c": [3.0] * 20, "d": [1.5]}
+    held = {"a": [float(draw.randint(0, 500)) for _ in range(150)], None: [float(draw.randint(0, 90)) for _ in range(60)], "c": [3.0] * 20, "d": [1.5]}
     rows = [(u, t) for u, ts in held.items() for t in ts]
     frame = spark.createDataFrame([*rows, ("a", None)], "user string, ts double").repartition(5)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")

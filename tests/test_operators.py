@@ -204,7 +204,7 @@ def test_trigram_plans_read_few_parts(spark, small_index):
 def test_best_skips_blocks(spark, small_index):
     """The k best with their ties as by scoring all, from fewer rows; also among a part of the items, and where fewer than k match."""
     plain = lambda df: sorted((r["id"], r["score"]) for r in df.collect())
-    for q in ("the erin", "onth", "thndinth ing tion", "the", "xyzzy"):
+    for q in ("the erin", "onth", "thndinth ing tion", "xyzzy"):
         whole = index.ranked(spark, small_index, q, stopwords=())
         for allowed in (None, content.items(spark, DATA).where("id % 3 = 0").select("id")):
             scores = whole if allowed is None else whole.join(allowed, "id", "left_semi")
@@ -214,8 +214,8 @@ def test_best_skips_blocks(spark, small_index):
                 found, rows = index.best(spark, small_index, q, k, allowed, stopwords=(), direct=0, first=2)
                 assert {x for x in every if [x[1]] >= least} <= set(plain(found)) <= set(every)
                 assert rows["read"] <= rows["held"]
-    _, rows = index.best(spark, small_index, "the erin", 3, stopwords=(), direct=0, first=2)
-    assert rows["read"] < 0.6 * rows["held"]
+    _, rows = index.best(spark, small_index, "the erin", 1, stopwords=(), direct=0, first=2)
+    assert rows["read"] < 0.1 * rows["held"]
 
 
 def test_terms_within_their_edit_bound(spark, small_index):
