@@ -234,7 +234,7 @@ def test_suggestions_by_grams(spark, tables, small_index):
 
 
 def test_stems(spark):
-    pairs = {"wins": "win", "winning": "win", "win": "win", "games": "game", "gaming": "game", "parties": "party", "boxes": "box", "classes": "class", "class": "class", "scored": "scor", "scores": "scor", "score": "scor", "rated": "rate", "rating": "rate", "agreed": "agre", "happiness": "happi", "quickly": "quick", "this": "this", "bus": "bus", "being": "being", "sing": "sing", "": ""}
+    pairs = {"wins": "win", "winning": "win", "win": "win", "games": "game", "gaming": "game", "parties": "party", "boxes": "box", "classes": "class", "class": "class", "scored": "scor", "scores": "scor", "score": "scor", "rated": "rate", "rating": "rate", "agreed": "agree", "agree": "agree", "happiness": "happi", "quickly": "quick", "this": "this", "bus": "bus", "being": "being", "sing": "sing", "": ""}
     assert {w: index.stem(w) for w in pairs} == pairs
     rows = spark.createDataFrame([(w,) for w in pairs], "word string")
     assert {r["word"]: r["stem"] for r in index.with_stems(rows.withColumn("stem", F.col("word")), "stem").collect()} == pairs
