@@ -167,6 +167,16 @@ def test_oracle(spark, name):
     assert a == b
 
 
+@pytest.mark.parametrize("name", ["failed_checks", "feed_breaking", "feed_latest", "item_rows", "latest_kept", "mapped_items", "search_filters", "search_member", "template_summary"])
+def test_listings_build_no_index(spark, monkeypatch, name):
+    def build(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(index, "write", build)
+    monkeypatch.setattr(catalogue, "stored_once", build)
+    assert catalogue.QUERIES[name](spark, DATA).count()
+
+
 # The stored index
 
 
