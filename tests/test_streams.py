@@ -2,6 +2,7 @@
 
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,35 @@ def test_lifecycle_from_what_is_known(spark, tmp_path):
     assert [(r["turned"], r["granted"], str(r["trend_start"])) for r in rows] == [(False, False, "2023-12-31 20:00:00"), (False, True, "2023-12-31 20:00:00")]
 
 
+def test_a_batch_costs_a_term_one_timer():
+    """Events of a thousand minutes wait for one timer; when it ends, those that are due are told and the next timer is that of the first of the others."""
+
+    class Held:
+        rows, timers, value = [], [], None
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        appendList = lambda self, more: self.rows.extend(more)
+        put = lambda self, rows: setattr(self, "rows", rows)
+        registerTimer = lambda self, at: self.timers.append(at)
+        listTimers = lambda self: iter(())
+
+    class Known(Held):
+        exists = lambda self: False
+        update = lambda self, value: None
+
+    one = trends.Lifecycle(6.0, 720)
+    one.handle = one.waiting = held = Held()
+    one.known, held.timers, held.rows = Known(), [], []
+    minute = pd.Timedelta(minutes=1)
+    pdf = pd.DataFrame({"ts": [pd.Timestamp("2024-01-01") + k * minute for k in range(1000)], "is_trending": True})
+    at = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda self: ms, "getExpiryTimeInMs": lambda self: ms})()
+    start = int(pdf["ts"][0].value // 1_000_000)
+    list(one.handleInputRows(("a",), iter([pdf]), at(0)))
+    assert held.timers == [start + 60_000]
+    out = pd.concat(one.handleExpiredTimer(("a",), at(start + 600 * 60_000), at(start + 60_000)))
+    assert len(out) == 600 and held.timers[1] == start + 601 * 60_000
+
+
 def texts(spark, rows):
     return spark.createDataFrame(rows, "id long, title string, text string")
 
