@@ -30,7 +30,7 @@ class NearDuplicateIndex:
         new = texts.select(F.col("rep").alias("id"), "set")
         # What the index was before this batch: a batch that is delivered again finds the same.
         known = self.sets.read(self._before(batch))
-        pairs = written(self._matched(new.where("set IS NOT NULL"), known), "matched")
+        pairs = self._matched(new.where("set IS NOT NULL"), known)
         held = known.join(pairs.select(F.col("first").alias("id")), "id", "left_semi")
         decided = dedupe.admitted(new.select("id").unionByName(held.select("id")), pairs)
         admitted = written(decided.where("NOT is_duplicate").select(F.col("id").alias("first")), "admitted")
@@ -60,12 +60,15 @@ class NearDuplicateIndex:
             self.sets.upsert(held.where(F.col("id") <= last), merge=lambda current, gone: current.where(F.col("id") > last))
 
     def _matched(self, new: DataFrame, known: DataFrame) -> DataFrame:
-        """id, first: every pair of a new item and an earlier one, new or known, at the threshold. Sets this alike share one of the first shingles of either, in the order of their hashes."""
+        """id, first: every pair of a new item and an earlier one, new or known, at the threshold. Sets this alike share one of the rarest shingles of either, as counted in both."""
         every = known.select("id", "set").unionByName(new)
-        prefix = lambda df: df.select("id", F.size("set").alias("n"), F.explode(F.slice(F.array_sort("set"), F.lit(1), F.size("set") - F.ceil(F.size("set") * self.threshold - 1e-9).cast("int") + 1)).alias("h"))
-        mine, theirs = prefix(new), prefix(every).select(F.col("id").alias("first"), F.col("n").alias("m"), "h")
-        near = mine.join(theirs, "h").where(f"first < id AND n >= m * {self.threshold} AND m >= n * {self.threshold}").select("id", "first").distinct()
-        return near.join(new, "id").join(every.select(F.col("id").alias("first"), F.col("set").alias("other")), "first").where(t.jaccard(F.col("set"), F.col("other")) >= self.threshold - 1e-9).select("id", "first")
+        prefix = written(dedupe.prefixes(every, self.threshold), "prefixes")
+        mine, theirs = prefix.join(new.select("id"), "id", "left_semi"), prefix.select(F.col("id").alias("first"), F.col("n").alias("m"), "h")
+        near = written(mine.join(theirs, "h").where(f"first < id AND n >= m * {self.threshold} AND m >= n * {self.threshold}").select("id", "first").distinct(), "near")
+        pairs = near.join(new, "id").join(every.select(F.col("id").alias("first"), F.col("set").alias("other")), "first").where(t.jaccard(F.col("set"), F.col("other")) >= self.threshold - 1e-9).select("id", "first")
+        found = written(pairs, "matched")
+        dropped(prefix, near)
+        return found
 
     def write(self, rows: DataFrame, batch: int) -> None:
         """For foreachBatch."""

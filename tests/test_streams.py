@@ -107,6 +107,22 @@ def test_near_duplicates_do_not_depend_on_batches(spark, tmp_path, cuts):
     assert {r["id"] for r in index.sets.read().collect()} == {1, 4}
 
 
+def test_a_common_passage_makes_no_candidates(spark, tmp_path, monkeypatch):
+    """Different texts that share a passage meet by their rarest shingles only; before, those of the least hash could be the passage's."""
+    made, plain = {}, neardup.written
+
+    def written(df, label):
+        made[label] = plain(df, label)
+        if label == "near":
+            made["n"] = made[label].count()
+        return made[label]
+
+    monkeypatch.setattr(neardup, "written", written)
+    sets = spark.range(40).selectExpr("id", "concat(sequence(1L, 30L), sequence(1000 * (id + 1), 1000 * (id + 1) + 69)) AS set")
+    index = neardup.NearDuplicateIndex(spark, f"file://{tmp_path}/i", buckets=2)
+    assert index._matched(sets, sets.limit(0)).count() == 0 and made["n"] == 0
+
+
 def test_the_index_agrees_with_the_admit_rule(spark, tmp_path):
     """Chains: neighbours are alike, others aren't."""
     words = [f"w{i}" for i in range(200)]
