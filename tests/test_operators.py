@@ -281,3 +281,30 @@ def test_copies_meet_their_leader_only(spark, monkeypatch):
     found = {r["id"]: r["duplicate_of"] for r in dedupe.lsh(items).collect()}
     assert found == dict.fromkeys(range(1, 1500), 0)
     assert made["led"].count() + made["rest"].count() < 30 * 1500
+
+
+def test_prefixes_leave_out_what_only_one_set_has(spark):
+    sets = spark.createDataFrame([(1, list(range(10))), (2, [*range(9), 100]), (3, list(range(50, 60)))], "id long, set array<long>")
+    rows = {tuple(r) for r in dedupe.prefixes(sets, 0.8).collect()}
+    assert {r[0] for r in rows} == {1, 2} and {r[3] for r in rows} <= set(range(9))  # 9 and 100 take the first of three places
+    assert {(r[0], r[2]) for r in rows} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_pairs_are_those_of_plain_comparison(spark):
+    import random
+
+    draw = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [f"word{draw.randint(0, 40)}" for _ in range(draw.randint(2, 60))]
+        for _ in range(8):
+            texts.append(" ".join(w if draw.random() > 0.03 else f"else{draw.randint(0, 9)}" for w in base[: len(base) - draw.randint(0, 2)]))
+    cut = lambda p: {" ".join(p[i : i + 3]) for i in range(len(p) - 2)} if len(p) > 2 else {" ".join(p)}
+    sets = {}
+    for k, x in enumerate(texts):
+        if x not in texts[:k]:
+            sets[k] = cut(x.split())
+    items = spark.createDataFrame([(k, "", x) for k, x in enumerate(texts)], "id long, title string, text string")
+    for least in (0.5, 0.8):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert want and {(r["a"], r["b"]) for r in dedupe.jaccard_pairs(items, least).collect()} == want
