@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import quality as q, text as t
 from quarry.operators import languages, lexicon
 from quarry.sources import feeds
-from quarry.sources.working import folder
+from quarry.sources.working import folder, spread
 from quarry.plans.catalogue import ITEMS, _LANGUAGE, _words, items, query, table
 
 _TOP = languages.TOP
@@ -27,9 +27,9 @@ _Q6 = _LANGUAGE.replace("WHEN total = 0 THEN", "WHEN best IS NULL THEN").replace
 @query(f"WITH {ITEMS}, {_GRAMS} SELECT items.id, coalesce(best, 'und') AS detected, round(coalesce(p, 0.0::DOUBLE), 6) AS probability, items.id % 2 = 1 AS held_out, round({_Q6}, 6) AS language_quality FROM items LEFT JOIN told USING (id)")
 def language_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles from the even ids, every item detected by them, and the signal that follows."""
-    own = items(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
-    known = languages.profiles(own.where("id % 2 = 0").select(F.col("lang").alias("language"), "text"))
-    told = items(spark, d).select("id", "text", "language").join(languages.detected(items(spark, d).select("id", "text"), known), "id", "left")
+    own = spread(table(spark, d, "documents")).where("doc_id % 2 = 0")
+    known = languages.profiles(own.select(F.col("lang").alias("language"), "text"))
+    told = items(spark, d).select("id", "text", "language", languages.detection(known)(F.col("text")).alias("told")).select("id", "text", "language", "told.*")
     signal = q.language_quality(F.col("text"), F.col("language"), F.col("detected"), F.col("probability"))
     return told.select("id", F.coalesce("detected", F.lit("und")).alias("detected"), F.round(F.coalesce("probability", F.lit(0.0)), 6).alias("probability"), (F.col("id") % 2 == 1).alias("held_out"), F.round(signal, 6).alias("language_quality"))
 

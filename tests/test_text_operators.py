@@ -74,3 +74,14 @@ def test_feeds_as_batch_and_stream(spark, tmp_path):
     (tmp_path / "in/d.xml").write_text("<urlset><url><loc>http://d/1</loc></url></urlset>")
     stream()
     assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["http://a/1", "http://a/2", "http://b/1", "http://c/1", "http://d/1"]
+
+
+def test_profiles_are_counted_in_tasks(spark):
+    texts = spark.createDataFrame([("a", "abab" * 3000)] * 40 + [("b", "ça va é")], "language string, text string").coalesce(2)
+    known = languages.profiles(texts)
+    assert {tuple(r) for r in known.where("language = 'b'").collect()} == {("b", g, k + 1) for k, g in enumerate(sorted([" va", "a v", "va ", "ça ", " ça", " é ", "a é"]))}
+    assert [(r["gram"], r["place"]) for r in known.where("language = 'a'").orderBy("place").collect()] == [("aba", 1), ("bab", 2), (" ab", 3), ("ab ", 4)]
+    rows = languages.detected(texts.select(F.monotonically_increasing_id().alias("id"), "text"), known)
+    assert rows.count() == 41
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # no row a trigram
