@@ -85,3 +85,15 @@ def test_profiles_are_counted_in_tasks(spark):
     assert rows.count() == 41
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan  # no row a trigram
+
+
+def test_only_windows_that_may_hold_a_term_become_rows(spark):
+    import pandas as pd
+
+    text = " " + "the é quick brown fox jumps " * 400
+    for size, key in ((1, "é"), (2, "é "), (6, "quick "), (12, "brown fox ju"), (24, "quick brown fox jumps the")):
+        (rows,) = lexicon._likely([key[:size]], size, 30)([pd.DataFrame({"id": [7], "low": [text]})])
+        want = [text[i : i + 32] for i in range(len(text) - size) if text[i + 1 : i + 1 + size] == key[:size]]
+        assert list(rows["window"]) == want and set(rows["id"]) == {7}
+    (none,) = lexicon._likely(["quick "], 6, 30)([pd.DataFrame({"id": [7, 8], "low": [" ", " slow"]})])
+    assert none.empty
