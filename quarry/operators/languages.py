@@ -40,7 +40,7 @@ def _counted(frames):
                     for code, n in zip(*(x.tolist() for x in np.unique(np.concatenate(held), return_counts=True))):
                         total[code] += n
                     held, size = [], 0
-            yield pd.DataFrame({"language": language, "gram": [_gram(c) for c in total], "n": list(total.values())})
+            yield pd.DataFrame({"language": language, "gram": pd.Series([_gram(c) for c in total], dtype=object), "n": list(total.values())})
 
 
 def profiles(texts: DataFrame, top: int = TOP) -> DataFrame:
@@ -81,7 +81,8 @@ def detection(known: DataFrame, top: int = TOP):
 
     @F.pandas_udf("detected string, probability double")
     def told(plain: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(p) for p in plain], columns=["detected", "probability"])
+        rows = [one(p) for p in plain]
+        return pd.DataFrame({"detected": pd.Series([r[0] for r in rows], dtype=object), "probability": pd.Series([r[1] for r in rows], dtype=float)})
 
     return lambda text: told(_plain(text))
 

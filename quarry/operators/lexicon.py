@@ -56,7 +56,7 @@ def _likely(keys: list[str], size: int, width: int) -> Callable:
                 for at in (np.flatnonzero(known[_hashes(low, size)[1:]])).tolist():
                     ids.append(i)
                     windows.append(low[at : at + width + 2])
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "window": windows})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "window": pd.Series(windows, dtype=object)})
 
     return of
 
