@@ -308,3 +308,10 @@ def test_pairs_are_those_of_plain_comparison(spark):
     for least in (0.5, 0.8):
         want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
         assert want and {(r["a"], r["b"]) for r in dedupe.jaccard_pairs(items, least).collect()} == want
+
+
+def test_ingest_extracts_once(spark):
+    found = catalogue.QUERIES["ingest_pages"](spark, DATA)
+    assert "relevant-" in str(found.inputFiles())  # what is filtered and joined is read, not extracted anew
+    own = spark.read.parquet(f"{DATA}/pages.parquet").where("page_id % 10 <> 0 AND page_id % 7 <> 0").select("page_id")
+    assert found.count() and found.join(own, "page_id", "left_anti").count() == 0
