@@ -283,6 +283,33 @@ def test_copies_meet_their_leader_only(spark, monkeypatch):
     assert made["led"].count() + made["rest"].count() < 30 * 1500
 
 
+def test_signatures_are_made_in_the_tasks_of_their_sets(spark):
+    """No row a shingle and no shuffle; components of two signatures agree about as often as the Jaccard of their sets says."""
+    words = [f"w{i}" for i in range(100, 500)]
+    rows = [(1, None, " ".join(words)), (2, None, " ".join([*words[:300], *(f"x{i}" for i in range(100, 200))])), (3, "two", "words"), (4, None, "éà " + "long" * 5000), (5, "a", "of it"), (6, None, None)]
+    sets = dedupe.distinct_texts(spark.createDataFrame(rows, "id long, title string, text string")).cache()
+    held = {r["id"]: r["set"] for r in sets.collect()}
+    assert {k: len(set(v)) for k, v in held.items()} == {1: 398, 2: 398, 3: 1, 4: 1}
+    assert len(set(held[1]) & set(held[2])) == 298
+    plan = dedupe.signatures(sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan.split("InMemoryRelation")[0]
+    sig = {r["id"]: r["sig"] for r in dedupe.signatures(sets).collect()}
+    assert all(len(v) == dedupe.PERMUTATIONS for v in sig.values())
+    agree = sum(a == b for a, b in zip(sig[1], sig[2], strict=True)) / dedupe.PERMUTATIONS
+    assert abs(agree - 298 / 498) < 0.15
+
+
+def test_a_band_of_two_needs_its_leader_only(spark, monkeypatch):
+    """Pairs that share a band and are not alike: nothing is left to compare, so no shingle of theirs is keyed."""
+    made = {}
+    plain = dedupe.written
+    monkeypatch.setattr(dedupe, "written", lambda df, label: made.setdefault(label, plain(df, label)))
+    rows = [(2 * k + j, "t", " ".join(f"p{k}w{i}" if j == 0 or i % 60 != 30 else f"q{k}y{i}" for i in range(300))) for k in range(40) for j in range(2)]
+    items = spark.createDataFrame(rows, "id long, title string, text string")
+    assert dedupe.lsh(items, 0.95).count() == 0
+    assert made["bands"].count() > 0 and made["keyed"].count() == 0
+
+
 def test_prefixes_leave_out_what_only_one_set_has(spark):
     sets = spark.createDataFrame([(1, list(range(10))), (2, [*range(9), 100]), (3, list(range(50, 60)))], "id long, set array<long>")
     rows = {tuple(r) for r in dedupe.prefixes(sets, 0.8).collect()}
