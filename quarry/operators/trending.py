@@ -2,26 +2,94 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.config import Lexicon, Trending
+from quarry.config import STOPWORDS, Lexicon, Trending
 from quarry.functions import text as t
 from quarry.functions.time import hours
 
+#: Words that a task remembers; rows of a batch that it returns; what stands for a mark; white space to Python that is none to Java.
+MOST_WORDS, BATCH, MARK = 1 << 18, 1 << 16, "\x01"
+_MORE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class _Kinds(dict):
+    """What words are: 0 a stop word, 3 one that holds an indicator, 1 another; remembered."""
+
+    def __init__(self, indicators: tuple[str, ...]):
+        self.indicators, self.stop = indicators, frozenset(STOPWORDS)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        kind = self[word] = 0 if word in self.stop else 3 if any(i in word for i in self.indicators) else 1
+        return kind
+
+
+def _phrases(indicators: tuple[str, ...]):
+    """A function from a lower-cased text, and the same with MARK for each mark, to its significant phrases (as t.phrases), normalised (as t.normalized_term); those of no use are left out."""
+    kinds, across = _Kinds(indicators), any(" " in i for i in indicators)
+
+    def of(low: str, marked: str) -> list[str]:
+        words = [w for w in re.split("[ \t\n\x0b\f\r]+", low) if w] if _MORE_SPACE.search(low) else low.split()
+        plain, out = marked.split(), []
+        kind, size = np.fromiter(map(kinds.__getitem__, words), np.uint8, len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        for n in (2, 3):
+            if len(words) < n:
+                break
+            parts, long = zip(*((kind[j : len(kind) - n + 1 + j], size[j : len(kind) - n + 1 + j]) for j in range(n)))
+            fits = (np.minimum.reduce(parts) > 0) & (sum(long) + n - 1 >= 6)
+            at = np.flatnonzero(fits if across else fits & (np.maximum.reduce(parts) == 3)).tolist()
+            if across:
+                at = [i for i in at if any(x in " ".join(words[i : i + n]) for x in indicators)]
+            out += [f"{plain[i]} {plain[i + 1]}" for i in at] if n == 2 else [f"{plain[i]} {plain[i + 1]} {plain[i + 2]}" for i in at]
+        if MARK in marked:
+            out = [" ".join(x.replace(MARK, " ").split()) if MARK in x else x for x in out]
+        return [x for x in out if len(x) >= 3 and x not in kinds.stop]
+
+    return of
+
 
 def terms(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Id, term, type of every item: its keywords, named entities once each, significant phrases per occurrence."""
+    """Id, published_at, term, type, n of every item: its keywords, named entities once each, significant phrases. n: how often, so an item has a term and type once.
+
+    Tasks find and count the phrases of their own texts.
+    """
     low = F.lower(F.concat_ws(" ", "title", "text"))
     names = [(e, kind) for kind, held in lexicon.entities for e in held]
-    typed = F.create_map(*[F.lit(x) for e, kind in names for x in (e.lower(), kind)])
+    typed = F.create_map(*[F.lit(x) for e, kind in names for x in (e.lower(), kind)]) if names else F.create_map().cast("map<string,string>")
     key = lambda k: F.coalesce(F.try_element_at(typed, F.lower(k)), F.when(F.size(t.words(k)) == 1, "keyword").otherwise("phrase"))
-    one = lambda term, kind: F.struct(term.alias("term"), kind.alias("type"))
-    listed = F.transform("keywords", lambda k: one(k, key(k)))
-    named = F.filter(F.array(*[F.when(low.contains(e.lower()), one(F.lit(e), F.lit(kind))) for e, kind in names]), lambda x: x.isNotNull())
-    said = F.transform(t.phrases(low, lexicon.indicators), lambda p: one(p, F.lit("phrase")))
-    rows = items.select("id", "published_at", F.explode(F.concat(listed, named, said)).alias("x")).select("id", "published_at", t.normalized_term(F.col("x.term")).alias("term"), "x.type")
-    return rows.where("term IS NOT NULL")
+    one = lambda term, kind: F.struct(t.normalized_term(term).alias("term"), kind.alias("type"))
+    listed = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: one(k, key(k)))
+    named = F.array(*[F.when(low.contains(e.lower()), one(F.lit(e), F.lit(kind))) for e, kind in names]) if names else F.array().cast("array<struct<term:string,type:string>>")
+    rows = items.select("id", "published_at", low.alias("low"), t.unmarked(low, MARK).alias("marked"), F.filter(F.concat(listed, named), lambda x: x["term"].isNotNull()).alias("held"))
+    indicators = tuple(lexicon.indicators)
+
+    def counted(batches):
+        phrases = _phrases(indicators)
+        for batch in batches:
+            sizes, found, kinds, times = [], [], [], []
+            texts, first = zip(batch["low"].to_pylist(), batch["marked"].to_pylist(), batch["held"].to_pylist()), 0
+            for k, (low, marked, held) in enumerate(texts):
+                said = Counter(phrases(low, marked))
+                said.update(x["term"] for x in held if x["type"] == "phrase")
+                other = Counter((x["term"], x["type"]) for x in held if x["type"] != "phrase")
+                found += [*said, *(x for x, _ in other)]
+                kinds += ["phrase"] * len(said) + [x for _, x in other]
+                times += [*said.values(), *other.values()]
+                sizes.append(len(said) + len(other))
+                if len(found) >= BATCH or k == batch.num_rows - 1:
+                    rows = pa.array(np.repeat(np.arange(first, k + 1), sizes))
+                    yield pa.RecordBatch.from_arrays([batch["id"].take(rows), batch["published_at"].take(rows), pa.array(found, pa.string()), pa.array(kinds, pa.string()), pa.array(times, pa.int64())], ["id", "published_at", "term", "type", "n"])
+                    sizes, found, kinds, times, first = [], [], [], [], k + 1
+
+    return rows.mapInArrow(counted, rows.select("id", "published_at", F.lit("").alias("term"), F.lit("").alias("type"), F.lit(0).cast("long").alias("n")).schema)
 
 
 def burst(c1: Column, c6: Column, c24: Column) -> Column:
@@ -86,9 +154,12 @@ def queued(queries: DataFrame, ts: str, config: Trending, n: int) -> DataFrame:
 
 def ingested(items: DataFrame, lexicon: Lexicon, as_of: Column) -> DataFrame:
     """Counts per term of the items' own terms (documents, not occurrences), with the term's type."""
-    seen = terms(items, lexicon)
-    kind = seen.groupBy("term").agg(F.min("type").alias("type"))
-    return counts(seen.select("term", "id", F.col("published_at").alias("ts")), as_of).join(kind, "term")
+    age = hours("published_at", as_of)
+    recent = F.coalesce((age >= 0) & (age <= 24), F.lit(False))
+    seen = terms(items, lexicon).select("term", "type", recent.alias("recent"), F.when(recent, F.col("id")).alias("id"), F.when(recent, age).alias("age"))
+    each = seen.groupBy("term", "recent", "id").agg(F.min("age").alias("age"), F.min("type").alias("type"))  # one row for all that is not recent
+    out = each.groupBy("term").agg(F.min("type").alias("type"), F.count_if(F.col("age") <= 1).alias("count_1h"), F.count_if(F.col("age") <= 6).alias("count_6h"), F.count_if("recent").alias("count_24h"), F.min("age").alias("hours"))
+    return out.where("count_24h > 0").select("term", "count_1h", "count_6h", "count_24h", "hours", "type")
 
 
 def statistics(scored_terms: DataFrame, cooling: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
