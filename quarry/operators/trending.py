@@ -61,14 +61,15 @@ def terms(items: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Tasks find and count the phrases of their own texts.
     """
-    low = F.lower(F.concat_ws(" ", "title", "text"))
+    items = items.select("id", "published_at", "keywords", F.lower(F.concat_ws(" ", "title", "text")).alias("low"))  # once a row
+    low = F.col("low")
     names = [(e, kind) for kind, held in lexicon.entities for e in held]
     typed = F.create_map(*[F.lit(x) for e, kind in names for x in (e.lower(), kind)]) if names else F.create_map().cast("map<string,string>")
     key = lambda k: F.coalesce(F.try_element_at(typed, F.lower(k)), F.when(F.size(t.words(k)) == 1, "keyword").otherwise("phrase"))
     one = lambda term, kind: F.struct(t.normalized_term(term).alias("term"), kind.alias("type"))
     listed = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: one(k, key(k)))
     named = F.array(*[F.when(low.contains(e.lower()), one(F.lit(e), F.lit(kind))) for e, kind in names]) if names else F.array().cast("array<struct<term:string,type:string>>")
-    rows = items.select("id", "published_at", low.alias("low"), t.unmarked(low, MARK).alias("marked"), F.filter(F.concat(listed, named), lambda x: x["term"].isNotNull()).alias("held"))
+    rows = items.select("id", "published_at", "low", t.unmarked(low, MARK).alias("marked"), F.filter(F.concat(listed, named), lambda x: x["term"].isNotNull()).alias("held"))
     indicators = tuple(lexicon.indicators)
 
     def counted(batches):
