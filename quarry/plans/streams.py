@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,17 @@ from quarry.sources.working import folder
 from quarry.streaming import neardup, trends, windows
 
 
-def sliced(rows: DataFrame, by: str, n: int) -> DataFrame:
-    """rows as a stream of n batches, in the order of `by`: files that are written one after the other."""
+def sliced(rows: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -> None:
+    """rows as a stream of n batches, in the order of `by`: each is written as files of all tasks, then run(stream) takes what is new, which is one batch (the stream's checkpoint knows the others). Nulls come first."""
     spark = rows.sparkSession
     path = f"{folder(spark)}/slices-{uuid.uuid4().hex}"
     at = F.unix_micros(F.col(by).cast("timestamp")) if "timestamp" in dict(rows.dtypes)[by] else F.col(by)
     cuts = rows.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    place = sum((at > c).cast("int") for c in cuts) if cuts else F.lit(0)
-    for k in range(n):
-        rows.where(place == k).coalesce(1).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    for k in range(len(cuts) + 1):
+        part = rows.where(at > cuts[k - 1]) if k else rows
+        part = part.where((at <= cuts[k]) | at.isNull() if k == 0 else at <= cuts[k]) if k < len(cuts) else part
+        part.write.option("parquet.block.size", 1 << 24).parquet(f"{path}/{k}")  # small row groups: few files still give every core a split
+        run(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path))
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS term, ts, event_type IN ('click', 'purchase') AS is_trending FROM events),
@@ -38,10 +40,9 @@ def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     rows = e.select(F.concat(F.lit("u"), F.col("user_id") % 40).alias("term"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("click", "purchase").alias("is_trending"))
     end = rows.agg(F.max("ts").alias("ts")).select(F.lit("").alias("term"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(False).alias("is_trending")).where("ts IS NOT NULL")
     out = f"{folder(spark)}/stream-lifecycle-{uuid.uuid4().hex}"
-    stream = trends.lifecycle(sliced(rows.unionByName(end), "ts", 4))
-    trends.with_state(spark, lambda: windows.drained(stream, f"{out}/rows", f"{out}/state"))
+    trends.with_state(spark, lambda: sliced(rows.unionByName(end), "ts", 4, lambda stream: windows.drained(trends.lifecycle(stream), f"{out}/rows", f"{out}/state")))
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("ts", "trend_start", "trend_peak")}
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows").where("term <> ''").withColumns(times)
+    return spark.read.schema(trends.KIND).parquet(f"{out}/rows").where("term <> ''").withColumns(times)
 
 
 @query(f"""WITH RECURSIVE {ITEMS}, {_PAIRS.format(norm=_norm("title || ' ' || text"))}, names AS (SELECT id, {_norm("title || ' ' || text")} AS plain FROM items),
@@ -54,8 +55,7 @@ def stream_near_dup(spark: SparkSession, d: str) -> DataFrame:
     """Three batches of items against an index that grows with them."""
     path = f"{folder(spark)}/stream-near-dup-{uuid.uuid4().hex}"
     held = neardup.NearDuplicateIndex(spark, path)
-    stream = sliced(items(spark, d).select("id", "title", "text"), "id", 3)
-    stream.writeStream.foreachBatch(held.write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    sliced(items(spark, d).select("id", "title", "text"), "id", 3, lambda stream: windows.handed(stream, held.write, f"{path}/state"))
     return held.decisions.read().withColumn("duplicate_of", F.array_join(F.transform("duplicate_of", lambda x: x.cast("string")), ","))
 
 
@@ -74,5 +74,5 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
         for _ in range(2 if number == 0 else 1):
             held.upsert(new, writer="terms", batch=number, merge=merged)
 
-    sliced(rows, "ts", 5).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    sliced(rows, "ts", 5, lambda stream: windows.handed(stream, write, f"{path}/state"))
     return held.read()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as t
 from quarry.operators import dedupe
 from quarry.sources.versioned import VersionedTable
 from quarry.sources.working import dropped, written
@@ -25,25 +24,28 @@ class NearDuplicateIndex:
 
     def add(self, items: DataFrame, batch: int) -> None:
         """Decide a batch of items (id, title, text). Equal texts are one set, that of their first item; only that one can be admitted."""
-        plain = t.normalized(F.concat_ws(" ", "title", "text"))
-        texts = written(items.select("id", plain.alias("plain")).groupBy("plain").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", F.when(F.col("plain") != "", F.transform(t.shingles(F.col("plain")), lambda s: F.xxhash64(s))).alias("set")), "new")
-        new = texts.select(F.col("rep").alias("id"), "set")
+        texts = written(dedupe.hashed_texts(items), "new")
+        if texts.count() > texts.select("id").distinct().count():  # a row that came twice
+            twice, texts = texts, written(texts.dropDuplicates(["id"]), "new")
+            dropped(twice)
+        first = texts.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+        copies = written(texts.select("id", "key").join(first, "key").where("id > rep").select("id", "rep"), "copies")
+        new = texts.where("set IS NOT NULL").select("id", "set").join(copies.select("id"), "id", "left_anti")
         # What the index was before this batch: a batch that is delivered again finds the same.
-        known = self.sets.read(self._before(batch))
-        pairs = self._matched(new.where("set IS NOT NULL"), known)
-        held = known.join(pairs.select(F.col("first").alias("id")), "id", "left_semi")
-        decided = dedupe.admitted(new.select("id").unionByName(held.select("id")), pairs)
-        admitted = written(decided.where("NOT is_duplicate").select(F.col("id").alias("first")), "admitted")
-        each = texts.where("set IS NOT NULL").select("rep", F.explode("ids").alias("id"))
-        near = pairs.select(F.col("id").alias("rep"), "first").unionByName(pairs.select(F.col("first").alias("rep"), F.col("id").alias("first"))).unionByName(new.select(F.col("id").alias("rep"), F.col("id").alias("first")))
-        found = each.join(near, "rep").where("first < id").join(admitted, "first").groupBy("id").agg(F.array_sort(F.collect_set("first")).alias("duplicate_of"))
-        rows = texts.select(F.explode("ids").alias("id")).join(found, "id", "left").select("id", F.col("duplicate_of").isNotNull().alias("is_duplicate"), F.coalesce("duplicate_of", F.array().cast("array<long>")).alias("duplicate_of"))
-        fresh = new.where("set IS NOT NULL").join(admitted.select(F.col("first").alias("id")), "id", "left_semi")
-        self.decisions.upsert(rows, writer="stream", batch=batch)
-        self.sets.upsert(fresh, writer="stream", batch=batch)
+        pairs = self._matched(new, self.sets.read(self._before(batch)))
+        paired = pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct()  # all others are admitted
+        rejected = written(dedupe.admitted(paired, pairs).where("is_duplicate").select("id"), "rejected")
+        near = pairs.select(F.col("id").alias("rep"), "first").unionByName(pairs.select(F.col("first").alias("rep"), F.col("id").alias("first"))).unionByName(copies.select("rep", F.col("rep").alias("first")).distinct())
+        near = near.join(rejected.select(F.col("id").alias("first")), "first", "left_anti")
+        each = copies.select("rep", "id").unionByName(pairs.select(F.col("id").alias("rep"), "id").distinct())
+        found = each.join(near, "rep").where("first < id").groupBy("id").agg(F.array_sort(F.collect_set("first")).alias("duplicate_of"))
+        rows = texts.select("id").join(found, "id", "left").select("id", F.col("duplicate_of").isNotNull().alias("is_duplicate"), F.coalesce("duplicate_of", F.array().cast("array<long>")).alias("duplicate_of"))
+        rows = written(rows, "decisions")
+        self.decisions.append(rows, writer="stream", batch=batch)
+        self.sets.append(new.join(rejected, "id", "left_anti"), writer="stream", batch=batch)
         if self.most is not None:
             self._forget()
-        dropped(texts, pairs, admitted)
+        dropped(texts, copies, pairs, rejected, rows)
 
     def _before(self, batch: int) -> int:
         """The last version that holds no row of this batch or later ones."""
@@ -60,14 +62,19 @@ class NearDuplicateIndex:
             self.sets.upsert(held.where(F.col("id") <= last), merge=lambda current, gone: current.where(F.col("id") > last))
 
     def _matched(self, new: DataFrame, known: DataFrame) -> DataFrame:
-        """id, first: every pair of a new item and an earlier one, new or known, at the threshold. Sets this alike share one of the rarest shingles of either, as counted in both."""
-        every = known.select("id", "set").unionByName(new)
-        prefix = written(dedupe.prefixes(every, self.threshold), "prefixes")
-        mine, theirs = prefix.join(new.select("id"), "id", "left_semi"), prefix.select(F.col("id").alias("first"), F.col("n").alias("m"), "h")
-        near = written(mine.join(theirs, "h").where(f"first < id AND n >= m * {self.threshold} AND m >= n * {self.threshold}").select("id", "first").distinct(), "near")
-        pairs = near.join(new, "id").join(every.select(F.col("id").alias("first"), F.col("set").alias("other")), "first").where(t.jaccard(F.col("set"), F.col("other")) >= self.threshold - 1e-9).select("id", "first")
-        found = written(pairs, "matched")
-        dropped(prefix, near)
+        """id, first: every pair of a new item and an earlier one, new or known, at the threshold. Sets this alike share one of the rarest shingles of either, as counted in both, and
+        have enough left from the first of these on (as in dedupe.jaccard_pairs)."""
+        every = known.select("id", F.lit(False).alias("own"), "set").unionByName(new.select("id", F.lit(True).alias("own"), "set"))
+        prefix = written(dedupe.rarest(every, self.threshold), "prefixes")
+        mine, theirs = prefix.where("own").drop("own"), prefix.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("at").alias("m_at"), "h")
+        enough = f"least(n - at, m - m_at) >= (n + m) * {self.threshold / (1 + self.threshold)} - 1e-6"
+        near = written(mine.join(theirs, "h").where(f"first < id AND n >= m * {self.threshold} AND m >= n * {self.threshold} AND {enough}").select("id", "first").distinct(), "near")
+        met = written(near.select("id").unionByName(near.select(F.col("first").alias("id"))).distinct(), "met")
+        sets = written(every.join(met, "id", "left_semi"), "met-sets")  # only these are compared
+        both = near.join(sets.where("own").select("id", "set"), "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
+        both = both.select("id", "first", (F.size("set") + F.size("other")).alias("n"), F.size(F.array_intersect("set", "other")).alias("c"))
+        found = written(both.where(f"c >= (n - c) * {self.threshold - 1e-9}").select("id", "first"), "matched")
+        dropped(prefix, near, met, sets)
         return found
 
     def write(self, rows: DataFrame, batch: int) -> None:
