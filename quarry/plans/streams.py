@@ -25,7 +25,7 @@ def sliced(rows: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -
         part = rows.where(at > cuts[k - 1]) if k else rows
         part = part.where((at <= cuts[k]) | at.isNull() if k == 0 else at <= cuts[k]) if k < len(cuts) else part
         part.write.option("parquet.block.size", 1 << 24).parquet(f"{path}/{k}")  # small row groups: few files still give every core a split
-        run(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path))
+        windows.having(spark, windows.MORE_TO_COME if k < len(cuts) else {}, lambda: run(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path)))
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS term, ts, event_type IN ('click', 'purchase') AS is_trending FROM events),

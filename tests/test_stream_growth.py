@@ -3,13 +3,14 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import dedupe
 from quarry.plans import streams
 from quarry.sources.versioned import SEGMENTS, VersionedTable
-from quarry.streaming import neardup, windows
+from quarry.streaming import neardup, trends, windows
 
 
 @pytest.mark.parametrize("cells", [1, 8, 1 << 16])
@@ -71,3 +72,77 @@ def test_a_row_that_came_twice_is_one(spark, tmp_path):
     index = neardup.NearDuplicateIndex(spark, f"file://{tmp_path}/i", buckets=2)
     index.add(rows, 0)
     assert {tuple(map(str, r)) for r in index.decisions.read().collect()} == {("1", "False", "[]"), ("2", "True", "[1]")}
+
+
+class Held:
+    """State of one term, without Spark."""
+
+    def __init__(self):
+        self.rows, self.timers, self.value = [], [], None
+
+    def exists(self):
+        return bool(self.rows) or self.value is not None
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.rows)
+
+    def appendList(self, more):
+        self.rows.extend(more)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows, self.value = [], None
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+def lifecycle(hours):
+    one = trends.Lifecycle(hours, 720)
+    one.handle, one.waiting, one.known = Held(), Held(), Held()
+    return one
+
+
+def at(ms):
+    return type("T", (), {"getCurrentWatermarkInMs": lambda self: ms, "getExpiryTimeInMs": lambda self: ms})()
+
+
+def test_a_frame_of_events_waits_as_one_block():
+    one = lifecycle(6.0)
+    pdf = pd.DataFrame({"ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(1000), unit="min"), "is_trending": True})
+    list(one.handleInputRows(("a",), iter([pdf, pdf]), at(0)))
+    assert len(one.waiting.rows) == 2 and sum(map(len, one.waiting.rows[0])) == 9000
+
+
+@pytest.mark.parametrize("hours", [0.0, 0.5, 6.0])
+@pytest.mark.parametrize("told", [7, 100_000])
+def test_events_taken_as_arrays_are_those_taken_one_by_one(monkeypatch, hours, told):
+    """Ties, null times, frames out of order, several watermarks, frames of few rows."""
+    monkeypatch.setattr(trends, "TOLD", told)
+    draw, began = random.Random(5), pd.Timestamp("2024-01-01 00:00:00.000123")
+    rows = [(began + pd.Timedelta(minutes=draw.randrange(6000)), draw.choice([True, False])) for _ in range(400)]
+    one, out, start = lifecycle(hours), [], int(began.value // 1_000_000)
+    for k, cut in enumerate((0, 1500, 3000, 4500)):
+        some = [r for r in rows if cut <= (r[0] - began) / pd.Timedelta(minutes=1) < cut + 1500]
+        pdf = pd.DataFrame([*some, (pd.NaT, True)], columns=["ts", "is_trending"])
+        list(one.handleInputRows(("a",), iter([pdf[::2], pdf[1::2]]), at(start + 60_000 * max(cut - 200, -1))))
+        out += list(one.handleExpiredTimer(("a",), at(start + 60_000 * (cut + (1300 if k < 3 else 9000))), at(0)))
+    got = [tuple(r) for r in pd.concat(out).astype({"ts": object, "trend_start": object, "trend_peak": object}).itertuples(index=False)]
+    trending, first, peak, granted, want = False, None, None, None, []
+    for ts, on in sorted(rows):
+        turned, cool = on and not trending, on and (granted is None or ts - granted >= pd.Timedelta(hours=hours))
+        trending, first, peak, granted = on, ts if turned else first, ts if on else peak, ts if cool else granted
+        want.append(("a", ts, on, turned, cool, first, peak))
+    told_as = lambda rows: [tuple("None" if x is None or x is pd.NaT else str(x) for x in r) for r in rows]
+    assert told_as(got) == told_as(want)
