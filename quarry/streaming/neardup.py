@@ -23,14 +23,15 @@ class NearDuplicateIndex:
         self.decisions = VersionedTable(spark, f"{path}/decisions", "id", "id long, is_duplicate boolean, duplicate_of array<long>", buckets)
 
     def add(self, items: DataFrame, batch: int) -> None:
-        """Decide a batch of items (id, title, text). Equal texts are one set, that of their first item; only that one can be admitted."""
+        """Decide a batch of items (id, title, text). Equal texts are one set, that of their first item; only that one can be admitted. Items without an id meet nothing."""
         texts = written(dedupe.hashed_texts(items), "new")
-        if texts.count() > texts.select("id").distinct().count():  # a row that came twice
-            twice, texts = texts, written(texts.dropDuplicates(["id"]), "new")
+        n, ids = texts.agg(F.count("id"), F.count_distinct("id")).first()
+        if n > ids:  # a row that came twice
+            twice, texts = texts, written(texts.where("id IS NOT NULL").dropDuplicates(["id"]).unionByName(texts.where("id IS NULL")), "new")
             dropped(twice)
         first = texts.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
         copies = written(texts.select("id", "key").join(first, "key").where("id > rep").select("id", "rep"), "copies")
-        new = texts.where("set IS NOT NULL").select("id", "set").join(copies.select("id"), "id", "left_anti")
+        new = texts.where("id IS NOT NULL AND set IS NOT NULL").select("id", "set").join(copies.select("id"), "id", "left_anti")
         # What the index was before this batch: a batch that is delivered again finds the same.
         pairs = self._matched(new, self.sets.read(self._before(batch)))
         paired = pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct()  # all others are admitted
