@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from quarry.plans.catalogue import ITEMS, _norm, items, query, table
 from quarry.plans.service import _PAIRS
 from quarry.sources.versioned import VersionedTable
-from quarry.sources.working import folder
+from quarry.sources.working import folder, removed
 from quarry.streaming import neardup, trends, windows
 
 
 def sliced(rows: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -> None:
-    """rows as a stream of n batches, in the order of `by`: each is written as files of all tasks, then run(stream) takes what is new, which is one batch (the stream's checkpoint knows the others). Nulls come first."""
+    """rows as a stream of n batches, in the order of `by`: each is written as files of all tasks, then run(stream) takes what is new, which is one batch (the stream's checkpoint knows the others) and is deleted. Nulls come first."""
     spark = rows.sparkSession
     path = f"{folder(spark)}/slices-{uuid.uuid4().hex}"
     at = F.unix_micros(F.col(by).cast("timestamp")) if "timestamp" in dict(rows.dtypes)[by] else F.col(by)
@@ -26,6 +26,7 @@ def sliced(rows: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -
         part = part.where((at <= cuts[k]) | at.isNull() if k == 0 else at <= cuts[k]) if k < len(cuts) else part
         part.write.option("parquet.block.size", 1 << 24).parquet(f"{path}/{k}")  # small row groups: few files still give every core a split
         windows.having(spark, windows.MORE_TO_COME if k < len(cuts) else {}, lambda: run(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path)))
+        removed(spark, f"{path}/{k}")
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS term, ts, event_type IN ('click', 'purchase') AS is_trending FROM events),
